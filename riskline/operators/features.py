@@ -1,26 +1,24 @@
-"""The 43 behavioural features, as window expressions over each user's time order.
+"""The 43 behavioural features as column expressions and windows over each user's time order.
 
-Every stage takes the log (laid out by ``timeline.arrange``) and adds columns.
+Each function returns a :class:`Stage`; ``Timeline.run`` adds its columns to the log.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskline.functions import scalar as S
-from riskline.operators.timeline import Timeline
-from riskline.schema import (
-    EVENT_TYPES, FEATURES, NOT_FEATURES, TRANSITIONS,
-)
+from riskline.operators.timeline import Previous, Running, Stage, Timeline, Total
+from riskline.schema import EVENT_TYPES, FEATURES, NOT_FEATURES, TRANSITIONS
 
 
-def temporal_features(df: DataFrame) -> DataFrame:
+def temporal_features() -> Stage:
     ts = F.col("timestamp")
     weekday = F.weekday(ts)
-    return df.withColumns(
-        {
+    return Stage(
+        columns={
             "hour": F.hour(ts),
             "minute": F.minute(ts),
             "day_of_week": weekday,
@@ -32,150 +30,179 @@ def temporal_features(df: DataFrame) -> DataFrame:
     )
 
 
-def event_type_onehot(df: DataFrame) -> DataFrame:
-    return df.withColumns(
-        {f"etype_{t}": F.coalesce((F.col("event_type") == t).cast("int"), F.lit(0)) for t in EVENT_TYPES}
-    )
+def event_type_onehot() -> Stage:
+    def flag(label: str) -> Column:
+        return F.coalesce((F.col("event_type") == label).cast("int"), F.lit(0))
+
+    return Stage(columns={f"etype_{t}": flag(t) for t in EVENT_TYPES})
+
+
+def _first_sighting(column: str) -> Column:
+    return (F.col(f"_last_{column}").isNull() & F.col(column).isNotNull()).cast("int")
+
+
+def _sightings(*columns: str) -> dict[str, Previous]:
+    return {f"_last_{c}": Previous(by=(c,)) for c in columns}
 
 
-def frequency_features(df: DataFrame, timeline: Timeline = Timeline()) -> DataFrame:
+def frequency_features() -> Stage:
     """Per-user counts, distinct counts, login failure rate and byte statistics.
 
     A distinct count is the number of first sightings, so no set is ever collected.
     """
-    firsts = {
-        "unique_ips": "source_ip", "unique_devices": "device_id", "unique_resources": "resource",
-    }
-
-    def sightings(rows: DataFrame) -> DataFrame:
-        for name, column in firsts.items():
-            rows = timeline.neighbour(rows, f"_seen_{name}", F.col("timestamp"), by=[column])
-        return rows
-
-    df, source = timeline.both(df, sightings)
-    login, failed = S.is_login(), ~F.col("success")
-    size = F.col("bytes_transferred")
-    df = timeline.total(
-        df,
-        {
-            "events_in_window": (F.sum, F.lit(1)),
-            **{
-                name: (F.sum, (F.col(f"_seen_{name}").isNull() & F.col(column).isNotNull()).cast("int"))
-                for name, column in firsts.items()
-            },
-            "_logins": (F.sum, login.cast("int")),
-            "_failed": (F.sum, (login & failed).cast("int")),
-            "total_bytes_user": (F.sum, size),
-            "max_bytes_user": (F.max, size),
-        },
-        source=source,
-    )
+    login, failed, size = S.is_login(), ~F.col("success"), F.col("bytes_transferred")
     rate = S.safe_divide_positive("_failed", "_logins")
-    return df.withColumns(
-        {
+    mean = S.safe_divide_positive("_bytes", "_events")
+    return Stage(
+        first={
+            **_sightings("source_ip", "device_id", "resource"),
+            "_events": Total(F.sum, F.lit(1)),
+            "_logins": Total(F.sum, login.cast("int")),
+            "_failed": Total(F.sum, (login & failed).cast("int")),
+            "_bytes": Total(F.sum, size),
+            "_largest": Total(F.max, size),
+        },
+        second={
+            "_ips": Total(F.sum, _first_sighting("source_ip")),
+            "_devices": Total(F.sum, _first_sighting("device_id")),
+            "_resources": Total(F.sum, _first_sighting("resource")),
+        },
+        columns={
+            "events_in_window": F.col("_events"),
+            "unique_ips": F.col("_ips"),
+            "unique_devices": F.col("_devices"),
+            "unique_resources": F.col("_resources"),
             "login_failure_rate": F.when(login, rate).otherwise(0.0),
-            "mean_bytes_user": S.safe_divide_positive("total_bytes_user", "events_in_window"),
-        }
-    ).drop("_logins", "_failed", *[f"_seen_{name}" for name in firsts])
+            "total_bytes_user": F.col("_bytes"),
+            "mean_bytes_user": mean,
+            "max_bytes_user": F.col("_largest"),
+        },
+    )
 
 
-def running_entropy(df: DataFrame, timeline: Timeline = Timeline()) -> DataFrame:
+def running_entropy() -> Stage:
     """Entropy in bits of the user's event types so far, the current row included.
 
     With counts c summing to n it equals log2(n) - sum(c * log2(c)) / n. A row takes
     its own type from c-1 to c, so the sum is a running sum of differences: one pass
     serves any set of types. The last term is the floor inside the logarithm.
     """
-
-    def counts(rows: DataFrame) -> DataFrame:
-        return timeline.running(rows, {"_c": F.lit(1)}, by=["event_type"])
-
-    df, source = timeline.both(df, counts)
-    c = F.col("_c").cast("double")
+    c = F.col("_of_type").cast("double")
     gain = c * F.log2(c) - F.when(c > 1, (c - 1) * F.log2(c - 1)).otherwise(0.0)
-    sums = {"_n": F.lit(1), "_clogc": gain, "_types": (F.col("_c") == 1).cast("int")}
-    df = timeline.running(df, sums, source=source)
     floor = F.col("_types") * F.lit(S.LOG_FLOOR) / F.log(F.lit(2.0))
-    entropy = F.log2(F.col("_n")) - F.col("_clogc") / F.col("_n") - floor
-    return df.withColumn("event_type_entropy", entropy).drop("_c", "_n", "_clogc", "_types")
+    entropy = F.log2(F.col("_position")) - F.col("_clogc") / F.col("_position") - floor
+    return Stage(
+        first={
+            "_of_type": Running(F.lit(1), by=("event_type",)),
+            "_position": Running(F.lit(1)),
+        },
+        second={"_clogc": Running(gain), "_types": Running((F.col("_of_type") == 1).cast("int"))},
+        columns={"event_type_entropy": entropy},
+    )
 
 
-def _seconds_since(column: str):
+def _seconds_since(column: str) -> Column:
     gap = (S.micros("timestamp") - S.micros(column)) / F.lit(float(S.MICROS))
     return F.coalesce(gap, F.lit(-1.0))
 
 
-def seconds_since_prev(df: DataFrame, timeline: Timeline = Timeline()) -> DataFrame:
-    df = timeline.neighbour(df, "_prev_ts", F.col("timestamp"))
-    df = df.withColumn("seconds_since_prev", _seconds_since("_prev_ts")).drop("_prev_ts")
-    return df.withColumn("minutes_since_prev", F.col("seconds_since_prev") / 60.0)
+def seconds_since_prev() -> Stage:
+    seconds = _seconds_since("_prev_time")
+    return Stage(
+        first={"_prev_time": Previous()},
+        columns={"seconds_since_prev": seconds, "minutes_since_prev": seconds / 60.0},
+    )
 
 
-def seconds_since_prev_same_type(df: DataFrame, timeline: Timeline = Timeline()) -> DataFrame:
-    df = timeline.neighbour(df, "_same_ts", F.col("timestamp"), by=["event_type"])
-    return df.withColumn("seconds_since_prev_same_type", _seconds_since("_same_ts")).drop("_same_ts")
+def seconds_since_prev_same_type() -> Stage:
+    return Stage(
+        first={"_prev_of_type": Previous(by=("event_type",))},
+        columns={"seconds_since_prev_same_type": _seconds_since("_prev_of_type")},
+    )
 
 
-def cumulative_event_count(df: DataFrame, timeline: Timeline = Timeline()) -> DataFrame:
-    return timeline.running(df, {"cumulative_event_count": F.lit(1)})
+def cumulative_event_count() -> Stage:
+    return Stage(
+        first={"_position": Running(F.lit(1))},
+        columns={"cumulative_event_count": F.col("_position")},
+    )
 
 
-def day_boundaries(df: DataFrame, timeline: Timeline = Timeline()) -> DataFrame:
+def day_boundaries() -> Stage:
     """First and last event of the user's day: the neighbour lies on another date."""
-    df = timeline.neighbour(df, "_before", F.col("timestamp"), step=-1)
-    df = timeline.neighbour(df, "_after", F.col("timestamp"), step=1)
-    today = F.to_date("timestamp")
-    starts = F.coalesce(F.to_date("_before") != today, F.lit(True))
-    ends = F.coalesce(F.to_date("_after") != today, F.lit(True))
-    return df.withColumns(
-        {"is_first_event_of_day": starts.cast("int"), "is_last_event_of_day": ends.cast("int")}
-    ).drop("_before", "_after")
-
-
-def sequence_features(df: DataFrame, timeline: Timeline = Timeline()) -> DataFrame:
-    df = seconds_since_prev_same_type(df, timeline)
-    df = seconds_since_prev(df, timeline)
-    df = cumulative_event_count(df, timeline)
-    return day_boundaries(df, timeline)
-
-
-def transition_flags(df: DataFrame, timeline: Timeline = Timeline()) -> DataFrame:
-    df = timeline.neighbour(df, "_prev_type", F.col("event_type"))
-    flags = {
-        f"trans_{a}_to_{b}": F.coalesce(
-            ((F.col("_prev_type") == a) & (F.col("event_type") == b)).cast("int"), F.lit(0)
-        )
-        for a, b in TRANSITIONS
-    }
-    return df.withColumns(flags).drop("_prev_type")
-
-
-def first_sighting(df: DataFrame, name: str, column: str, timeline: Timeline = Timeline()) -> DataFrame:
-    """1 on the user's first row with this value of ``column``, else 0."""
-    df = timeline.neighbour(df, "_seen", F.col("timestamp"), by=[column])
-    return df.withColumn(name, F.col("_seen").isNull().cast("int")).drop("_seen")
-
-
-def novelty_features(df: DataFrame, timeline: Timeline = Timeline()) -> DataFrame:
-    df = first_sighting(df, "is_new_ip", "source_ip", timeline)
-    df, source = timeline.both(
-        df, lambda rows: first_sighting(rows, "is_new_device", "device_id", timeline)
+
+    def other_day(column: str) -> Column:
+        differs = F.to_date(column) != F.to_date("timestamp")
+        return F.coalesce(differs, F.lit(True)).cast("int")
+
+    return Stage(
+        first={"_prev_time": Previous(), "_next_time": Previous(ahead=True)},
+        columns={
+            "is_first_event_of_day": other_day("_prev_time"),
+            "is_last_event_of_day": other_day("_next_time"),
+        },
+    )
+
+
+def sequence_features() -> Stage:
+    return (
+        seconds_since_prev()
+        | seconds_since_prev_same_type()
+        | cumulative_event_count()
+        | day_boundaries()
+    )
+
+
+def transition_flags() -> Stage:
+    def flag(source: str, target: str) -> Column:
+        follows = (F.col("_prev_type") == source) & (F.col("event_type") == target)
+        return F.coalesce(follows.cast("int"), F.lit(0))
+
+    return Stage(
+        first={"_prev_type": Previous(F.col("event_type"))},
+        columns={f"trans_{a}_to_{b}": flag(a, b) for a, b in TRANSITIONS},
+    )
+
+
+def novelty_features() -> Stage:
+    return Stage(
+        first=_sightings("source_ip", "device_id"),
+        second={"_devices_so_far": Running(_first_sighting("device_id"))},
+        columns={
+            "cumulative_devices_seen": F.col("_devices_so_far"),
+            "is_new_device": _first_sighting("device_id"),
+            "is_new_ip": _first_sighting("source_ip"),
+        },
+    )
+
+
+def all_features() -> Stage:
+    return (
+        temporal_features()
+        | frequency_features()
+        | event_type_onehot()
+        | running_entropy()
+        | sequence_features()
+        | transition_flags()
+        | novelty_features()
     )
-    return timeline.running(df, {"cumulative_devices_seen": F.col("is_new_device")}, source=source)
-
-
-def feature_matrix(df: DataFrame, timeline: Timeline = Timeline()) -> DataFrame:
-    """All feature columns next to the log's own columns."""
-    given = [c for c in df.columns if not c.startswith("_")]
-    df = temporal_features(event_type_onehot(df))
-    df = frequency_features(df, timeline)
-    df = running_entropy(df, timeline)
-    df = sequence_features(df, timeline)
-    df = transition_flags(df, timeline)
-    df = novelty_features(df, timeline)
-    added = [c for c in FEATURES if c not in given]
-    keep = [c for c in timeline.keys if c not in given]
-    return df.select(*given, *added, *keep)
+
+
+def add_features(
+    events: DataFrame, stage: Stage | None = None, timeline: Timeline | None = None
+) -> DataFrame:
+    """Add the columns of a feature stage (all of them by default) to the log."""
+    stage = all_features() if stage is None else stage
+    if not (stage.first or stage.second):
+        return events.withColumns(stage.columns)
+    timeline = timeline or Timeline.plan(events)
+    return timeline.run(timeline.arrange(events), stage).select(*events.columns, *stage.columns)
+
+
+def feature_matrix(events: DataFrame, timeline: Timeline | None = None) -> DataFrame:
+    """The log with its 43 feature columns; the names are in ``schema.FEATURES``."""
+    df = add_features(events, None, timeline)
+    return df.select(*events.columns, *[c for c in FEATURES if c not in events.columns])
 
 
 def infer_feature_columns(df: DataFrame) -> list[str]:

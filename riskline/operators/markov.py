@@ -11,7 +11,7 @@ from riskline.config import MarkovConfig, ScaleConfig
 from riskline.functions import scalar as S
 from riskline.operators.joins import lookup_join
 from riskline.operators.scaling import scaled
-from riskline.operators.timeline import Timeline
+from riskline.operators.timeline import Context, Stage, Timeline
 from riskline.session import materialize
 
 
@@ -22,11 +22,11 @@ def training_rows(events: DataFrame) -> DataFrame:
     return events
 
 
-def contexts(
-    events: DataFrame, timeline: Timeline, order: int, source: DataFrame | None = None
-) -> DataFrame:
-    """Add ``prefix``: the user's ``order`` previous event types, null on the first rows."""
-    return timeline.context(events, "prefix", "event_type", order, source)
+def context_stage(order: int) -> Stage:
+    """``prefix``: the user's ``order`` previous event types, null on the first rows."""
+    return Stage(
+        first={"_prefix": Context("event_type", order)}, columns={"prefix": F.col("_prefix")}
+    )
 
 
 def transitions(
@@ -37,7 +37,7 @@ def transitions(
     ``source`` holds the cut users' share of ``events`` where that is not all their rows.
     """
     df = timeline.arrange(events.select("user_id", "timestamp", "event_id", "event_type"))
-    df = contexts(df, timeline, order, source).filter(F.col("prefix").isNotNull())
+    df = timeline.run(df, context_stage(order), source).filter(F.col("prefix").isNotNull())
     return df.select("user_id", "event_id", "prefix", F.col("event_type").alias("next"))
 
 
@@ -124,7 +124,7 @@ class MarkovModel:
     def raw_scores(self, events: DataFrame, timeline: Timeline | None = None) -> DataFrame:
         """Add ``markov_raw`` to the log; higher is more usual, a user's first rows are 0."""
         timeline = timeline or Timeline.plan(events, self.scale)
-        df = contexts(timeline.arrange(events), timeline, self.cfg.order)
+        df = timeline.run(timeline.arrange(events), context_stage(self.cfg.order))
         return self.score(df).select(*events.columns, "markov_raw")
 
     def label(self, df: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Declarative detection rules over the event log.
 
-A rule adds one boolean column. Rules over a user's own events share the layout of
-the timeline; a rule over the whole batch runs before the log is laid out by user.
+A rule yields one boolean column. Rules over a user's own events are merged into one
+stage of the timeline, so windows in the same order are computed together.
 """
 
 from __future__ import annotations
@@ -9,7 +9,8 @@ from __future__ import annotations
 import warnings
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,137 +18,126 @@ from pyspark.sql import functions as F
 from riskline.config import RuleConfig, ScaleConfig
 from riskline.functions import scalar as S
 from riskline.operators.joins import lookup_join
-from riskline.operators.timeline import Timeline
+from riskline.operators.timeline import Level, Previous, Running, Stage, Timeline, Total
 from riskline.schema import ATTACK_SEVERITY
 
+RULE_COLUMNS = ("rule_anomaly", "rule_names", "rule_severity", "rule_attack_type")
 MINUTE = 60 * S.MICROS
 HOUR = 60 * MINUTE
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``flag(df, timeline, hit)`` adds the boolean column ``hit``; it must keep all rows."""
+    """A named condition. Its ``stage`` holds one boolean column called ``hit_<name>``.
+
+    A rule over the whole batch has a function instead, ``batch(df, hit)``, which adds
+    that column and keeps all rows.
+    """
 
     name: str
     description: str
     attack_type: str
     severity: int
-    flag: Callable[[DataFrame, Timeline, str], DataFrame]
+    stage: Stage = Stage()
+    batch: Callable[[DataFrame, str], DataFrame] | None = None
     needs: tuple[str, ...] = ()
-    whole_batch: bool = False
 
     @classmethod
-    def where(cls, name, description, attack_type, severity, condition: Column, needs=()) -> Rule:
-        """A rule that looks at one row at a time."""
-        return cls(
-            name, description, attack_type, severity,
-            lambda df, timeline, hit: df.withColumn(hit, condition), tuple(needs),
-        )
+    def where(
+        cls, name: str, description: str, attack_type: str, severity: int,
+        condition: Column, stage: Stage = Stage(), needs: Sequence[str] = (),
+    ) -> Rule:
+        """A rule given by a condition on the log's columns and those of ``stage``."""
+        hit = F.coalesce(condition, F.lit(False))
+        stage = stage | Stage(columns={f"hit_{name}": hit})
+        return cls(name, description, attack_type, severity, stage, None, tuple(needs))
 
     @property
     def hit(self) -> str:
         return f"hit_{self.name}"
 
 
-def failed_logins_in_window(df: DataFrame, timeline: Timeline, name: str, minutes: int) -> DataFrame:
+def failed_logins(minutes: int, name: str = "_failures") -> Stage:
     """Failed logins of the user in the closed window that ends at each row."""
-    failed = (S.is_login() & ~F.col("success")).cast("int")
-    return timeline.trailing(df, name, failed, failed, minutes * MINUTE)
+    failed = F.coalesce((S.is_login() & ~F.col("success")).cast("int"), F.lit(0))
+    return Stage(levels={name: Level(failed, failed, minutes * MINUTE)})
 
 
-def resources_in_window(df: DataFrame, timeline: Timeline, name: str, hours: int) -> DataFrame:
+def _stays(previous: str, following: str, span: int) -> tuple[Column, Column]:
+    """Whether a sighting begins or ends a run of sightings at most a window apart."""
+    us = S.micros("timestamp")
+    begins = F.coalesce(us - S.micros(previous) > span, F.lit(True))
+    ends = F.coalesce(S.micros(following) - us > span, F.lit(True))
+    return begins, ends
+
+
+def distinct_resources(hours: int, name: str = "_distinct") -> Stage:
     """Distinct resources of the user in the closed window that ends at each row.
 
-    Sightings of one resource less than a window apart form one stay, so each stay
-    counts once however often the resource is touched.
+    Sightings of one resource at most a window apart form one stay, so each resource
+    counts once however often it is touched.
     """
     span = hours * HOUR
-    us = S.micros("timestamp")
-
-    def stays(rows: DataFrame) -> DataFrame:
-        rows = timeline.neighbour(rows, "_before", F.col("timestamp"), by=["resource"], step=-1)
-        rows = timeline.neighbour(rows, "_after", F.col("timestamp"), by=["resource"], step=1)
-        known = F.col("resource").isNotNull()
-        starts = F.coalesce(us - S.micros("_before") > span, F.lit(True)) & known
-        ends = F.coalesce(S.micros("_after") - us > span, F.lit(True)) & known
-        return rows.withColumns(
-            {"_starts": starts.cast("int"), "_ends": ends.cast("int")}
-        ).drop("_before", "_after")
-
-    df, source = timeline.both(df, stays)
-    df = timeline.trailing(df, name, F.col("_starts"), F.col("_ends"), span, source)
-    return df.drop("_starts", "_ends")
+    begins, ends = _stays("_last_resource", "_next_resource", span)
+    known = F.col("resource").isNotNull()
+    return Stage(
+        first={
+            "_last_resource": Previous(by=("resource",)),
+            "_next_resource": Previous(by=("resource",), ahead=True),
+        },
+        levels={name: Level((begins & known).cast("int"), (ends & known).cast("int"), span)},
+    )
 
 
-def daily_transfer_total(df: DataFrame, timeline: Timeline, name: str) -> DataFrame:
+def daily_transfer(name: str = "_moved") -> Stage:
     """Bytes the user's transfer events moved on the row's calendar date."""
     moved = F.when(S.is_transfer(), F.col("bytes_transferred")).otherwise(0)
-    return timeline.total(df, {name: (F.sum, moved)}, by={"_date": F.to_date("timestamp")})
+    return Stage(
+        keys={"_date": F.to_date("timestamp")},
+        first={name: Total(F.sum, moved, by=("_date",))},
+    )
 
 
-def half_night_rates(df: DataFrame, timeline: Timeline) -> DataFrame:
+def half_rates() -> Stage:
     """Night share of the first half of a user's events and of the rest."""
     night = S.is_night()
-
-    def halves(rows: DataFrame) -> DataFrame:
-        rows = timeline.running(rows, {"_pos": F.lit(1)})
-        rows = timeline.total(rows, {"events": (F.sum, F.lit(1))})
-        first = F.col("_pos") <= F.floor(F.col("events") / 2)
-        return rows.withColumn("half", F.when(first, 1).otherwise(2)).drop("_pos")
-
-    df, source = timeline.both(df, halves)
-    first = F.col("half") == 1
-    nights = {
-        "_night1": (F.sum, F.when(first, night).otherwise(0)),
-        "_night2": (F.sum, F.when(first, 0).otherwise(night)),
-    }
-    df = timeline.total(df, nights, source=source)
-    n1 = F.floor(F.col("events") / 2)
-    return df.withColumns(
-        {
-            "first_rate": F.try_divide(F.col("_night1"), n1),
-            "second_rate": F.try_divide(F.col("_night2"), F.col("events") - n1),
-        }
-    ).drop("_night1", "_night2")
-
-
-def brute_force(df, timeline, hit, *, cfg: RuleConfig):
-    df = failed_logins_in_window(df, timeline, "_failures", cfg.brute_force_minutes)
-    flagged = S.is_login() & (F.col("_failures") >= cfg.brute_force_failures)
-    return df.withColumn(hit, flagged).drop("_failures")
+    n1 = F.floor(F.col("_events") / 2)
+    in_first = F.col("_position") <= n1
+    return Stage(
+        first={"_position": Running(F.lit(1)), "_events": Total(F.sum, F.lit(1))},
+        second={
+            "_night1": Total(F.sum, F.when(in_first, night).otherwise(0)),
+            "_night2": Total(F.sum, F.when(in_first, 0).otherwise(night)),
+        },
+        columns={
+            "_half": F.when(in_first, 1).otherwise(2),
+            "_first_rate": F.try_divide(F.col("_night1"), n1),
+            "_second_rate": F.try_divide(F.col("_night2"), F.col("_events") - n1),
+        },
+    )
 
 
-# A user's logins form a time order of their own: the windows below split on the login
-# flag, and only logins read the result.
+def brute_force(cfg: RuleConfig) -> tuple[Stage, Column]:
+    stage = failed_logins(cfg.brute_force_minutes)
+    return stage, S.is_login() & (F.col("_failures") >= cfg.brute_force_failures)
 
 
-def impossible_travel(df, timeline, hit, *, cfg: RuleConfig):
-    last = F.struct("timestamp", "source_ip")
-    df = timeline.neighbour(df, "_last", last, by={"_login": S.is_login()})
-    gap = S.micros("timestamp") - S.micros("_last.timestamp")
-    flagged = (
-        S.is_login()
-        & (F.col("source_ip") != F.col("_last.source_ip"))
-        & (gap > 0)
-        & (gap < F.lit(cfg.travel_max_hours * HOUR))
-    )
-    return df.withColumn(hit, F.coalesce(flagged, F.lit(False))).drop("_last")
+def impossible_travel(cfg: RuleConfig) -> tuple[Stage, Column]:
+    last = Previous(F.struct("timestamp", "source_ip"), where=S.is_login())
+    gap = S.micros("timestamp") - S.micros("_login.timestamp")
+    moved = F.col("source_ip") != F.col("_login.source_ip")
+    soon = (gap > 0) & (gap < F.lit(cfg.travel_max_hours * HOUR))
+    return Stage(first={"_login": last}), S.is_login() & moved & soon
 
 
-def impossible_travel_geo(df, timeline, hit, *, cfg: RuleConfig):
+def impossible_travel_geo(cfg: RuleConfig) -> tuple[Stage, Column]:
     """Located logins further apart than the distance bound within the time bound."""
     located = S.is_login() & F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
-    last = F.struct("timestamp", "latitude", "longitude")
-    df = timeline.neighbour(df, "_last", last, by={"_located": located})
-    gap = S.micros("timestamp") - S.micros("_last.timestamp")
-    km = S.haversine_km("_last.latitude", "_last.longitude", "latitude", "longitude")
-    flagged = (
-        located
-        & (gap > 0)
-        & (gap < F.lit(cfg.travel_max_hours * HOUR))
-        & (km >= cfg.travel_min_km)
-    )
-    return df.withColumn(hit, F.coalesce(flagged, F.lit(False))).drop("_last")
+    last = Previous(F.struct("timestamp", "latitude", "longitude"), where=located)
+    gap = S.micros("timestamp") - S.micros("_place.timestamp")
+    km = S.haversine_km("_place.latitude", "_place.longitude", "latitude", "longitude")
+    soon = (gap > 0) & (gap < F.lit(cfg.travel_max_hours * HOUR))
+    return Stage(first={"_place": last}), located & soon & (km >= cfg.travel_min_km)
 
 
 def users_per_ip(df: DataFrame) -> DataFrame:
@@ -156,7 +146,7 @@ def users_per_ip(df: DataFrame) -> DataFrame:
     return pairs.groupBy("source_ip").agg(F.count("user_id").alias("users"))
 
 
-def credential_stuffing(df, timeline, hit, *, cfg: RuleConfig, scale: ScaleConfig):
+def credential_stuffing(df: DataFrame, hit: str, *, cfg: RuleConfig, scale: ScaleConfig) -> DataFrame:
     flagged = users_per_ip(df).filter(F.col("users") >= cfg.stuffing_users)
     flagged = flagged.select("source_ip", F.lit(True).alias("_flagged"))
     df = lookup_join(df, flagged, ["source_ip"], scale)
@@ -164,107 +154,110 @@ def credential_stuffing(df, timeline, hit, *, cfg: RuleConfig, scale: ScaleConfi
 
 
 def users_per_ip_in_window(df: DataFrame, name: str, minutes: int, scale: ScaleConfig) -> DataFrame:
-    """Distinct users that logged in from the row's address in the closed trailing window."""
+    """Logins with the distinct users of their address in the closed trailing window."""
     logins = df.filter(S.is_login())
-    per_ip = Timeline.plan(logins, scale, key="source_ip")
     span = minutes * MINUTE
-    us = S.micros("timestamp")
-
-    def stays(rows: DataFrame) -> DataFrame:
-        rows = per_ip.neighbour(rows, "_before", F.col("timestamp"), by=["user_id"], step=-1)
-        rows = per_ip.neighbour(rows, "_after", F.col("timestamp"), by=["user_id"], step=1)
-        starts = F.coalesce(us - S.micros("_before") > span, F.lit(True)).cast("int")
-        ends = F.coalesce(S.micros("_after") - us > span, F.lit(True)).cast("int")
-        return rows.withColumns({"_starts": starts, "_ends": ends}).drop("_before", "_after")
-
-    logins, source = per_ip.both(per_ip.arrange(logins), stays)
-    out = per_ip.trailing(logins, name, F.col("_starts"), F.col("_ends"), span, source)
-    return out.drop("_starts", "_ends", *[k for k in per_ip.keys if k not in df.columns])
+    begins, ends = _stays("_last_user", "_next_user", span)
+    stage = Stage(
+        first={
+            "_last_user": Previous(by=("user_id",)),
+            "_next_user": Previous(by=("user_id",), ahead=True),
+        },
+        levels={"_users": Level(begins.cast("int"), ends.cast("int"), span)},
+        columns={name: F.col("_users")},
+    )
+    per_ip = Timeline.plan(logins, scale, key="source_ip")
+    return per_ip.run(per_ip.arrange(logins), stage).select(*df.columns, name)
 
 
-def credential_stuffing_windowed(df, timeline, hit, *, cfg: RuleConfig, scale: ScaleConfig):
+def credential_stuffing_windowed(
+    df: DataFrame, hit: str, *, cfg: RuleConfig, scale: ScaleConfig
+) -> DataFrame:
     logins = users_per_ip_in_window(df, "_users", cfg.stuffing_minutes, scale)
     logins = logins.withColumn(hit, F.col("_users") >= cfg.stuffing_users).drop("_users")
     others = df.filter(~F.coalesce(S.is_login(), F.lit(False)))
     return logins.unionByName(others.withColumn(hit, F.lit(False)))
 
 
-def lateral_movement(df, timeline, hit, *, cfg: RuleConfig):
-    df = resources_in_window(df, timeline, "_resources", cfg.lateral_hours)
-    return df.withColumn(hit, F.col("_resources") >= cfg.lateral_resources).drop("_resources")
+def lateral_movement(cfg: RuleConfig) -> tuple[Stage, Column]:
+    stage = distinct_resources(cfg.lateral_hours)
+    return stage, F.col("_distinct") >= cfg.lateral_resources
 
 
-def device_spoofing(df, timeline, hit, *, cfg: RuleConfig):
-    login, seen = {"_login": S.is_login()}, F.col("timestamp")
-    same_device = {**login, "_device": F.col("device_id")}
-    df = timeline.neighbour(df, "_same", seen, by=same_device)
-    df = timeline.neighbour(df, "_any", seen, by=login)
-    flagged = S.is_login() & F.col("_same").isNull() & F.col("_any").isNotNull()
-    return df.withColumn(hit, flagged).drop("_same", "_any")
+def device_spoofing(cfg: RuleConfig) -> tuple[Stage, Column]:
+    login = S.is_login()
+    stage = Stage(
+        first={
+            "_device_login": Previous(by=("device_id",), where=login),
+            "_any_login": Previous(where=login),
+        }
+    )
+    return stage, login & F.col("_device_login").isNull() & F.col("_any_login").isNotNull()
 
 
-def exfiltration(df, timeline, hit, *, cfg: RuleConfig):
-    df = daily_transfer_total(df, timeline, "_moved")
-    flagged = S.is_transfer() & (F.col("_moved") > F.lit(cfg.exfiltration_kb * 1024))
-    return df.withColumn(hit, flagged).drop("_moved")
+def exfiltration(cfg: RuleConfig) -> tuple[Stage, Column]:
+    bound = F.lit(cfg.exfiltration_kb * 1024)
+    return daily_transfer(), S.is_transfer() & (F.col("_moved") > bound)
 
 
-def insider_drift(df, timeline, hit, *, cfg: RuleConfig):
-    df = half_night_rates(df, timeline)
+def insider_drift(cfg: RuleConfig) -> tuple[Stage, Column]:
+    rates = half_rates()
+    column = rates.columns
+    rises = column["_second_rate"] > column["_first_rate"] + F.lit(cfg.drift_rate_increase)
     flagged = (
-        (F.col("events") >= cfg.drift_min_events)
-        & (F.col("half") == 2)
+        (F.col("_events") >= cfg.drift_min_events)
+        & (column["_half"] == 2)
         & (S.is_night() == 1)
-        & (F.col("second_rate") > F.col("first_rate") + F.lit(cfg.drift_rate_increase))
+        & rises
     )
-    flagged = F.coalesce(flagged, F.lit(False))
-    return df.withColumn(hit, flagged).drop("events", "half", "first_rate", "second_rate")
+    return Stage(first=rates.first, second=rates.second), flagged
 
 
 def default_rules(cfg: RuleConfig = RuleConfig(), scale: ScaleConfig = ScaleConfig()) -> list[Rule]:
     """The seven rules in registration order; the order decides name lists and ties."""
 
-    def rule(name, attack_type, description, fn, needs, whole_batch=False, **extra):
-        return Rule(
-            name, description, attack_type, ATTACK_SEVERITY[attack_type],
-            partial(fn, cfg=cfg, **extra), needs, whole_batch,
-        )
+    def rule(name, attack_type, description, parts, needs):
+        stage, condition = parts
+        severity = ATTACK_SEVERITY[attack_type]
+        return Rule.where(name, description, attack_type, severity, condition, stage, needs)
 
     return [
         rule(
             "brute_force_login", "brute_force",
             "Many failed logins of one account within minutes",
-            brute_force, ("event_type", "success"),
+            brute_force(cfg), ("event_type", "success"),
         ),
         rule(
             "impossible_travel", "impossible_travel",
             "Logins from two addresses in too short a time",
-            impossible_travel, ("event_type", "source_ip"),
+            impossible_travel(cfg), ("event_type", "source_ip"),
         ),
-        rule(
-            "credential_stuffing", "credential_stuffing",
+        Rule(
+            "credential_stuffing",
             "Many accounts tried from one address",
-            credential_stuffing, ("event_type", "source_ip"), True, scale=scale,
+            "credential_stuffing", ATTACK_SEVERITY["credential_stuffing"],
+            batch=partial(credential_stuffing, cfg=cfg, scale=scale),
+            needs=("event_type", "source_ip"),
         ),
         rule(
             "lateral_movement", "lateral_movement",
             "Unusually many resources touched within hours",
-            lateral_movement, ("resource",),
+            lateral_movement(cfg), ("resource",),
         ),
         rule(
             "device_spoofing", "device_spoofing",
             "Login from a device the user has not logged in from",
-            device_spoofing, ("event_type", "device_id"),
+            device_spoofing(cfg), ("event_type", "device_id"),
         ),
         rule(
             "low_and_slow_exfiltration", "low_and_slow_exfiltration",
             "Daily transfer volume above the bound",
-            exfiltration, ("event_type", "bytes_transferred"),
+            exfiltration(cfg), ("event_type", "bytes_transferred"),
         ),
         rule(
             "insider_drift", "insider_drift",
             "Night activity rises in the second half of the user's history",
-            insider_drift, ("timestamp",),
+            insider_drift(cfg), ("timestamp",),
         ),
     ]
 
@@ -303,18 +296,17 @@ def combine(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     ).drop(*[r.hit for r in rules])
 
 
-def whole_batch_flags(df: DataFrame, rules: Sequence[Rule], timeline: Timeline) -> DataFrame:
+def batch_flags(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Hits of the rules over the whole batch, taken before the log is laid out by user."""
     for rule in rules:
-        if rule.whole_batch:
-            df = rule.flag(df, timeline, rule.hit)
+        if rule.batch is not None:
+            df = rule.batch(df, rule.hit)
     return df
 
 
-def user_flags(df: DataFrame, rules: Sequence[Rule], timeline: Timeline) -> DataFrame:
-    for rule in rules:
-        if not rule.whole_batch:
-            df = rule.flag(df, timeline, rule.hit)
-    return df
+def user_stage(rules: Sequence[Rule]) -> Stage:
+    """The stages of all rules over a user's own events, as one."""
+    return reduce(or_, [rule.stage for rule in rules], Stage())
 
 
 def evaluate(
@@ -325,12 +317,10 @@ def evaluate(
     scale: ScaleConfig = ScaleConfig(),
 ) -> DataFrame:
     """Run the rules over the log and add the four combined columns."""
-    given = events.columns
     timeline = timeline or Timeline.plan(events, scale)
-    rules = runnable(default_rules(cfg, scale) if rules is None else rules, given)
-    df = timeline.arrange(whole_batch_flags(events, rules, timeline))
-    df = combine(user_flags(df, rules, timeline), rules)
-    return df.select(*given, "rule_anomaly", "rule_names", "rule_severity", "rule_attack_type")
+    rules = runnable(default_rules(cfg, scale) if rules is None else rules, events.columns)
+    df = timeline.run(timeline.arrange(batch_flags(events, rules)), user_stage(rules))
+    return combine(df, rules).select(*events.columns, *RULE_COLUMNS)
 
 
 def flag_rows(
@@ -340,12 +330,11 @@ def flag_rows(
     scale: ScaleConfig = ScaleConfig(),
 ) -> DataFrame:
     """The rows one rule hits."""
-    given = events.columns
-    timeline = timeline or Timeline.plan(events, scale)
-    df = whole_batch_flags(events, [rule], timeline)
-    if not rule.whole_batch:
-        df = rule.flag(timeline.arrange(df), timeline, rule.hit)
-    return df.filter(rule.hit).select(*given)
+    df = batch_flags(events, [rule])
+    if rule.batch is None:
+        timeline = timeline or Timeline.plan(events, scale)
+        df = timeline.run(timeline.arrange(df), rule.stage)
+    return df.filter(rule.hit).select(*events.columns)
 
 
 def rule_trigger_counts(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from riskline.config import ScaleConfig
 from riskline.operators.scaling import kth_smallest
-from riskline.operators.timeline import Timeline
+from riskline.operators.timeline import Running, Stage, Timeline
 
 
 def sequential_event_id(
@@ -26,9 +26,11 @@ def sequential_event_id(
     """
     log = df.withColumn("_log", F.lit(0))
     timeline = Timeline.plan(log, scale, key="_log", order=order)
-    log = timeline.running(timeline.arrange(log), {"_pos": F.lit(1)})
-    numbered = log.withColumn(name, F.format_string("EVT-%06d", F.col("_pos") - 1))
-    return numbered.drop("_pos", *timeline.keys)
+    stage = Stage(
+        first={"_pos": Running(F.lit(1))},
+        columns={name: F.format_string("EVT-%06d", F.col("_pos") - 1)},
+    )
+    return timeline.run(timeline.arrange(log), stage).drop(*timeline.keys)
 
 
 def sample_normal_rows(df: DataFrame, ratio: float, seed: int = 42) -> DataFrame:

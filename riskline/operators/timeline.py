@@ -9,12 +9,15 @@ is taken from a small per-slice aggregate that is joined back on the slice.
 The log is shuffled once, by (user, slice); every window below reuses that layout.
 The per-slice aggregates are read from ``cut``, a table of the cut users' rows that is
 written once, and never from the chain of windows itself.
+
+What to compute is declared as a :class:`Stage`. Stages merge, and columns that share a
+sort order then share one window operator.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +29,81 @@ from riskline.session import materialize
 SLICE = "_slice"
 
 
+@dataclass(frozen=True)
+class Previous:
+    """``value`` (never null) of the nearest earlier row of (user, *by), or later if ``ahead``.
+
+    Without a value it is the time itself. With ``where`` only such rows are looked at.
+    """
+
+    value: Column | None = None
+    by: tuple[str, ...] = ()
+    where: Column | None = None
+    ahead: bool = False
+
+
+@dataclass(frozen=True)
+class Context:
+    """The ``depth`` previous values of a string column, oldest first; null where fewer exist."""
+
+    value: str
+    depth: int
+    by: tuple[str, ...] = ()
+
+
+@dataclass(frozen=True)
+class Running:
+    """Sum over the rows of (user, *by) up to and including the row."""
+
+    value: Column
+    by: tuple[str, ...] = ()
+
+
+@dataclass(frozen=True)
+class Total:
+    """Sum, minimum or maximum over all rows of (user, *by), copied to each of them."""
+
+    fn: Callable[..., Column]
+    value: Column
+    by: tuple[str, ...] = ()
+
+
+@dataclass(frozen=True)
+class Level:
+    """Units present in a closed trailing window.
+
+    A row adds ``enter`` units at its own time and takes ``leave`` units away one
+    microsecond after ``micros_back`` has passed.
+    """
+
+    enter: Column
+    leave: Column
+    micros_back: int
+
+
+Spec = Previous | Context | Running | Total
+
+
+@dataclass(frozen=True)
+class Stage:
+    """Columns over each user's time order, in the order they may use each other."""
+
+    keys: Mapping[str, Column] = field(default_factory=dict)
+    first: Mapping[str, Spec] = field(default_factory=dict)
+    second: Mapping[str, Spec] = field(default_factory=dict)
+    levels: Mapping[str, Level] = field(default_factory=dict)
+    columns: Mapping[str, Column] = field(default_factory=dict)
+
+    def __or__(self, other: Stage) -> Stage:
+        return Stage(
+            {**self.keys, **other.keys},
+            {**self.first, **other.first},
+            {**self.second, **other.second},
+            {**self.levels, **other.levels},
+            {**self.columns, **other.columns},
+        )
+
+
 @dataclass(frozen=True)
 class Timeline:
     key: str = "user_id"
@@ -114,162 +192,157 @@ class Timeline:
     def ordered(self, by: Sequence[str] = ()):
         return self.window(by).orderBy(*self.order)
 
-    def both(
-        self, df: DataFrame, step: Callable[[DataFrame], DataFrame]
-    ) -> tuple[DataFrame, DataFrame | None]:
-        """Apply a step to the log and, where users are cut, to their rows as well."""
-        return step(df), step(self.cut) if self.sliced else None
+    def run(self, df: DataFrame, stage: Stage, source: DataFrame | None = None) -> DataFrame:
+        """Add the columns of a stage to rows laid out by :meth:`arrange`.
+
+        ``source`` holds the cut users' share of the rows where that is not all of theirs.
+        """
+        given = df.columns
+        df = self._add(df.withColumns(stage.keys), stage.first, source, stage.keys)
+        if stage.second or stage.levels:
+            if self.sliced:
+                source = (self.cut if source is None else source).withColumns(stage.keys)
+                source = self._add(self.arrange(source), stage.first, source, {})
+            df = self._add(df, stage.second, source, {})
+            df = self._levels(df, stage.levels, source)
+        df = df.withColumns(stage.columns)
+        return df.select(*given, *[c for c in stage.columns if c not in given])
 
     def _across(self, by: Sequence[str]):
         return Window.partitionBy(self.key, *by)
 
-    def _attach(self, df: DataFrame, carry: DataFrame, by: Sequence[str]) -> DataFrame:
-        # Both sides lie by (user, slice), so the log itself is not shuffled again.
-        return df.join(carry.repartition(*self.keys), [*self.keys, *by], "left")
+    def _local(self, spec: Spec) -> Column:
+        """The value of a spec within the slice."""
+        rows = self.ordered(spec.by)
+        if isinstance(spec, Total):
+            return spec.fn(spec.value).over(self.window(spec.by))
+        if isinstance(spec, Running):
+            return F.sum(spec.value).over(rows.rowsBetween(Window.unboundedPreceding, 0))
+        if isinstance(spec, Context):
+            lags = [F.lag(spec.value, i).over(rows) for i in range(spec.depth, 0, -1)]
+            return F.array_compact(F.array(*lags))
+        value = F.col(self.order[0]) if spec.value is None else spec.value
+        if spec.where is not None:
+            before = rows.rowsBetween(Window.unboundedPreceding, -1)
+            return F.last(F.when(spec.where, value), ignorenulls=True).over(before)
+        return (F.lead if spec.ahead else F.lag)(value).over(rows)
 
-    def neighbour(
-        self,
-        df: DataFrame,
-        name: str,
-        value: Column,
-        by: Mapping[str, Column] | Sequence[str] = (),
-        step: int = -1,
-        source: DataFrame | None = None,
-    ) -> DataFrame:
-        """``value`` (never null) of the previous or next row of (user, *by); null at the ends."""
-        shift, edge = (F.lag, F.max_by) if step < 0 else (F.lead, F.min_by)
-        extra = dict(by) if isinstance(by, Mapping) else {}
-        df = df.withColumns(extra)
-        by = list(by)
-        out = df.withColumn(name, shift(value).over(self.ordered(by)))
-        if self.sliced:
-            source = (self.cut if source is None else source).withColumns(extra)
-            edges = source.groupBy(*self.keys, *by).agg(
-                edge(value, F.struct(*self.order)).alias("_edge")
-            )
-            carry = edges.select(
-                *self.keys, *by,
-                shift("_edge").over(self._across(by).orderBy(SLICE)).alias("_carry"),
-            )
-            out = self._attach(out, carry, by)
-            out = out.withColumn(name, F.coalesce(name, "_carry")).drop("_carry")
-        return out.drop(*extra)
-
-    def context(
-        self, df: DataFrame, name: str, value: str, depth: int, source: DataFrame | None = None
-    ) -> DataFrame:
-        """The ``depth`` previous values of the user, oldest first; null where fewer exist."""
-        lags = F.array(*[F.lag(value, i).over(self.ordered()) for i in range(depth, 0, -1)])
-        out = df.withColumn(name, F.array_compact(lags))
-        if self.sliced:
-            # The slice's last values: at most `depth`, fewer in a shorter slice.
-            source = (self.cut if source is None else source).withColumn("_before", F.array_compact(lags))
-            tail = F.concat("_before", F.array(value))
-            tail = F.when(F.size(tail) > depth, F.slice(tail, -depth, depth)).otherwise(tail)
-            edges = source.groupBy(*self.keys).agg(
-                F.max_by(tail, F.struct(*self.order)).alias("_edge")
-            )
+    def _edge(self, name: str, spec: Spec) -> Column:
+        """What later (or earlier) slices need of one slice."""
+        if isinstance(spec, Total):
+            return spec.fn(spec.value)
+        if isinstance(spec, Running):
+            return F.sum(spec.value)
+        order = F.struct(*self.order)
+        if isinstance(spec, Context):
+            tail = F.concat(name, F.array(spec.value))
+            full = F.slice(tail, -spec.depth, spec.depth)
+            return F.max_by(F.when(F.size(tail) > spec.depth, full).otherwise(tail), order)
+        if spec.value is None:
+            time = F.col(self.order[0])
+            time = time if spec.where is None else F.when(spec.where, time)
+            return (F.min if spec.ahead else F.max)(time)
+        if spec.where is not None:
+            return F.max_by(spec.value, F.when(spec.where, order))
+        return (F.min_by if spec.ahead else F.max_by)(spec.value, order)
+
+    def _carried(self, name: str, spec: Spec) -> Column:
+        """The edges of the other slices, folded into what this slice starts from."""
+        across = self._across(spec.by)
+        if isinstance(spec, Total):
+            return spec.fn(name).over(across)
+        slices = across.orderBy(SLICE)
+        if isinstance(spec, Running):
+            return F.sum(name).over(slices.rowsBetween(Window.unboundedPreceding, -1))
+        if isinstance(spec, Context):
             # Every slice holds at least one row, so `depth` slices reach far enough back.
-            recent = self._across(()).orderBy(SLICE).rowsBetween(-depth, -1)
-            carry = edges.select(
-                *self.keys, F.flatten(F.collect_list("_edge").over(recent)).alias("_carry")
-            )
-            none = F.array().cast("array<string>")
-            out = self._attach(out, carry, ())
-            out = out.withColumn(name, F.concat(F.coalesce("_carry", none), name)).drop("_carry")
-        full = F.when(F.size(name) >= depth, F.slice(name, -depth, depth))
-        return out.withColumn(name, full)
-
-    def running(
-        self,
-        df: DataFrame,
-        sums: Mapping[str, Column],
-        by: Sequence[str] = (),
-        at: str | None = None,
-        source: DataFrame | None = None,
-    ) -> DataFrame:
-        """Running sums up to and including the row; with ``at``, rows tied on it count too."""
-        if at is None:
-            frame = self.ordered(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        else:
-            frame = self.window(by).orderBy(at)
-            frame = frame.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        out = df.withColumns({k: F.sum(v).over(frame) for k, v in sums.items()})
-        if not self.sliced:
-            return out
-        source = self.cut if source is None else source
-        parts = source.groupBy(*self.keys, *by).agg(*[F.sum(v).alias(k) for k, v in sums.items()])
-        before = self._across(by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-        carry = parts.select(
-            *self.keys, *by, *[F.sum(k).over(before).alias(f"_base_{k}") for k in sums]
-        )
-        out = self._attach(out, carry, by)
-        out = out.withColumns({k: F.col(k) + F.coalesce(f"_base_{k}", F.lit(0)) for k in sums})
-        return out.drop(*[f"_base_{k}" for k in sums])
+            return F.flatten(F.collect_list(name).over(slices.rowsBetween(-spec.depth, -1)))
+        if spec.where is not None:
+            earlier = slices.rowsBetween(Window.unboundedPreceding, -1)
+            return F.last(name, ignorenulls=True).over(earlier)
+        return (F.lead if spec.ahead else F.lag)(name).over(slices)
+
+    def _joined(self, name: str, spec: Spec) -> Column:
+        local, carried = F.col(name), F.col(f"_in_{name}")
+        if isinstance(spec, Total):
+            return F.coalesce(carried, local)
+        if isinstance(spec, Running):
+            return local + F.coalesce(carried, F.lit(0))
+        if isinstance(spec, Context):
+            return F.concat(F.coalesce(carried, F.array().cast("array<string>")), local)
+        return F.coalesce(local, carried)
 
-    def total(
+    def _add(
         self,
         df: DataFrame,
-        aggregates: Mapping[str, tuple[Callable[..., Column], Column]],
-        by: Mapping[str, Column] | Sequence[str] = (),
-        source: DataFrame | None = None,
+        specs: Mapping[str, Spec],
+        source: DataFrame | None,
+        keys: Mapping[str, Column],
     ) -> DataFrame:
-        """Sums, minima or maxima over all rows of (user, *by), copied to each of them."""
-        extra = dict(by) if isinstance(by, Mapping) else {}
-        df = df.withColumns(extra)
-        by = list(by)
-        whole = self.window(by)
-        out = df.withColumns({k: fn(v).over(whole) for k, (fn, v) in aggregates.items()})
+        if not specs:
+            return df
+        df = df.withColumns({name: self._local(spec) for name, spec in specs.items()})
+        contexts = {n: s for n, s in specs.items() if isinstance(s, Context)}
         if self.sliced:
-            source = (self.cut if source is None else source).withColumns(extra)
-            parts = source.groupBy(*self.keys, *by).agg(
-                *[fn(v).alias(k) for k, (fn, v) in aggregates.items()]
-            )
-            across = self._across(by)
-            carry = parts.select(
-                *self.keys, *by,
-                *[fn(k).over(across).alias(f"_whole_{k}") for k, (fn, _) in aggregates.items()],
-            )
-            out = self._attach(out, carry, by)
-            out = out.withColumns({k: F.coalesce(f"_whole_{k}", k) for k in aggregates})
-            out = out.drop(*[f"_whole_{k}" for k in aggregates])
-        return out.drop(*extra)
-
-    def trailing(
-        self,
-        df: DataFrame,
-        name: str,
-        enter: Column,
-        leave: Column,
-        micros_back: int,
-        source: DataFrame | None = None,
+            source = (self.cut if source is None else source).withColumns(keys)
+            source = source.withColumns({n: self._local(s) for n, s in contexts.items()})
+            for by in dict.fromkeys(spec.by for spec in specs.values()):
+                group = {n: s for n, s in specs.items() if s.by == by}
+                edges = source.groupBy(*self.keys, *by).agg(
+                    *[self._edge(n, s).alias(n) for n, s in group.items()]
+                )
+                carry = edges.select(
+                    *self.keys, *by, *[self._carried(n, s).alias(f"_in_{n}") for n, s in group.items()]
+                )
+                # Both sides lie by (user, slice), so the log itself is not shuffled again.
+                carry = carry.repartition(*self.keys)
+                df = df.join(carry, [*self.keys, *by], "left")
+                df = df.withColumns({n: self._joined(n, s) for n, s in group.items()})
+                df = df.drop(*[f"_in_{n}" for n in group])
+        return df.withColumns(
+            {
+                n: F.when(F.size(n) >= s.depth, F.slice(n, -s.depth, s.depth))
+                for n, s in contexts.items()
+            }
+        )
+
+    def _levels(
+        self, df: DataFrame, levels: Mapping[str, Level], source: DataFrame | None
     ) -> DataFrame:
-        """Running level of units that stay for a closed trailing window.
+        """The level of every row, ties in time included, as a running sum over its changes.
 
-        A row adds ``enter`` units at its own time and takes ``leave`` units away one
-        microsecond after ``micros_back`` has passed. The level seen by a row (ties
-        included) is a running sum, so its cost does not grow with the window: no
-        frame is re-read per row, as a RANGE frame would be.
+        The cost does not grow with the window: no frame is read again for each row, as
+        it is for a bounded RANGE frame.
         """
+        if not levels:
+            return df
         us = micros(self.order[0])
-        arrive = F.struct(us.alias("at"), enter.cast("long").alias("delta"), F.lit(True).alias("real"))
-        depart = F.struct(
-            (us + F.lit(micros_back + 1)).alias("at"),
-            (-leave.cast("long")).alias("delta"),
-            F.lit(False).alias("real"),
-        )
-        points = F.when(leave.cast("long") > 0, F.array(arrive, depart)).otherwise(F.array(arrive))
+
+        def change(at: Column, real: bool, deltas: Mapping[str, Column]) -> Column:
+            moves = [deltas.get(n, F.lit(0)).cast("long").alias(n) for n in levels]
+            return F.struct(at.alias("_at"), F.lit(real).alias("_real"), *moves)
+
+        changes = [change(us, True, {n: level.enter for n, level in levels.items()})]
+        for n, level in levels.items():
+            later = change(us + F.lit(level.micros_back + 1), False, {n: -level.leave.cast("long")})
+            changes.append(F.when(level.leave.cast("long") > 0, later))
 
         def explode(rows: DataFrame) -> DataFrame:
-            return rows.withColumn("_p", F.explode(points)).withColumns(
-                {"_at": F.col("_p.at"), "_delta": F.col("_p.delta"), "_real": F.col("_p.real")}
-            ).drop("_p")
+            rows = rows.withColumn("_p", F.explode(F.array_compact(F.array(*changes))))
+            return rows.select("*", "_p.*").drop("_p")
 
         moved, at = explode(df), F.col("_at")
         if self.sliced:
             # A departure may belong to a later slice; an uncut user's rows are in place.
             moved = self.arrange(moved, at)
-            source = explode(self.cut if source is None else source)
-            source = self.assign(source.select(self.key, "_at", "_delta"), at)
-        out = self.running(moved, {name: F.col("_delta")}, at="_at", source=source)
-        return out.filter("_real").drop("_at", "_delta", "_real")
+            points = explode(source).select(self.key, "_at", *levels)
+            parts = self.assign(points, at).groupBy(*self.keys).agg(*[F.sum(n).alias(n) for n in levels])
+            before = self._across(()).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+            carry = parts.select(*self.keys, *[F.sum(n).over(before).alias(f"_in_{n}") for n in levels])
+        frame = self.window().orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+        out = moved.withColumns({n: F.sum(n).over(frame) for n in levels}).filter("_real")
+        if self.sliced:
+            out = out.join(carry.repartition(*self.keys), self.keys, "left")
+            out = out.withColumns({n: F.col(n) + F.coalesce(f"_in_{n}", F.lit(0)) for n in levels})
+            out = out.drop(*[f"_in_{n}" for n in levels])
+        return out.drop("_at", "_real")

@@ -9,17 +9,15 @@ from pyspark.sql import functions as F
 
 from riskline.config import ScoringConfig
 from riskline.operators import rules as R
-from riskline.operators.features import feature_matrix
+from riskline.operators.features import all_features
 from riskline.operators.forest import ForestModel
 from riskline.operators.fusion import composite_score, label_risk
-from riskline.operators.markov import MarkovModel, contexts
+from riskline.operators.markov import MarkovModel, context_stage
 from riskline.operators.scaling import bounds, scaled
 from riskline.operators.timeline import Timeline
 from riskline.schema import FEATURES
 from riskline.session import materialize
 
-RULE_COLUMNS = ("rule_anomaly", "rule_names", "rule_severity", "rule_attack_type")
-
 
 @dataclass(frozen=True)
 class ScoringModel:
@@ -53,12 +51,11 @@ def detected(events: DataFrame, markov: MarkovModel, timeline: Timeline, cfg: Sc
     rules = R.runnable(
         R.default_rules(cfg.rules, cfg.scale) if rules is None else rules, events.columns
     )
-    df = timeline.arrange(R.whole_batch_flags(events, rules, timeline))
-    df = R.combine(R.user_flags(df, rules, timeline), rules)
-    df = feature_matrix(df, timeline)
-    df = markov.score(contexts(df, timeline, cfg.markov.order))
+    stage = R.user_stage(rules) | all_features() | context_stage(cfg.markov.order)
+    df = timeline.run(timeline.arrange(R.batch_flags(events, rules)), stage)
+    df = markov.score(R.combine(df, rules))
     added = [c for c in FEATURES if c not in events.columns]
-    return df.select(*events.columns, *added, *RULE_COLUMNS, "markov_raw")
+    return df.select(*events.columns, *added, *R.RULE_COLUMNS, "markov_raw")
 
 
 def fit_and_score(
