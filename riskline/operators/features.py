@@ -18,7 +18,7 @@ def temporal_features() -> Stage:
     ts = F.col("timestamp")
     weekday = F.weekday(ts)
     return Stage(
-        columns={
+        early={
             "hour": F.hour(ts),
             "minute": F.minute(ts),
             "day_of_week": weekday,
@@ -34,7 +34,7 @@ def event_type_onehot() -> Stage:
     def flag(label: str) -> Column:
         return F.coalesce((F.col("event_type") == label).cast("int"), F.lit(0))
 
-    return Stage(columns={f"etype_{t}": flag(t) for t in EVENT_TYPES})
+    return Stage(early={f"etype_{t}": flag(t) for t in EVENT_TYPES})
 
 
 def _first_sighting(column: str) -> Column:
@@ -67,16 +67,18 @@ def frequency_features() -> Stage:
             "_devices": Total(F.sum, _first_sighting("device_id")),
             "_resources": Total(F.sum, _first_sighting("resource")),
         },
-        columns={
+        early={
             "events_in_window": F.col("_events"),
-            "unique_ips": F.col("_ips"),
-            "unique_devices": F.col("_devices"),
-            "unique_resources": F.col("_resources"),
             "login_failure_rate": F.when(login, rate).otherwise(0.0),
             "total_bytes_user": F.col("_bytes"),
             "mean_bytes_user": mean,
             "max_bytes_user": F.col("_largest"),
         },
+        late={
+            "unique_ips": F.col("_ips"),
+            "unique_devices": F.col("_devices"),
+            "unique_resources": F.col("_resources"),
+        },
     )
 
 
@@ -97,7 +99,7 @@ def running_entropy() -> Stage:
             "_position": Running(F.lit(1)),
         },
         second={"_clogc": Running(gain), "_types": Running((F.col("_of_type") == 1).cast("int"))},
-        columns={"event_type_entropy": entropy},
+        late={"event_type_entropy": entropy},
     )
 
 
@@ -110,21 +112,21 @@ def seconds_since_prev() -> Stage:
     seconds = _seconds_since("_prev_time")
     return Stage(
         first={"_prev_time": Previous()},
-        columns={"seconds_since_prev": seconds, "minutes_since_prev": seconds / 60.0},
+        early={"seconds_since_prev": seconds, "minutes_since_prev": seconds / 60.0},
     )
 
 
 def seconds_since_prev_same_type() -> Stage:
     return Stage(
         first={"_prev_of_type": Previous(by=("event_type",))},
-        columns={"seconds_since_prev_same_type": _seconds_since("_prev_of_type")},
+        early={"seconds_since_prev_same_type": _seconds_since("_prev_of_type")},
     )
 
 
 def cumulative_event_count() -> Stage:
     return Stage(
         first={"_position": Running(F.lit(1))},
-        columns={"cumulative_event_count": F.col("_position")},
+        early={"cumulative_event_count": F.col("_position")},
     )
 
 
@@ -137,7 +139,7 @@ def day_boundaries() -> Stage:
 
     return Stage(
         first={"_prev_time": Previous(), "_next_time": Previous(ahead=True)},
-        columns={
+        early={
             "is_first_event_of_day": other_day("_prev_time"),
             "is_last_event_of_day": other_day("_next_time"),
         },
@@ -160,7 +162,7 @@ def transition_flags() -> Stage:
 
     return Stage(
         first={"_prev_type": Previous(F.col("event_type"))},
-        columns={f"trans_{a}_to_{b}": flag(a, b) for a, b in TRANSITIONS},
+        early={f"trans_{a}_to_{b}": flag(a, b) for a, b in TRANSITIONS},
     )
 
 
@@ -168,11 +170,11 @@ def novelty_features() -> Stage:
     return Stage(
         first=_sightings("source_ip", "device_id"),
         second={"_devices_so_far": Running(_first_sighting("device_id"))},
-        columns={
-            "cumulative_devices_seen": F.col("_devices_so_far"),
+        early={
             "is_new_device": _first_sighting("device_id"),
             "is_new_ip": _first_sighting("source_ip"),
         },
+        late={"cumulative_devices_seen": F.col("_devices_so_far")},
     )
 
 
@@ -193,10 +195,11 @@ def add_features(
 ) -> DataFrame:
     """Add the columns of a feature stage (all of them by default) to the log."""
     stage = all_features() if stage is None else stage
-    if not (stage.first or stage.second):
-        return events.withColumns(stage.columns)
+    if not (stage.first or stage.second or stage.levels):
+        return events.withColumns({**stage.early, **stage.late})
     timeline = timeline or Timeline.plan(events)
-    return timeline.run(timeline.arrange(events), stage).select(*events.columns, *stage.columns)
+    df = timeline.run(timeline.arrange(events), stage)
+    return df.drop(*[k for k in timeline.keys if k not in events.columns])
 
 
 def feature_matrix(events: DataFrame, timeline: Timeline | None = None) -> DataFrame:

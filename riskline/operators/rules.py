@@ -48,8 +48,8 @@ class Rule:
         condition: Column, stage: Stage = Stage(), needs: Sequence[str] = (),
     ) -> Rule:
         """A rule given by a condition on the log's columns and those of ``stage``."""
-        hit = F.coalesce(condition, F.lit(False))
-        stage = stage | Stage(columns={f"hit_{name}": hit})
+        hit = {f"hit_{name}": F.coalesce(condition, F.lit(False))}
+        stage = stage | (Stage(late=hit) if stage.second else Stage(early=hit))
         return cls(name, description, attack_type, severity, stage, None, tuple(needs))
 
     @property
@@ -109,10 +109,10 @@ def half_rates() -> Stage:
             "_night1": Total(F.sum, F.when(in_first, night).otherwise(0)),
             "_night2": Total(F.sum, F.when(in_first, 0).otherwise(night)),
         },
-        columns={
-            "_half": F.when(in_first, 1).otherwise(2),
-            "_first_rate": F.try_divide(F.col("_night1"), n1),
-            "_second_rate": F.try_divide(F.col("_night2"), F.col("_events") - n1),
+        late={
+            "half": F.when(in_first, 1).otherwise(2),
+            "first_rate": F.try_divide(F.col("_night1"), n1),
+            "second_rate": F.try_divide(F.col("_night2"), F.col("_events") - n1),
         },
     )
 
@@ -164,7 +164,7 @@ def users_per_ip_in_window(df: DataFrame, name: str, minutes: int, scale: ScaleC
             "_next_user": Previous(by=("user_id",), ahead=True),
         },
         levels={"_users": Level(begins.cast("int"), ends.cast("int"), span)},
-        columns={name: F.col("_users")},
+        early={name: F.col("_users")},
     )
     per_ip = Timeline.plan(logins, scale, key="source_ip")
     return per_ip.run(per_ip.arrange(logins), stage).select(*df.columns, name)
@@ -202,11 +202,11 @@ def exfiltration(cfg: RuleConfig) -> tuple[Stage, Column]:
 
 def insider_drift(cfg: RuleConfig) -> tuple[Stage, Column]:
     rates = half_rates()
-    column = rates.columns
-    rises = column["_second_rate"] > column["_first_rate"] + F.lit(cfg.drift_rate_increase)
+    column = rates.late
+    rises = column["second_rate"] > column["first_rate"] + F.lit(cfg.drift_rate_increase)
     flagged = (
         (F.col("_events") >= cfg.drift_min_events)
-        & (column["_half"] == 2)
+        & (column["half"] == 2)
         & (S.is_night() == 1)
         & rises
     )

@@ -28,7 +28,7 @@ def sequential_event_id(
     timeline = Timeline.plan(log, scale, key="_log", order=order)
     stage = Stage(
         first={"_pos": Running(F.lit(1))},
-        columns={name: F.format_string("EVT-%06d", F.col("_pos") - 1)},
+        early={name: F.format_string("EVT-%06d", F.col("_pos") - 1)},
     )
     return timeline.run(timeline.arrange(log), stage).drop(*timeline.keys)
 

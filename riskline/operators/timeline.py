@@ -86,21 +86,28 @@ Spec = Previous | Context | Running | Total
 
 @dataclass(frozen=True)
 class Stage:
-    """Columns over each user's time order, in the order they may use each other."""
+    """Columns over each user's time order.
+
+    ``keys`` are derived grouping columns. ``levels`` and ``second`` may use what ``first``
+    computes, ``early`` columns what ``first`` and ``levels`` compute, ``late`` columns
+    everything. Only early and late columns remain.
+    """
 
     keys: Mapping[str, Column] = field(default_factory=dict)
     first: Mapping[str, Spec] = field(default_factory=dict)
-    second: Mapping[str, Spec] = field(default_factory=dict)
     levels: Mapping[str, Level] = field(default_factory=dict)
-    columns: Mapping[str, Column] = field(default_factory=dict)
+    early: Mapping[str, Column] = field(default_factory=dict)
+    second: Mapping[str, Spec] = field(default_factory=dict)
+    late: Mapping[str, Column] = field(default_factory=dict)
 
     def __or__(self, other: Stage) -> Stage:
         return Stage(
             {**self.keys, **other.keys},
             {**self.first, **other.first},
-            {**self.second, **other.second},
             {**self.levels, **other.levels},
-            {**self.columns, **other.columns},
+            {**self.early, **other.early},
+            {**self.second, **other.second},
+            {**self.late, **other.late},
         )
 
 
@@ -199,14 +206,17 @@ class Timeline:
         """
         given = df.columns
         df = self._add(df.withColumns(stage.keys), stage.first, source, stage.keys)
-        if stage.second or stage.levels:
-            if self.sliced:
-                source = (self.cut if source is None else source).withColumns(stage.keys)
-                source = self._add(self.arrange(source), stage.first, source, {})
-            df = self._add(df, stage.second, source, {})
-            df = self._levels(df, stage.levels, source)
-        df = df.withColumns(stage.columns)
-        return df.select(*given, *[c for c in stage.columns if c not in given])
+        if self.sliced and (stage.second or stage.levels):
+            source = (self.cut if source is None else source).withColumns(stage.keys)
+            source = self._add(self.arrange(source), stage.first, source, {})
+        df = self._levels(df, stage.levels, source)
+        # Early columns are projected after most sorts, so that few sorts carry them, and
+        # apart from the late ones: the method compiled for one projection of them all
+        # would be too long for the JIT compiler.
+        df = self._add(df.withColumns(stage.early), stage.second, source, {})
+        df = df.withColumns(stage.late)
+        added = [*stage.early, *stage.late]
+        return df.select(*given, *[c for c in added if c not in given])
 
     def _across(self, by: Sequence[str]):
         return Window.partitionBy(self.key, *by)
