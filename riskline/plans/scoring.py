@@ -40,6 +40,12 @@ class ScoringModel:
             }
         )
 
+    def score(self, events: DataFrame, rules=None) -> DataFrame:
+        """Score a log with the fitted detectors; the bounds stay those of the fit."""
+        timeline = Timeline.plan(events, self.cfg.scale)
+        df = detected(events, self.markov, timeline, self.cfg, rules)
+        return self.finish(self.forest.score(df))
+
     def finish(self, df: DataFrame) -> DataFrame:
         """Fuse rows that have features, rule columns and raw scores."""
         df = label_risk(self.detector_columns(df), *self.composite_bounds, self.cfg.risk)
