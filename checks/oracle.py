@@ -314,6 +314,14 @@ _FLOAT_FEATURES = (
 )
 
 
+# Mean risk score to one decimal, half to even, in whole tenths.
+_TENTHS = "CAST(sum(CAST(round(risk_score * 10) AS BIGINT)) AS BIGINT)"
+_MEAN_RISK = (
+    f"(({_TENTHS} // count(*)) + CASE WHEN 2 * ({_TENTHS} % count(*)) > count(*) THEN 1 "
+    f"WHEN 2 * ({_TENTHS} % count(*)) = count(*) THEN ({_TENTHS} // count(*)) % 2 ELSE 0 END) / 10"
+)
+
+
 def feat(columns: str) -> str:
     return q(f"SELECT event_id, {columns} FROM feat", FEAT)
 
@@ -372,7 +380,7 @@ ORACLE: dict[str, str] = {
         "SELECT event_id, attack_type, is_attack, city FROM log UNION ALL SELECT * FROM labeled", _LABELED
     ),
     "save_scored": scored(
-        "SELECT CAST(timestamp AS DATE) AS event_date, count(*) AS n, "
+        "SELECT CAST(CAST(timestamp AS DATE) AS VARCHAR) AS event_date, count(*) AS n, "
         "count(*) FILTER (WHERE predicted_attack_type <> 'normal') AS alerts FROM scored GROUP BY 1"
     ),
     "filter_logins": q("SELECT event_id, event_type FROM log WHERE is_login"),
@@ -432,7 +440,7 @@ ORACLE: dict[str, str] = {
     "attack_type_title": scored(
         f"SELECT event_id, {_TITLE} AS title FROM (SELECT event_id, predicted_attack_type AS x FROM scored)"
     ),
-    "event_date": q("SELECT event_id, CAST(timestamp AS DATE) AS event_date FROM log"),
+    "event_date": q("SELECT event_id, CAST(CAST(timestamp AS DATE) AS VARCHAR) AS event_date FROM log"),
     "alert_detail_json": scored(
         "SELECT event_id, strftime(timestamp, '%Y-%m-%d %H:%M:%S.%f') AS timestamp, username AS user, resource, "
         "risk_level, rule_names, CASE WHEN is_attack THEN 'true' ELSE 'false' END AS is_attack_ground_truth FROM alerts"
@@ -464,7 +472,7 @@ ORACLE: dict[str, str] = {
         "count(*) FILTER (WHERE predicted_attack_type <> 'normal') AS anomalies FROM scored) s"
     ),
     "daily_event_volume": q(
-        "SELECT CAST(d.day AS DATE) AS event_date, count(event_id) AS n FROM ("
+        "SELECT CAST(CAST(d.day AS DATE) AS VARCHAR) AS event_date, count(event_id) AS n FROM ("
         "SELECT unnest(generate_series((SELECT CAST(min(timestamp) AS DATE) FROM log), "
         "(SELECT CAST(max(timestamp) AS DATE) FROM log), INTERVAL 1 DAY)) AS day) d "
         "LEFT JOIN log ON CAST(timestamp AS DATE) = CAST(d.day AS DATE) GROUP BY 1"
@@ -484,7 +492,7 @@ ORACLE: dict[str, str] = {
     ),
     "entity_summary": scored(
         "SELECT source_ip, count(*) AS events, count(*) FILTER (WHERE predicted_attack_type <> 'normal') AS anomalies, "
-        "round_even(avg(risk_score), 1) AS avg_risk, count(DISTINCT predicted_attack_type) "
+        f"{_MEAN_RISK} AS avg_risk, count(DISTINCT predicted_attack_type) "
         "FILTER (WHERE predicted_attack_type <> 'normal') AS attack_types FROM scored GROUP BY 1"
     ),
     "detector_agreement": scored(
@@ -516,10 +524,10 @@ ORACLE: dict[str, str] = {
         "count(*) FILTER (WHERE predicted_attack_type = 'normal' AND NOT is_attack) AS tn FROM scored))"
     ),
     "attack_summary": scored(
-        "SELECT predicted_attack_type AS attack_type, count(*) AS n, round_even(avg(risk_score), 1) AS avg_risk_score, "
+        f"SELECT predicted_attack_type AS attack_type, count(*) AS n, {_MEAN_RISK} AS avg_risk_score, "
         "max(risk_score) AS max_risk_score, count(DISTINCT user_id) AS unique_users, "
         f"count(DISTINCT source_ip) AS unique_ips, max({_SEVERITY}) AS severity FROM alerts GROUP BY 1 "
-        "UNION ALL SELECT 'total', count(*), round_even(avg(risk_score), 1), NULL, count(DISTINCT user_id), NULL, NULL FROM alerts"
+        f"UNION ALL SELECT 'total', count(*), {_MEAN_RISK}, NULL, count(DISTINCT user_id), NULL, NULL FROM alerts"
     ),
     "ground_truth_counts": q(
         f"SELECT attack_type, n, attacks, {r6('n / sum(n) OVER ()')} AS share FROM (SELECT attack_type, count(*) AS n, "
@@ -642,7 +650,7 @@ ORACLE: dict[str, str] = {
         "FROM log WHERE is_login AND NOT success) GROUP BY 1, 2 HAVING count(*) >= 3"
     ),
     "stream_daily_exfil": q(
-        "SELECT user_id, CAST(timestamp AS DATE) AS event_date, CAST(sum(bytes_transferred) AS BIGINT) AS moved "
+        "SELECT user_id, CAST(CAST(timestamp AS DATE) AS VARCHAR) AS event_date, CAST(sum(bytes_transferred) AS BIGINT) AS moved "
         "FROM log WHERE is_transfer GROUP BY 1, 2 HAVING sum(bytes_transferred) > 15000 * 1024"
     ),
     "stream_new_device": rules("SELECT event_id, user_id FROM h5"),

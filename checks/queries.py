@@ -202,7 +202,7 @@ def _saved(spark, folder):
     path = f"{work_dir(spark)}/scored-by-date-{uuid.uuid4().hex}"
     save_scored(scored(spark, folder), path)
     back = load_scored(spark, path)
-    return back.groupBy("event_date").agg(
+    return back.groupBy(F.col("event_date").cast("string").alias("event_date")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(S.is_alert()).alias("alerts")
     )
 
@@ -455,7 +455,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "round_scores": _scalar("rounded", lambda: S.round_half_even(F.col("bytes_transferred") / 4, 1)),
     "severity_tier": _scored_scalar("tier", lambda: S.severity_tier(S.severity_of())),
     "attack_type_title": _scored_scalar("title", lambda: S.attack_type_title("predicted_attack_type")),
-    "event_date": _scalar("event_date", lambda: S.event_date()),
+    "event_date": _scalar("event_date", lambda: S.event_date().cast("string")),
     "alert_detail_json": _scored_query(
         lambda df: reports.alert_detail_json(reports.filter_alerts(df)).select(
             "event_id",
@@ -476,7 +476,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "entropy": _log_query(_entropy),
     "overview_kpis": _scored_query(reports.overview_kpis),
     "sidebar_stats": _scored_query(reports.sidebar_stats),
-    "daily_event_volume": _log_query(reports.daily_event_volume),
+    "daily_event_volume": _log_query(
+        lambda df: reports.daily_event_volume(df).withColumn("event_date", F.col("event_date").cast("string"))
+    ),
     "alert_feed_counts": _scored_query(reports.alert_feed_counts),
     "attack_type_distribution": _scored_query(reports.attack_type_distribution),
     "event_type_breakdown": entity(reports.event_type_breakdown),
@@ -628,7 +630,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         configure(spark), folder,
         lambda events, out: jobs.daily_exfiltration(events, out, RULES.exfiltration_kb),
         jobs.latest_daily_exfiltration,
-    ).select("user_id", "event_date", "moved"),
+    ).select("user_id", F.col("event_date").cast("string").alias("event_date"), "moved"),
     "stream_new_device": lambda spark, folder: jobs.replay(
         configure(spark), folder, jobs.new_devices, jobs.read_alerts
     ).select("event_id", "user_id"),

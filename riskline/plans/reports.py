@@ -18,6 +18,12 @@ def _alert_count() -> Column:
     return F.count_if(S.is_alert())
 
 
+def _mean_risk() -> Column:
+    """Mean risk score to one decimal; summed as decimals, so row order cannot change it."""
+    exact = F.avg(F.col("risk_score").cast("decimal(18,10)"))
+    return F.bround(exact, 1).cast("double")
+
+
 def filter_alerts(df: DataFrame) -> DataFrame:
     return df.filter(S.is_alert())
 
@@ -148,7 +154,7 @@ def entity_summary(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(
         F.count(F.lit(1)).alias("events"),
         _alert_count().alias("anomalies"),
-        S.round_half_even(F.avg("risk_score"), 1).alias("avg_risk"),
+        _mean_risk().alias("avg_risk"),
         F.countDistinct(alert_type).alias("attack_types"),
     )
 
@@ -244,14 +250,14 @@ def attack_summary(df: DataFrame) -> DataFrame:
     known = alerts.filter(F.col("predicted_attack_type").isin(*ATTACK_TYPES))
     by_type = known.groupBy(F.col("predicted_attack_type").alias("attack_type")).agg(
         F.count(F.lit(1)).alias("n"),
-        S.round_half_even(F.avg("risk_score"), 1).alias("avg_risk_score"),
+        _mean_risk().alias("avg_risk_score"),
         S.round_half_even(F.max("risk_score"), 1).alias("max_risk_score"),
         F.countDistinct("user_id").alias("unique_users"),
         F.countDistinct("source_ip").alias("unique_ips"),
     ).withColumn("severity", S.severity_of("attack_type"))
     total = alerts.agg(
         F.count(F.lit(1)).alias("n"),
-        F.coalesce(S.round_half_even(F.avg("risk_score"), 1), F.lit(0.0)).alias("avg_risk_score"),
+        F.coalesce(_mean_risk(), F.lit(0.0)).alias("avg_risk_score"),
         F.countDistinct("user_id").alias("unique_users"),
     ).withColumn("attack_type", F.lit("total"))
     return by_type.unionByName(total, allowMissingColumns=True)

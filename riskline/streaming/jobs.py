@@ -200,9 +200,9 @@ def replay(
     read: Callable[[SparkSession, str], DataFrame],
 ) -> DataFrame:
     """Run a job over the files of an activity table until all are read."""
-    path = f"{folder}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    events = activity_events(spark.readStream.schema(schema).parquet(path))
+    schema = spark.read.parquet(f"{folder}/events.parquet").schema
+    files = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet")
+    events = activity_events(files.parquet(folder))
     out = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
     start(events, out).awaitTermination()
     return read(spark, out)
