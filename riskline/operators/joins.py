@@ -17,15 +17,17 @@ def lookup_join(
     keys: Sequence[str],
     scale: ScaleConfig = ScaleConfig(),
     salt: str = "event_id",
+    stored: bool = False,
 ) -> DataFrame:
     """Left join with a table that has one row per key.
 
-    The table is written once and counted. Within ``max_broadcast_rows`` it is
+    The table is written once (unless it is ``stored`` already) and counted. Within ``max_broadcast_rows`` it is
     broadcast and the log stays where it is. Beyond, both sides are joined on the key
     and a salt taken from the event, so a key that a third of the log carries is
     spread over ``salts`` tasks.
     """
-    lookup = materialize(lookup, "lookup")
+    if not stored:
+        lookup = materialize(lookup, "lookup")
     if lookup.count() <= scale.max_broadcast_rows:
         return log.join(F.broadcast(lookup), list(keys), "left")
     salted = log.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(scale.salts)).cast("int"))

@@ -116,7 +116,7 @@ class MarkovModel:
     def score(self, df: DataFrame) -> DataFrame:
         """Add ``markov_raw`` to rows that have a ``prefix``: log-probability of the event."""
         lookup = self.probs.select("prefix", F.col("next").alias("event_type"), "prob")
-        df = lookup_join(df, lookup, ["prefix", "event_type"], self.scale)
+        df = lookup_join(df, lookup, ["prefix", "event_type"], self.scale, stored=True)
         seen = F.coalesce(F.col("prob"), F.lit(self.cfg.smoothing))
         raw = F.when(F.col("prefix").isNull(), 0.0).otherwise(S.log_prob(seen))
         return df.withColumn("markov_raw", raw).drop("prob")

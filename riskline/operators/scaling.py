@@ -27,26 +27,24 @@ def scaled(value: Column | str, low: float | None, high: float | None) -> Column
 
 
 def minmax_scale(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Min-max scale over the whole batch: a one-row aggregate joined to every row."""
+    """Min-max scale over the whole batch. The bounds are one aggregate, run at once."""
     x = F.col(column).cast("double")
-    ends = F.broadcast(df.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi")))
-    span = F.col("_hi") - F.col("_lo")
-    value = F.when(span > 0, F.try_divide(x - F.col("_lo"), span)).otherwise(0.0)
-    return df.crossJoin(ends).withColumn(name, value).drop("_lo", "_hi")
+    low, high = bounds(df.select(x.alias("_x")), "_x")
+    return df.withColumn(name, scaled(x, low, high))
 
 
 def standardize(df: DataFrame, columns: Sequence[str], suffix: str = "_z") -> DataFrame:
     """Zero mean and unit population variance; a constant column becomes zero."""
+    values = {c: F.col(c).cast("double") for c in columns}
     stats = df.agg(
-        *[F.avg(F.col(c).cast("double")).alias(f"_m_{c}") for c in columns],
-        *[F.stddev_pop(F.col(c).cast("double")).alias(f"_s_{c}") for c in columns],
-    )
-    out = df.crossJoin(F.broadcast(stats))
-    for c in columns:
-        centred = F.col(c).cast("double") - F.col(f"_m_{c}")
-        spread = F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(1.0)
-        out = out.withColumn(f"{c}{suffix}", centred / spread)
-    return out.drop(*[f"_{k}_{c}" for c in columns for k in "ms"])
+        *[F.avg(x) for x in values.values()], *[F.stddev_pop(x) for x in values.values()]
+    ).first()
+    half = len(values)
+    scaled_columns = {}
+    for i, (c, x) in enumerate(values.items()):
+        mean, spread = stats[i] or 0.0, stats[half + i] or 1.0
+        scaled_columns[f"{c}{suffix}"] = (x - F.lit(mean)) / F.lit(spread)
+    return df.withColumns(scaled_columns)
 
 
 def kth_smallest(df: DataFrame, column: str, k: int) -> float:

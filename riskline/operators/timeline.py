@@ -7,8 +7,8 @@ A plain ``Window.partitionBy("user_id")`` puts a whole user into one task. A
 is taken from a small per-slice aggregate that is joined back on the slice.
 
 The log is shuffled once, by (user, slice); every window below reuses that layout.
-The per-slice aggregates are read from ``cut``, a table of the cut users' rows that is
-written once, and never from the chain of windows itself.
+The per-slice aggregates are read from a table of the cut users' rows that is written
+once, and never from the chain of windows itself.
 
 What to compute is declared as a :class:`Stage`. Stages merge, and columns that share a
 sort order then share one window operator.
@@ -27,6 +27,8 @@ from riskline.functions.scalar import micros
 from riskline.session import materialize
 
 SLICE = "_slice"
+# A slice that is too full is divided into this many times the parts its count asks for.
+FINER = 8
 
 
 @dataclass(frozen=True)
@@ -117,10 +119,10 @@ class Timeline:
     order: tuple[str, ...] = ("timestamp", "event_id")
     # Users that are cut, one row each: key, _t0 and _width in microseconds.
     large: DataFrame | None = None
-    # Cells of those users that are still too large: key, _cell, _step.
-    dense: DataFrame | None = None
-    # The rows of those users with their slice.
-    cut: DataFrame | None = None
+    # Slices that were still too large, level by level: key, _slice, _finer (new width).
+    bursts: tuple[DataFrame, ...] = ()
+    # The rows of the cut users, as stored and with their slice.
+    stored: DataFrame | None = None
 
     @classmethod
     def plan(
@@ -141,7 +143,7 @@ class Timeline:
             return cls(key, order)
 
         # Every large user has more than `size` rows, so there are fewer than
-        # total / size of them: this bounds the broadcast below.
+        # total / size of them: this bounds the broadcasts below.
         large = materialize(large, "large-users")
         total = large.agg(F.sum("_n")).first()[0]
         size = max(scale.max_rows_per_slice, total // scale.max_broadcast_rows + 1)
@@ -149,19 +151,23 @@ class Timeline:
         large = large.filter(F.col("_n") > size).select(
             key, "_t0", F.greatest(width, F.lit(1)).cast("long").alias("_width")
         )
-        cell = F.floor((us - F.col("_t0")) / F.col("_width")).alias("_cell")
-        cells = (
-            events.select(key, order[0])
-            .join(F.broadcast(large), key)
-            .groupBy(key, "_width", cell)
-            .agg(F.count(F.lit(1)).alias("_n"))
-            .filter(F.col("_n") > size)
-        )
-        step = F.ceil(F.col("_width") * F.lit(float(size)) / F.col("_n"))
-        dense = cells.select(key, "_cell", F.greatest(step, F.lit(1)).cast("long").alias("_step"))
-        timeline = cls(key, order, large, materialize(dense, "dense-cells"))
-        cut = timeline.assign(events).filter(F.col(SLICE).isNotNull())
-        return replace(timeline, cut=materialize(cut, "cut-users"))
+        stored = materialize(events.join(F.broadcast(large.select(key)), key), "cut-users")
+        timeline = cls(key, order, large, (), stored)
+
+        # Equal spans of time hold equal shares of a steady user. Where events come in
+        # bursts, divide the spans that are too full until none is, or it is an instant.
+        while True:
+            spans = timeline._spans(stored.select(key, order[0]))
+            full = spans.groupBy(key, SLICE, "_span").agg(F.count(F.lit(1)).alias("_n"))
+            full = full.filter((F.col("_n") > size) & (F.col("_span") > 1))
+            finer = F.ceil(F.col("_span") * F.lit(float(size)) / (F.col("_n") * FINER))
+            level = materialize(
+                full.select(key, SLICE, F.greatest(finer, F.lit(1)).cast("long").alias("_finer")),
+                "bursts",
+            )
+            if level.isEmpty():
+                return timeline
+            timeline = replace(timeline, bursts=(*timeline.bursts, level))
 
     @property
     def sliced(self) -> bool:
@@ -171,23 +177,33 @@ class Timeline:
     def keys(self) -> list[str]:
         return [self.key, SLICE] if self.sliced else [self.key]
 
-    def assign(self, df: DataFrame, at: Column | None = None) -> DataFrame:
-        """Add the slice of each row: the slice's first microsecond, null for an uncut user."""
-        if not self.sliced:
-            return df
+    @property
+    def cut(self) -> DataFrame:
+        """The rows of the cut users with their slice."""
+        return self.assign(self.stored)
+
+    def _spans(self, df: DataFrame, at: Column | None = None) -> DataFrame:
+        """Add the slice's first microsecond and its width, null for an uncut user."""
         at = micros(self.order[0]) if at is None else at
-        offset = at - F.col("_t0")
-        start = F.col("_cell") * F.col("_width")
-        step = F.coalesce("_step", "_width")
-        slice_start = F.col("_t0") + start + F.floor((offset - start) / step) * step
-        return (
-            df.drop(SLICE)
-            .join(F.broadcast(self.large), self.key, "left")
-            .withColumn("_cell", F.floor(offset / F.col("_width")))
-            .join(F.broadcast(self.dense), [self.key, "_cell"], "left")
-            .withColumn(SLICE, slice_start.cast("long"))
-            .drop("_t0", "_width", "_cell", "_step")
-        )
+
+        def start(origin: str, width: str) -> Column:
+            return (F.col(origin) + F.floor((at - F.col(origin)) / F.col(width)) * F.col(width)).cast("long")
+
+        df = df.drop(SLICE).join(F.broadcast(self.large), self.key, "left")
+        df = df.withColumns({SLICE: start("_t0", "_width"), "_span": F.col("_width")})
+        df = df.drop("_t0", "_width")
+        for level in self.bursts:
+            df = df.join(F.broadcast(level), [self.key, SLICE], "left").withColumns(
+                {
+                    SLICE: F.when(F.col("_finer").isNull(), F.col(SLICE)).otherwise(start(SLICE, "_finer")),
+                    "_span": F.coalesce("_finer", "_span"),
+                }
+            ).drop("_finer")
+        return df
+
+    def assign(self, df: DataFrame, at: Column | None = None) -> DataFrame:
+        """Add the slice of each row where users are cut."""
+        return self._spans(df, at).drop("_span") if self.sliced else df
 
     def arrange(self, df: DataFrame, at: Column | None = None) -> DataFrame:
         """Lay the rows out by (user, slice): the one shuffle of the log."""
@@ -208,7 +224,7 @@ class Timeline:
         df = self._add(df.withColumns(stage.keys), stage.first, source, stage.keys)
         if self.sliced and (stage.second or stage.levels):
             source = (self.cut if source is None else source).withColumns(stage.keys)
-            source = self._add(self.arrange(source), stage.first, source, {})
+            source = self._add(source.repartition(*self.keys), stage.first, source, {})
         df = self._levels(df, stage.levels, source)
         # Early columns are projected after most sorts, so that few sorts carry them, and
         # apart from the late ones: the method compiled for one projection of them all

@@ -96,26 +96,27 @@ def overview_kpis(df: DataFrame) -> DataFrame:
 
 def sidebar_stats(df: DataFrame) -> DataFrame:
     """Counts of the whole log next to the count and severity of every attack type."""
-    spark = df.sparkSession
-    types = spark.createDataFrame(list(ATTACK_SEVERITY.items()), "attack_type string, severity int")
-    facts = df.agg(
-        F.count(F.lit(1)).alias("events"),
-        F.countDistinct("user_id").alias("users"),
-        _alert_count().alias("anomalies"),
-    ).withColumn(
-        "anomaly_rate_pct",
-        S.round_half_even(S.safe_divide("anomalies", "events") * 100, 1),
+    types = df.sparkSession.createDataFrame(
+        list(ATTACK_SEVERITY.items()), "attack_type string, severity int"
     )
+    events, users, anomalies = df.agg(
+        F.count(F.lit(1)), F.countDistinct("user_id"), _alert_count()
+    ).first()
+    rate = S.round_half_even(S.safe_divide(F.lit(anomalies), F.lit(events)) * 100, 1)
     counts = df.groupBy(F.col("predicted_attack_type").alias("attack_type")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    # Both sides are a handful of rows: seven types and one row of totals.
-    return (
-        F.broadcast(types)
-        .join(counts, "attack_type", "left")
-        .withColumn("n", F.coalesce("n", F.lit(0)))
-        .withColumns({"title": S.attack_type_title("attack_type"), "tier": S.severity_tier("severity")})
-        .join(F.broadcast(facts), F.lit(True))
+    # One row per label: eight at most.
+    return types.join(F.broadcast(counts), "attack_type", "left").withColumns(
+        {
+            "n": F.coalesce("n", F.lit(0)),
+            "title": S.attack_type_title("attack_type"),
+            "tier": S.severity_tier("severity"),
+            "events": F.lit(events),
+            "users": F.lit(users),
+            "anomalies": F.lit(anomalies),
+            "anomaly_rate_pct": rate,
+        }
     )
 
 
@@ -268,9 +269,7 @@ def ground_truth_counts(df: DataFrame) -> DataFrame:
     counts = df.groupBy("attack_type").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("is_attack").alias("attacks")
     )
-    total = F.broadcast(df.agg(F.count(F.lit(1)).alias("_all")))
-    share = S.safe_divide("n", "_all")
-    return counts.join(total, F.lit(True)).withColumn("share", share).drop("_all")
+    return counts.withColumn("share", S.safe_divide("n", F.lit(df.count())))
 
 
 def column_entropy(df: DataFrame, key: str, column: str) -> DataFrame:

@@ -42,14 +42,14 @@ def project_existing(df: DataFrame, columns: Sequence[str] = DISPLAY_COLUMNS) ->
 
 
 def save_scored(df: DataFrame, path: str) -> None:
-    """Write a scored log for later queries, split by date so that they prune it."""
+    """Write a scored log for later queries, split by date so that they prune it.
+
+    The rebalance lets AQE merge small dates and split a date that is too large for one
+    file, by size, whatever the spread of events over the dates.
+    """
     dated = df.withColumn("event_date", F.to_date("timestamp"))
-    (
-        dated.repartition("event_date", F.pmod(F.xxhash64("event_id"), F.lit(16)))
-        .write.mode("overwrite")
-        .partitionBy("event_date")
-        .parquet(path)
-    )
+    balanced = dated.hint("rebalance", F.col("event_date"))
+    balanced.write.mode("overwrite").partitionBy("event_date").parquet(path)
 
 
 def load_scored(spark: SparkSession, path: str) -> DataFrame:
