@@ -169,6 +169,7 @@ class ForestModel:
         @F.pandas_udf("double")
         def score(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
             for columns in parts:
+                columns = columns if isinstance(columns, tuple) else (columns,)
                 x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
                 paths = walk(x, trees.value, height)
                 yield pd.Series(-np.power(2.0, -paths / norm))
