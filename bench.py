@@ -14,7 +14,7 @@ import json
 import os
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from checks.queries import CONFIG, RULES
 from riskline.operators import rules as R
@@ -26,7 +26,7 @@ from riskline.operators.timeline import Timeline
 from riskline.plans import reports
 from riskline.plans.scoring import fit_and_score
 from riskline.schema import FEATURES
-from riskline.session import configure, materialize
+from riskline.session import materialize, start
 from riskline.sources.activity import read_activity
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -40,13 +40,12 @@ def drain(df: DataFrame) -> None:
 
 
 def main() -> None:
-    spark = configure(
-        SparkSession.builder.master(f"local[{CPUS}]")
-        .appName("riskline-bench")
-        .config("spark.sql.shuffle.partitions", CPUS)
-        .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "12g")
-        .getOrCreate()
+    spark = start(
+        "riskline-bench",
+        f"local[{CPUS}]",
+        spark__sql__shuffle__partitions=CPUS,
+        spark__ui__enabled="false",
+        spark__driver__memory="12g",
     )
     spark.sparkContext.setLogLevel("ERROR")
     times: dict[str, float] = {}

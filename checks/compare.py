@@ -15,6 +15,7 @@ from pyspark.sql import SparkSession
 
 from checks.oracle import ORACLE
 from checks.queries import QUERIES
+from riskline.session import start
 
 
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
@@ -59,12 +60,12 @@ def difference(spark: SparkSession, con, folder: str, name: str) -> str | None:
 
 
 def main(folder: str = "/root/testdata/sf0.01", *names: str) -> int:
-    spark = (
-        SparkSession.builder.master("local[8]")
-        .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "8g")
-        .getOrCreate()
+    spark = start(
+        "riskline-compare",
+        "local[8]",
+        spark__sql__shuffle__partitions="8",
+        spark__ui__enabled="false",
+        spark__driver__memory="8g",
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)

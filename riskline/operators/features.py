@@ -54,31 +54,27 @@ def frequency_features() -> Stage:
     rate = S.safe_divide_positive("_failed", "_logins")
     mean = S.safe_divide_positive("_bytes", "_events")
     return Stage(
-        first={
-            **_sightings("source_ip", "device_id", "resource"),
+        grouped=_sightings("source_ip", "device_id", "resource"),
+        whole={
+            "_ips": Total(F.sum, _first_sighting("source_ip")),
+            "_devices": Total(F.sum, _first_sighting("device_id")),
+            "_resources": Total(F.sum, _first_sighting("resource")),
             "_events": Total(F.sum, F.lit(1)),
             "_logins": Total(F.sum, login.cast("int")),
             "_failed": Total(F.sum, (login & failed).cast("int")),
             "_bytes": Total(F.sum, size),
             "_largest": Total(F.max, size),
         },
-        second={
-            "_ips": Total(F.sum, _first_sighting("source_ip")),
-            "_devices": Total(F.sum, _first_sighting("device_id")),
-            "_resources": Total(F.sum, _first_sighting("resource")),
-        },
         early={
             "events_in_window": F.col("_events"),
+            "unique_ips": F.col("_ips"),
+            "unique_devices": F.col("_devices"),
+            "unique_resources": F.col("_resources"),
             "login_failure_rate": F.when(login, rate).otherwise(0.0),
             "total_bytes_user": F.col("_bytes"),
             "mean_bytes_user": mean,
             "max_bytes_user": F.col("_largest"),
         },
-        late={
-            "unique_ips": F.col("_ips"),
-            "unique_devices": F.col("_devices"),
-            "unique_resources": F.col("_resources"),
-        },
     )
 
 
@@ -94,11 +90,12 @@ def running_entropy() -> Stage:
     floor = F.col("_types") * F.lit(S.LOG_FLOOR) / F.log(F.lit(2.0))
     entropy = F.log2(F.col("_position")) - F.col("_clogc") / F.col("_position") - floor
     return Stage(
-        first={
-            "_of_type": Running(F.lit(1), by=("event_type",)),
+        grouped={"_of_type": Running(F.lit(1), by=("event_type",))},
+        whole={
             "_position": Running(F.lit(1)),
+            "_clogc": Running(gain),
+            "_types": Running((F.col("_of_type") == 1).cast("int")),
         },
-        second={"_clogc": Running(gain), "_types": Running((F.col("_of_type") == 1).cast("int"))},
         late={"event_type_entropy": entropy},
     )
 
@@ -111,21 +108,21 @@ def _seconds_since(column: str) -> Column:
 def seconds_since_prev() -> Stage:
     seconds = _seconds_since("_prev_time")
     return Stage(
-        first={"_prev_time": Previous()},
+        whole={"_prev_time": Previous()},
         early={"seconds_since_prev": seconds, "minutes_since_prev": seconds / 60.0},
     )
 
 
 def seconds_since_prev_same_type() -> Stage:
     return Stage(
-        first={"_prev_of_type": Previous(by=("event_type",))},
+        grouped={"_prev_of_type": Previous(by=("event_type",))},
         early={"seconds_since_prev_same_type": _seconds_since("_prev_of_type")},
     )
 
 
 def cumulative_event_count() -> Stage:
     return Stage(
-        first={"_position": Running(F.lit(1))},
+        whole={"_position": Running(F.lit(1))},
         early={"cumulative_event_count": F.col("_position")},
     )
 
@@ -138,7 +135,7 @@ def day_boundaries() -> Stage:
         return F.coalesce(differs, F.lit(True)).cast("int")
 
     return Stage(
-        first={"_prev_time": Previous(), "_next_time": Previous(ahead=True)},
+        whole={"_prev_time": Previous(), "_next_time": Previous(ahead=True)},
         early={
             "is_first_event_of_day": other_day("_prev_time"),
             "is_last_event_of_day": other_day("_next_time"),
@@ -161,15 +158,15 @@ def transition_flags() -> Stage:
         return F.coalesce(follows.cast("int"), F.lit(0))
 
     return Stage(
-        first={"_prev_type": Previous(F.col("event_type"))},
+        whole={"_prev_type": Previous(F.col("event_type"))},
         early={f"trans_{a}_to_{b}": flag(a, b) for a, b in TRANSITIONS},
     )
 
 
 def novelty_features() -> Stage:
     return Stage(
-        first=_sightings("source_ip", "device_id"),
-        second={"_devices_so_far": Running(_first_sighting("device_id"))},
+        grouped=_sightings("source_ip", "device_id"),
+        whole={"_devices_so_far": Running(_first_sighting("device_id"))},
         early={
             "is_new_device": _first_sighting("device_id"),
             "is_new_ip": _first_sighting("source_ip"),
@@ -195,7 +192,7 @@ def add_features(
 ) -> DataFrame:
     """Add the columns of a feature stage (all of them by default) to the log."""
     stage = all_features() if stage is None else stage
-    if not (stage.first or stage.second or stage.levels):
+    if not (stage.grouped or stage.levels or stage.whole or stage.second):
         return events.withColumns({**stage.early, **stage.late})
     timeline = timeline or Timeline.plan(events)
     df = timeline.run(timeline.arrange(events), stage)

@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskline.config import ForestConfig
 from riskline.functions import scalar as S
@@ -35,6 +36,15 @@ def average_path(size: np.ndarray | int) -> np.ndarray:
     return np.where(n > 2, steps, np.where(n == 2, 1.0, 0.0))
 
 
+def _clean(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """The columns as doubles; only a fraction can hold more than a null to replace."""
+    fractions = {f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    return [
+        S.clean_numeric(c) if c in fractions else F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+        for c in columns
+    ]
+
+
 def tree_samples(df: DataFrame, columns: Sequence[str], cfg: ForestConfig, rows: int) -> DataFrame:
     """``sample_size`` rows for each tree, chosen by a hash of the event, so repeatable.
 
@@ -42,7 +52,7 @@ def tree_samples(df: DataFrame, columns: Sequence[str], cfg: ForestConfig, rows:
     first: about four times the rows needed survive the scan, whatever its size.
     In a small log every row competes for a place in every tree.
     """
-    features = F.array(*[S.clean_numeric(c) for c in columns]).alias("x")
+    features = F.array(*_clean(df, columns)).alias("x")
     need = cfg.trees * cfg.sample_size
     top = float(1 << 52)
     if rows >= 1.5 * need:
@@ -66,29 +76,32 @@ def grow_tree(sample: np.ndarray, rng: np.random.Generator, height: int) -> list
     The right child follows the left one. A leaf is its own child, so a walk of fixed
     length stays on it, and holds its depth plus the mean depth below it.
     """
+    below = average_path(np.arange(len(sample) + 1))
+    columns = np.ascontiguousarray(sample.T)
     nodes: list[tuple] = []
-    queue = [(np.arange(len(sample)), 0)]
-    for node_id, (rows, depth) in _breadth_first(queue):
-        part = sample[rows]
-        low, high = part.min(axis=0), part.max(axis=0)
-        usable = np.flatnonzero(high > low)
-        if depth >= height or len(rows) <= 1 or not len(usable):
-            nodes.append((0, math.inf, node_id, depth + float(average_path(len(rows)))))
+    waiting = [(np.arange(len(sample)), 0)]
+    while len(nodes) < len(waiting):
+        rows, depth = waiting[len(nodes)]
+        split = _draw_split(columns, rows, rng) if depth < height and len(rows) > 1 else None
+        if split is None:
+            nodes.append((0, math.inf, len(nodes), depth + float(below[len(rows)])))
             continue
-        feature = int(rng.choice(usable))
-        cut = rng.uniform(low[feature], high[feature])
-        goes_left = part[:, feature] <= cut
-        nodes.append((feature, float(cut), len(queue), 0.0))
-        queue.append((rows[goes_left], depth + 1))
-        queue.append((rows[~goes_left], depth + 1))
+        feature, cut, goes_left = split
+        nodes.append((feature, cut, len(waiting), 0.0))
+        waiting.append((rows[goes_left], depth + 1))
+        waiting.append((rows[~goes_left], depth + 1))
     return nodes
 
 
-def _breadth_first(queue: list) -> Iterator[tuple]:
-    position = 0
-    while position < len(queue):
-        yield position, queue[position]
-        position += 1
+def _draw_split(columns: np.ndarray, rows: np.ndarray, rng: np.random.Generator):
+    """A random feature that varies over the rows and a random cut in its range."""
+    for feature in rng.permutation(len(columns)):
+        values = columns[feature, rows]
+        low, high = values.min(), values.max()
+        if high > low:
+            cut = float(rng.uniform(low, high))
+            return int(feature), cut, values <= cut
+    return None
 
 
 def grow_forest(samples: DataFrame, cfg: ForestConfig) -> DataFrame:
@@ -170,11 +183,12 @@ class ForestModel:
         def score(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
             for columns in parts:
                 columns = columns if isinstance(columns, tuple) else (columns,)
-                x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
+                x = np.column_stack([c.astype(float).to_numpy() for c in columns])
+                x[~np.isfinite(x)] = 0.0
                 paths = walk(x, trees.value, height)
                 yield pd.Series(-np.power(2.0, -paths / norm))
 
-        return score(*[S.clean_numeric(c) for c in self.columns])
+        return score(*[F.col(c) for c in self.columns])
 
     def score(self, df: DataFrame) -> DataFrame:
         return df.withColumn("iso_raw", self.raw_score())

@@ -25,7 +25,7 @@ def training_rows(events: DataFrame) -> DataFrame:
 def context_stage(order: int) -> Stage:
     """``prefix``: the user's ``order`` previous event types, null on the first rows."""
     return Stage(
-        first={"_prefix": Context("event_type", order)}, early={"prefix": F.col("_prefix")}
+        whole={"_prefix": Context("event_type", order)}, early={"prefix": F.col("_prefix")}
     )
 
 

@@ -81,7 +81,7 @@ def distinct_resources(hours: int, name: str = "_distinct") -> Stage:
     begins, ends = _stays("_last_resource", "_next_resource", span)
     known = F.col("resource").isNotNull()
     return Stage(
-        first={
+        grouped={
             "_last_resource": Previous(by=("resource",)),
             "_next_resource": Previous(by=("resource",), ahead=True),
         },
@@ -94,7 +94,7 @@ def daily_transfer(name: str = "_moved") -> Stage:
     moved = F.when(S.is_transfer(), F.col("bytes_transferred")).otherwise(0)
     return Stage(
         keys={"_date": F.to_date("timestamp")},
-        first={name: Total(F.sum, moved, by=("_date",))},
+        grouped={name: Total(F.sum, moved, by=("_date",))},
     )
 
 
@@ -104,7 +104,7 @@ def half_rates() -> Stage:
     n1 = F.floor(F.col("_events") / 2)
     in_first = F.col("_position") <= n1
     return Stage(
-        first={"_position": Running(F.lit(1)), "_events": Total(F.sum, F.lit(1))},
+        whole={"_position": Running(F.lit(1)), "_events": Total(F.sum, F.lit(1))},
         second={
             "_night1": Total(F.sum, F.when(in_first, night).otherwise(0)),
             "_night2": Total(F.sum, F.when(in_first, 0).otherwise(night)),
@@ -127,7 +127,7 @@ def impossible_travel(cfg: RuleConfig) -> tuple[Stage, Column]:
     gap = S.micros("timestamp") - S.micros("_login.timestamp")
     moved = F.col("source_ip") != F.col("_login.source_ip")
     soon = (gap > 0) & (gap < F.lit(cfg.travel_max_hours * HOUR))
-    return Stage(first={"_login": last}), S.is_login() & moved & soon
+    return Stage(whole={"_login": last}), S.is_login() & moved & soon
 
 
 def impossible_travel_geo(cfg: RuleConfig) -> tuple[Stage, Column]:
@@ -137,7 +137,7 @@ def impossible_travel_geo(cfg: RuleConfig) -> tuple[Stage, Column]:
     gap = S.micros("timestamp") - S.micros("_place.timestamp")
     km = S.haversine_km("_place.latitude", "_place.longitude", "latitude", "longitude")
     soon = (gap > 0) & (gap < F.lit(cfg.travel_max_hours * HOUR))
-    return Stage(first={"_place": last}), located & soon & (km >= cfg.travel_min_km)
+    return Stage(whole={"_place": last}), located & soon & (km >= cfg.travel_min_km)
 
 
 def users_per_ip(df: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def users_per_ip_in_window(df: DataFrame, name: str, minutes: int, scale: ScaleC
     span = minutes * MINUTE
     begins, ends = _stays("_last_user", "_next_user", span)
     stage = Stage(
-        first={
+        grouped={
             "_last_user": Previous(by=("user_id",)),
             "_next_user": Previous(by=("user_id",), ahead=True),
         },
@@ -187,10 +187,8 @@ def lateral_movement(cfg: RuleConfig) -> tuple[Stage, Column]:
 def device_spoofing(cfg: RuleConfig) -> tuple[Stage, Column]:
     login = S.is_login()
     stage = Stage(
-        first={
-            "_device_login": Previous(by=("device_id",), where=login),
-            "_any_login": Previous(where=login),
-        }
+        grouped={"_device_login": Previous(by=("device_id",), where=login)},
+        whole={"_any_login": Previous(where=login)},
     )
     return stage, login & F.col("_device_login").isNull() & F.col("_any_login").isNotNull()
 
@@ -210,7 +208,7 @@ def insider_drift(cfg: RuleConfig) -> tuple[Stage, Column]:
         & (S.is_night() == 1)
         & rises
     )
-    return Stage(first=rates.first, second=rates.second), flagged
+    return Stage(whole=rates.whole, second=rates.second), flagged
 
 
 def default_rules(cfg: RuleConfig = RuleConfig(), scale: ScaleConfig = ScaleConfig()) -> list[Rule]:

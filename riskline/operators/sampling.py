@@ -27,7 +27,7 @@ def sequential_event_id(
     log = df.withColumn("_log", F.lit(0))
     timeline = Timeline.plan(log, scale, key="_log", order=order)
     stage = Stage(
-        first={"_pos": Running(F.lit(1))},
+        whole={"_pos": Running(F.lit(1))},
         early={name: F.format_string("EVT-%06d", F.col("_pos") - 1)},
     )
     return timeline.run(timeline.arrange(log), stage).drop(*timeline.keys)

@@ -88,16 +88,18 @@ Spec = Previous | Context | Running | Total
 
 @dataclass(frozen=True)
 class Stage:
-    """Columns over each user's time order.
+    """Columns over each user's time order, listed in the order they are computed.
 
-    ``keys`` are derived grouping columns. ``levels`` and ``second`` may use what ``first``
-    computes, ``early`` columns what ``first`` and ``levels`` compute, ``late`` columns
-    everything. Only early and late columns remain.
+    ``keys`` are derived grouping columns. ``grouped`` specs have a ``by``. ``levels`` and
+    ``whole`` specs (over the user alone) may use what ``grouped`` computes, ``early``
+    columns and ``second`` specs also those, ``late`` columns everything. Only early and
+    late columns remain.
     """
 
     keys: Mapping[str, Column] = field(default_factory=dict)
-    first: Mapping[str, Spec] = field(default_factory=dict)
+    grouped: Mapping[str, Spec] = field(default_factory=dict)
     levels: Mapping[str, Level] = field(default_factory=dict)
+    whole: Mapping[str, Spec] = field(default_factory=dict)
     early: Mapping[str, Column] = field(default_factory=dict)
     second: Mapping[str, Spec] = field(default_factory=dict)
     late: Mapping[str, Column] = field(default_factory=dict)
@@ -105,8 +107,9 @@ class Stage:
     def __or__(self, other: Stage) -> Stage:
         return Stage(
             {**self.keys, **other.keys},
-            {**self.first, **other.first},
+            {**self.grouped, **other.grouped},
             {**self.levels, **other.levels},
+            {**self.whole, **other.whole},
             {**self.early, **other.early},
             {**self.second, **other.second},
             {**self.late, **other.late},
@@ -221,14 +224,18 @@ class Timeline:
         ``source`` holds the cut users' share of the rows where that is not all of theirs.
         """
         given = df.columns
-        df = self._add(df.withColumns(stage.keys), stage.first, source, stage.keys)
-        if self.sliced and (stage.second or stage.levels):
+        df = self._add(df.withColumns(stage.keys), stage.grouped, source, stage.keys)
+        if self.sliced:
             source = (self.cut if source is None else source).withColumns(stage.keys)
-            source = self._add(source.repartition(*self.keys), stage.first, source, {})
+            if stage.grouped and (stage.levels or stage.whole):
+                source = self._add(source.repartition(*self.keys), stage.grouped, source, {})
         df = self._levels(df, stage.levels, source)
-        # Early columns are projected after most sorts, so that few sorts carry them, and
-        # apart from the late ones: the method compiled for one projection of them all
-        # would be too long for the JIT compiler.
+        df = self._add(df, stage.whole, source, {})
+        if self.sliced and stage.second:
+            source = self._add(source.repartition(*self.keys), stage.whole, source, {})
+        # No sort follows the early columns: the windows over the whole user, before and
+        # after them, share one. Apart from the late ones they also stay within what the
+        # JIT compiler takes as one method.
         df = self._add(df.withColumns(stage.early), stage.second, source, {})
         df = df.withColumns(stage.late)
         added = [*stage.early, *stage.late]

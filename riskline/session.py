@@ -15,9 +15,27 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+# Settings that only a new session takes.
+STARTUP = {
+    # Recording the call site of every column expression makes wide plans slow to build.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # Room for the compiled code of all stages of a scoring run.
+    "spark.sql.codegen.cache.maxEntries": "1000",
+}
 WORK_DIR = "spark.checkpoint.dir"
 
 
+def start(app: str = "riskline", master: str | None = None, **settings: str) -> SparkSession:
+    """A new session; setting names are given with ``__`` for each dot."""
+    builder = SparkSession.builder.appName(app)
+    if master is not None:
+        builder = builder.master(master)
+    named = {key.replace("__", "."): value for key, value in settings.items()}
+    for key, value in {**STARTUP, **named}.items():
+        builder = builder.config(key, value)
+    return configure(builder.getOrCreate())
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings the engine relies on to an existing session."""
     for key, value in SETTINGS.items():

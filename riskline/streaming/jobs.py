@@ -158,7 +158,7 @@ def sequence_scores(
             last = carried.filter(F.col(BATCH) == batch_id - 1).drop(BATCH)
             rows = rows.unionByName(last.withColumn("_new", F.lit(False)))
         tail = Stage(
-            first={"_position": Running(F.lit(1)), "_events": Total(F.sum, F.lit(1))},
+            whole={"_position": Running(F.lit(1)), "_events": Total(F.sum, F.lit(1))},
             early={"_last": F.col("_position") > F.col("_events") - order},
         )
         timeline = Timeline.plan(rows, scale)

@@ -2,22 +2,21 @@ import sys
 from pathlib import Path
 
 import pytest
-from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from riskline.session import configure  # noqa: E402
+from riskline.session import start  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
-    session = (
-        SparkSession.builder.master("local[8]")
-        .config("spark.sql.shuffle.partitions", "4")
-        .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "6g")
-        .getOrCreate()
+    session = start(
+        "riskline-tests",
+        "local[8]",
+        spark__sql__shuffle__partitions="4",
+        spark__ui__enabled="false",
+        spark__driver__memory="6g",
     )
     session.sparkContext.setLogLevel("ERROR")
-    yield configure(session)
+    yield session
     session.stop()
