@@ -71,13 +71,13 @@ def main(folder: str = "/root/testdata/sf0.01", *names: str) -> int:
     con = connect(folder)
     bad = 0
     for name in names or QUERIES:
-        start = time.time()
+        began = time.time()
         try:
             problem = difference(spark, con, folder, name)
         except Exception as error:  # report every query, not only the first to fail
             problem = f"{type(error).__name__}: {str(error)[:500]}"
         bad += problem is not None
-        print(f"{'FAIL' if problem else 'ok'} {name} {time.time() - start:.1f}s {problem or ''}", flush=True)
+        print(f"{'FAIL' if problem else 'ok'} {name} {time.time() - began:.1f}s {problem or ''}", flush=True)
     print(f"{bad} of {len(names or QUERIES)} queries differ; {len(ORACLE)} have SQL")
     return bad
 
