@@ -53,9 +53,9 @@ def main() -> None:
     def timed(name, fn, runs=RUNS):
         best, result = None, None
         for _ in range(runs):
-            start = time.perf_counter()
+            began = time.perf_counter()
             result = fn()
-            spent = time.perf_counter() - start
+            spent = time.perf_counter() - began
             best = spent if best is None else min(best, spent)
         times[name] = round(best, 3)
         return result
