@@ -14,6 +14,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A join on (user, slice, x) may use the layout by (user, slice): slices are of even
+    # size, and shuffling the log again for every such join is what it would cost.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 # Settings that only a new session takes.
 STARTUP = {

@@ -108,7 +108,26 @@ def test_cut_plan_gives_the_same_matrix(spark):
     assert_same(FT.feature_matrix(log, Timeline()), FT.feature_matrix(log, cut))
 
 
+def shuffles_of_the_log(df) -> int:
+    """Exchanges between the result and the scan that feeds it, through left sides of joins."""
+    plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    scan = next(i for i, line in enumerate(plan) if "Scan" in line)
+    return sum("Exchange hashpartitioning" in line for line in plan[:scan])
+
+
 def test_the_log_is_shuffled_once(spark):
-    plan = FT.feature_matrix(crowded_log(spark), Timeline())._jdf.queryExecution().toString()
-    physical = plan[plan.index("== Physical Plan ==") :]
-    assert physical.count("Exchange hashpartitioning") == 1
+    assert shuffles_of_the_log(FT.feature_matrix(crowded_log(spark), Timeline())) == 1
+
+
+def test_the_log_is_shuffled_once_with_cut_users_and_large_carries(spark):
+    log = crowded_log(spark)
+    cut = Timeline.plan(log, ScaleConfig(max_rows_per_slice=60))
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        df = FT.feature_matrix(log, cut)
+        assert shuffles_of_the_log(df) == 1
+        assert_same(df, FT.feature_matrix(log, Timeline()))
+    finally:
+        spark.conf.set(threshold, before)
