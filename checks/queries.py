@@ -18,7 +18,7 @@ from riskline.operators import features as FT
 from riskline.operators import markov as M
 from riskline.operators import rules as R
 from riskline.operators import sampling
-from riskline.operators.forest import ForestModel, grow_forest, tree_samples
+from riskline.operators.forest import ForestModel, tree_samples
 from riskline.operators.fusion import classify, composite_score, heuristic_attack_type
 from riskline.operators.markov import MarkovModel
 from riskline.operators.scaling import minmax_scale, percentile_threshold, standardize
@@ -433,9 +433,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "event_type_onehot": _stage_query(
         FT.event_type_onehot, *EVENT_TYPE_FEATURES[:-1]
     ),
-    "safe_divide": _scalar("ratio", lambda: F.round(S.safe_divide("bytes_transferred", F.hour("timestamp"), -1.0), 6)
+    "safe_divide": _scalar(
+        "ratio", lambda: F.round(S.safe_divide("bytes_transferred", F.hour("timestamp"), -1.0), 6)
     ),
-    "safe_divide_series": _scalar("ratio", lambda: F.round(S.safe_divide_positive("bytes_transferred", F.minute("timestamp") - 30), 6)
+    "safe_divide_series": _scalar(
+        "ratio",
+        lambda: F.round(S.safe_divide_positive("bytes_transferred", F.minute("timestamp") - 30), 6),
     ),
     "haversine_km": _log_query(
         lambda df: df.filter(F.col("latitude").isNotNull()).select(
@@ -443,7 +446,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
             F.round(S.haversine_km("latitude", "longitude", F.lit(40.7128), F.lit(-74.006)), 6).alias("km"),
         )
     ),
-    "time_delta_hours": _scalar("hours", lambda: F.round(S.time_delta_hours("timestamp", F.to_timestamp(F.lit("2024-01-15 12:00:00"))), 6)
+    "time_delta_hours": _scalar(
+        "hours",
+        lambda: F.round(
+            S.time_delta_hours("timestamp", F.to_timestamp(F.lit("2024-01-15 12:00:00"))), 6
+        ),
     ),
     "format_timestamp": _scalar("text", lambda: S.format_timestamp("timestamp")),
     "risk_level": _scored_scalar("level", lambda: S.risk_level()),
