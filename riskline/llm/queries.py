@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from riskline.llm import quality
+from riskline.llm import fingerprint, licenses, mixing, near, packing, pii, quality, sharding
 
 QUERIES = {
+    "op1_jaccard_join": near.op1_jaccard_join,
+    "op2_source_mix": mixing.op2_source_mix,
+    "op3_license_scan": licenses.op3_license_scan,
+    "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op7_quality_ledger": quality.op7_quality_ledger,
+    "op8_merkle_fingerprints": fingerprint.op8_merkle_fingerprints,
+    "op9_histogram_shards": sharding.op9_histogram_shards,
+    "op10_pii_surrogates": pii.op10_pii_surrogates,
 }
 
 ORACLE = {
+    "op2_source_mix": mixing.OP2_SQL,
     "op7_quality_ledger": quality.OP7_SQL,
 }
