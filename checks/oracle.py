@@ -21,8 +21,7 @@ ev AS (
     CASE WHEN k < 5 THEN '203.0.113.' || k
          ELSE '10.' || (user_id // 256) || '.' || (user_id % 256) || '.' || (k % 3) END AS source_ip,
     'DEV-' || (user_id * 10 + k % 4) AS device_id,
-    (['Engineering', 'Finance', 'HR', 'Sales', 'Marketing', 'Operations', 'Legal', 'IT'])
-      [CAST(user_id % 8 AS INTEGER) + 1] AS department,
+    'dept_' || (user_id % 8) AS department,
     'res_' || (k % 25) AS resource,
     event_type <> 'error' AS success,
     CASE WHEN event_type IN ('view', 'purchase') OR (event_type = 'click' AND k % 4 = 1)
@@ -442,8 +441,11 @@ ORACLE: dict[str, str] = {
     ),
     "event_date": q("SELECT event_id, CAST(CAST(timestamp AS DATE) AS VARCHAR) AS event_date FROM log"),
     "alert_detail_json": scored(
-        "SELECT event_id, strftime(timestamp, '%Y-%m-%d %H:%M:%S.%f') AS timestamp, username AS user, resource, "
-        "risk_level, rule_names, CASE WHEN is_attack THEN 'true' ELSE 'false' END AS is_attack_ground_truth FROM alerts"
+        "SELECT event_id, event_id AS event, strftime(timestamp, '%Y-%m-%d %H:%M:%S.%f') AS timestamp, username AS user, "
+        "user_id, event_type, source_ip, device_id, resource, CAST(bytes_transferred AS DOUBLE) AS bytes_transferred, "
+        "predicted_attack_type, CAST(risk_score AS DOUBLE) AS risk_score, risk_level, rule_names, "
+        "round_even(iso_anomaly_score, 4) AS iso_anomaly_score, round_even(markov_score, 4) AS markov_score, "
+        "CASE WHEN is_attack THEN 'true' ELSE 'false' END AS is_attack_ground_truth FROM alerts"
     ),
     "log_prob": q(f"SELECT event_id, {r6('ln(bytes_transferred / 1e9 + 1e-12)')} AS lp FROM log"),
     "user_frequency_features": feat(
@@ -568,12 +570,18 @@ ORACLE: dict[str, str] = {
         f"SELECT event_id, half, {r6('first_rate')} AS first_rate, {r6('second_rate')} AS second_rate FROM rates"
     ),
     "daily_user_total": rules("SELECT event_id, day_bytes FROM moved"),
+    "sample_normal_rows": q(
+        "SELECT event_id FROM log WHERE NOT is_attack "
+        "QUALIFY row_number() OVER (ORDER BY substr(md5('42:' || event_id), 1, 13), event_id) "
+        "<= greatest(1, CAST(floor((SELECT count(*) FROM log) * 0.03) AS BIGINT))"
+    ),
     "ip_semi_join": rules(
         "SELECT event_id, source_ip FROM log WHERE is_login AND source_ip IN (SELECT source_ip FROM crowded)"
     ),
     "agg_join_back": feat("events_in_window, max_bytes_user"),
     "prob_lookup_join": q(
-        f"SELECT event_id, {r6('prob')} AS prob FROM pairs LEFT JOIN probs USING (prefix, next)", MARKOV
+        f"SELECT event_id, {r6('ln(coalesce(prob, 1e-6) + 1e-12)')} AS markov_raw "
+        "FROM pairs LEFT JOIN probs USING (prefix, next)", MARKOV
     ),
     "sort_user_time": q("SELECT user_id, timestamp, event_id FROM log ORDER BY 1, 2, 3"),
     "alert_topk": scored(

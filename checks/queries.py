@@ -282,9 +282,7 @@ def _daily_total(spark, folder):
 
 
 def _ip_semi_join(df: DataFrame) -> DataFrame:
-    crowded = R.users_per_ip(df).filter(F.col("users") >= RULES.stuffing_users)
-    hits = df.filter(S.is_login()).join(crowded.select("source_ip"), "source_ip", "left_semi")
-    return hits.select("event_id", "source_ip")
+    return R.logins_from_crowded(df, RULES).select("event_id", "source_ip")
 
 
 def _agg_join_back(spark, folder):
@@ -338,9 +336,8 @@ def _markov_table(spark, folder):
 
 def _prob_lookup(spark, folder):
     pairs = _pairs(spark, folder)
-    probs = markov_model(spark, folder).probs.select("prefix", "next", "prob")
-    df = pairs.join(F.broadcast(probs), ["prefix", "next"], "left")
-    return df.select("event_id", r6("prob"))
+    df = markov_model(spark, folder).score(pairs.withColumnRenamed("next", "event_type"))
+    return df.select("event_id", r6("markov_raw"))
 
 
 def _sequences(spark, folder):
@@ -466,9 +463,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "alert_detail_json": _scored_query(
         lambda df: reports.alert_detail_json(reports.filter_alerts(df)).select(
             "event_id",
+            F.get_json_object("detail", "$.event_id").alias("event"),
             *[
                 F.get_json_object("detail", f"$.{f}").alias(f)
-                for f in ("timestamp", "user", "resource", "risk_level", "rule_names", "is_attack_ground_truth")
+                for f in (
+                    "timestamp", "user", "user_id", "event_type", "source_ip", "device_id", "resource",
+                    "predicted_attack_type", "risk_level", "rule_names", "is_attack_ground_truth",
+                )
+            ],
+            *[
+                F.get_json_object("detail", f"$.{f}").cast("double").alias(f)
+                for f in ("bytes_transferred", "risk_score", "iso_anomaly_score", "markov_score")
             ],
         )
     ),

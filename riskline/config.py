@@ -55,10 +55,8 @@ class ScaleConfig:
 
     # A user with more events than this is cut into time slices of about this many.
     max_rows_per_slice: int = 1_000_000
-    # A small table is broadcast up to this many rows, joined with salted keys beyond.
+    # Slices grow rather than that the list of cut users exceeds this many rows.
     max_broadcast_rows: int = 500_000
-    # Number of salts a join key is spread over when the small side is not broadcast.
-    salts: int = 32
 
 
 @dataclass(frozen=True)

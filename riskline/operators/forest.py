@@ -6,9 +6,10 @@ to the executors and walks them with numpy, one Arrow batch of rows at a time.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
@@ -48,26 +49,28 @@ def _clean(df: DataFrame, columns: Sequence[str]) -> list[Column]:
 def tree_samples(df: DataFrame, columns: Sequence[str], cfg: ForestConfig, rows: int) -> DataFrame:
     """``sample_size`` rows for each tree, chosen by a hash of the event, so repeatable.
 
-    In a large log a row may serve one tree, and hashes above a cutoff are dropped
-    first: about four times the rows needed survive the scan, whatever its size.
-    In a small log every row competes for a place in every tree.
+    Every row competes for a place in every tree, in a log of any size. Hashes above a cutoff are
+    dropped before rows are copied for their trees: about four times the rows needed
+    survive the scan. Should that leave a tree short, the cutoff is raised.
     """
     features = F.array(*_clean(df, columns)).alias("x")
-    need = cfg.trees * cfg.sample_size
-    top = float(1 << 52)
-    if rows >= 1.5 * need:
-        tree = F.pmod(F.xxhash64("event_id", F.lit(cfg.seed)), F.lit(cfg.trees)).cast("int")
-        share = min(1.0, 4.0 * need / rows)
-        source = df.withColumn("tree_id", tree)
-    else:
-        trees = F.explode(F.sequence(F.lit(0), F.lit(cfg.trees - 1)))
-        share = min(1.0, 4.0 * cfg.sample_size / rows + 64.0 / rows) if rows else 1.0
-        source = df.withColumn("tree_id", trees)
-    priority = F.shiftrightunsigned(F.xxhash64("event_id", "tree_id", F.lit(cfg.seed + 1)), 12)
-    drawn = source.withColumn("_h", priority).filter(F.col("_h") < F.lit(share * top))
+    need, top = min(cfg.sample_size, rows), float(1 << 52)
+    share = min(1.0, (4.0 * cfg.sample_size + 64.0) / rows) if rows else 1.0
+    while True:
+        event = F.xxhash64("event_id", F.lit(cfg.seed))
+        entries = F.transform(
+            F.sequence(F.lit(0), F.lit(cfg.trees - 1)),
+            lambda t: F.struct(t.alias("tree_id"), F.shiftrightunsigned(F.xxhash64(F.col("_e"), t), 12).alias("_h")),
+        )
+        entries = F.filter(entries, lambda e: e["_h"] < F.lit(share * top))
+        drawn = df.select("event_id", features, event.alias("_e")).select("event_id", "x", F.explode(entries).alias("_t"))
+        drawn = materialize(drawn.select("_t.tree_id", "_t._h", "event_id", "x"), "tree-rows")
+        full = drawn.groupBy("tree_id").count().filter(F.col("count") >= need).count()
+        if full == cfg.trees or share == 1.0:
+            break
+        share = min(1.0, 4 * share)
     place = F.row_number().over(Window.partitionBy("tree_id").orderBy("_h", "event_id"))
-    drawn = drawn.select("tree_id", "_h", "event_id", features).withColumn("_place", place)
-    return drawn.filter(F.col("_place") <= cfg.sample_size).drop("_place")
+    return drawn.withColumn("_place", place).filter(F.col("_place") <= cfg.sample_size).drop("_place")
 
 
 def grow_tree(sample: np.ndarray, rng: np.random.Generator, height: int) -> list[tuple]:
@@ -208,14 +211,17 @@ class ForestModel:
 
     def save(self, path: str) -> None:
         facts = F.struct(
-            F.lit(self.threshold).alias("threshold"),
+            F.lit(self.threshold).cast("double").alias("threshold"),
             F.lit(self.sample_size).alias("sample_size"),
+            F.lit(json.dumps(asdict(self.cfg))).alias("config"),
             F.array(*[F.lit(c) for c in self.columns]).alias("columns"),
         )
         self.nodes.withColumn("facts", facts).write.mode("overwrite").parquet(path)
 
     @classmethod
-    def load(cls, spark, path: str, cfg: ForestConfig = ForestConfig()) -> ForestModel:
+    def load(cls, spark, path: str) -> ForestModel:
+        """The model as it was saved, with its own configuration."""
         table = spark.read.parquet(path)
         facts = table.select("facts.*").first()
+        cfg = ForestConfig(**json.loads(facts["config"]))
         return cls(table.drop("facts"), tuple(facts["columns"]), facts["sample_size"], facts["threshold"], cfg)

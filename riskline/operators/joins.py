@@ -5,31 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from riskline.config import ScaleConfig
 from riskline.session import materialize
 
 
-def lookup_join(
-    log: DataFrame,
-    lookup: DataFrame,
-    keys: Sequence[str],
-    scale: ScaleConfig = ScaleConfig(),
-    salt: str = "event_id",
-    stored: bool = False,
-) -> DataFrame:
+def lookup_join(log: DataFrame, lookup: DataFrame, keys: Sequence[str], stored: bool = False) -> DataFrame:
     """Left join with a table that has one row per key.
 
-    The table is written once (unless it is ``stored`` already) and counted. Within ``max_broadcast_rows`` it is
-    broadcast and the log stays where it is. Beyond, both sides are joined on the key
-    and a salt taken from the event, so a key that a third of the log carries is
-    spread over ``salts`` tasks.
+    The table is written first (unless it is ``stored`` already), so Spark knows its bytes: below
+    ``spark.sql.autoBroadcastJoinThreshold`` it is broadcast and the log stays where it
+    is. Beyond, the log moves by the key, and adaptive execution splits the partitions of
+    keys that much of the log carries.
     """
     if not stored:
         lookup = materialize(lookup, "lookup")
-    if lookup.count() <= scale.max_broadcast_rows:
-        return log.join(F.broadcast(lookup), list(keys), "left")
-    salted = log.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(scale.salts)).cast("int"))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(scale.salts - 1))))
-    return salted.join(copies, [*keys, "_salt"], "left").drop("_salt")
+    return log.join(lookup, list(keys), "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from riskline.config import MarkovConfig, ScaleConfig
 from riskline.functions import scalar as S
 from riskline.operators.joins import lookup_join
-from riskline.operators.scaling import scaled
+from riskline.operators.scaling import percentile, scaled
 from riskline.operators.timeline import Context, Stage, Timeline
-from riskline.session import materialize
+from riskline.session import materialize, read_facts, write_facts
 
 
 def training_rows(events: DataFrame) -> DataFrame:
@@ -63,7 +63,8 @@ def threshold_of(model: DataFrame, percent: float) -> float:
 
     The model holds one row per transition, so no pass over the events is needed.
     """
-    value = model.agg(F.percentile(S.log_prob(F.col("prob")), percent / 100.0, F.col("cnt"))).first()[0]
+    weighed = model.select(S.log_prob(F.col("prob")).alias("_lp"), "cnt")
+    value = percentile(weighed, "_lp", percent, "cnt")
     return -10.0 if value is None else value
 
 
@@ -77,7 +78,7 @@ def user_sequences(events: DataFrame, timeline: Timeline | None = None, order: i
     timeline = timeline or Timeline.plan(events)
     item = F.struct("timestamp", "event_id", "event_type")
     rows = timeline.arrange(events.select("user_id", "timestamp", "event_id", "event_type"))
-    parts = rows.groupBy(*timeline.keys).agg(
+    parts = rows.groupBy(*dict.fromkeys(["user_id", *timeline.keys])).agg(
         F.array_sort(F.collect_list(item)).alias("_items"), F.min("timestamp").alias("_start")
     )
     parts = parts.select("user_id", "_start", F.col("_items.event_type").alias("sequence"))
@@ -116,7 +117,7 @@ class MarkovModel:
     def score(self, df: DataFrame) -> DataFrame:
         """Add ``markov_raw`` to rows that have a ``prefix``: log-probability of the event."""
         lookup = self.probs.select("prefix", F.col("next").alias("event_type"), "prob")
-        df = lookup_join(df, lookup, ["prefix", "event_type"], self.scale, stored=True)
+        df = lookup_join(df, lookup, ["prefix", "event_type"], stored=True)
         seen = F.coalesce(F.col("prob"), F.lit(self.cfg.smoothing))
         raw = F.when(F.col("prefix").isNull(), 0.0).otherwise(S.log_prob(seen))
         return df.withColumn("markov_raw", raw).drop("prob")
@@ -144,9 +145,13 @@ class MarkovModel:
         return df.drop("markov_raw")
 
     def save(self, path: str) -> None:
-        self.probs.withColumn("threshold", F.lit(self.threshold)).write.mode("overwrite").parquet(path)
+        facts = {"threshold": self.threshold, "cfg": asdict(self.cfg), "scale": asdict(self.scale)}
+        self.probs.write.mode("overwrite").parquet(f"{path}/probs")
+        write_facts(self.probs.sparkSession, facts, f"{path}/facts")
 
     @classmethod
-    def load(cls, spark, path: str, cfg: MarkovConfig = MarkovConfig()) -> MarkovModel:
-        table = spark.read.parquet(path)
-        return cls(table.drop("threshold"), table.agg(F.first("threshold")).first()[0], cfg)
+    def load(cls, spark, path: str) -> MarkovModel:
+        """The model as it was saved, with its own configuration."""
+        facts = read_facts(spark, f"{path}/facts")
+        probs = spark.read.parquet(f"{path}/probs")
+        return cls(probs, facts["threshold"], MarkovConfig(**facts["cfg"]), ScaleConfig(**facts["scale"]))

@@ -140,16 +140,36 @@ def impossible_travel_geo(cfg: RuleConfig) -> tuple[Stage, Column]:
     return Stage(whole={"_place": last}), located & soon & (km >= cfg.travel_min_km)
 
 
-def users_per_ip(df: DataFrame) -> DataFrame:
-    """Distinct users that logged in from each address: pairs are merged before they move."""
-    pairs = df.filter(S.is_login()).select("source_ip", "user_id").distinct()
+def login_pairs(df: DataFrame) -> DataFrame:
+    """The distinct (address, user) of logins."""
+    return df.filter(S.is_login()).select("source_ip", "user_id").distinct()
+
+
+def users_per_ip(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Distinct users that logged in from each address: pairs are merged before they move.
+
+    ``known`` are pairs from elsewhere, such as earlier parts of a stream.
+    """
+    pairs = login_pairs(df)
+    pairs = pairs if known is None else pairs.union(known.select("source_ip", "user_id")).distinct()
     return pairs.groupBy("source_ip").agg(F.count("user_id").alias("users"))
 
 
-def credential_stuffing(df: DataFrame, hit: str, *, cfg: RuleConfig, scale: ScaleConfig) -> DataFrame:
-    flagged = users_per_ip(df).filter(F.col("users") >= cfg.stuffing_users)
-    flagged = flagged.select("source_ip", F.lit(True).alias("_flagged"))
-    df = lookup_join(df, flagged, ["source_ip"], scale)
+def crowded_addresses(df: DataFrame, cfg: RuleConfig, known: DataFrame | None = None) -> DataFrame:
+    flagged = users_per_ip(df, known).filter(F.col("users") >= cfg.stuffing_users)
+    return flagged.select("source_ip", F.lit(True).alias("_flagged"))
+
+
+def logins_from_crowded(df: DataFrame, cfg: RuleConfig) -> DataFrame:
+    """The logins from addresses that many users log in from."""
+    joined = lookup_join(df.filter(S.is_login()), crowded_addresses(df, cfg), ["source_ip"])
+    return joined.filter("_flagged").drop("_flagged")
+
+
+def credential_stuffing(
+    df: DataFrame, hit: str, *, cfg: RuleConfig, known: DataFrame | None = None
+) -> DataFrame:
+    df = lookup_join(df, crowded_addresses(df, cfg, known), ["source_ip"])
     return df.withColumn(hit, S.is_login() & F.col("_flagged").isNotNull()).drop("_flagged")
 
 
@@ -211,8 +231,11 @@ def insider_drift(cfg: RuleConfig) -> tuple[Stage, Column]:
     return Stage(whole=rates.whole, second=rates.second), flagged
 
 
-def default_rules(cfg: RuleConfig = RuleConfig(), scale: ScaleConfig = ScaleConfig()) -> list[Rule]:
-    """The seven rules in registration order; the order decides name lists and ties."""
+def default_rules(cfg: RuleConfig = RuleConfig(), known: DataFrame | None = None) -> list[Rule]:
+    """The seven rules in registration order; the order decides name lists and ties.
+
+    ``known`` are (address, user) pairs of logins outside the log, for credential stuffing.
+    """
 
     def rule(name, attack_type, description, parts, needs):
         stage, condition = parts
@@ -234,7 +257,7 @@ def default_rules(cfg: RuleConfig = RuleConfig(), scale: ScaleConfig = ScaleConf
             "credential_stuffing",
             "Many accounts tried from one address",
             "credential_stuffing", ATTACK_SEVERITY["credential_stuffing"],
-            batch=partial(credential_stuffing, cfg=cfg, scale=scale),
+            batch=partial(credential_stuffing, cfg=cfg, known=known),
             needs=("event_type", "source_ip"),
         ),
         rule(
@@ -316,7 +339,7 @@ def evaluate(
 ) -> DataFrame:
     """Run the rules over the log and add the four combined columns."""
     timeline = timeline or Timeline.plan(events, scale)
-    rules = runnable(default_rules(cfg, scale) if rules is None else rules, events.columns)
+    rules = runnable(default_rules(cfg) if rules is None else rules, events.columns)
     df = timeline.run(timeline.arrange(batch_flags(events, rules)), user_stage(rules))
     return combine(df, rules).select(*events.columns, *RULE_COLUMNS)
 

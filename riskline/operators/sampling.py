@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskline.config import ScaleConfig
@@ -30,30 +30,33 @@ def sequential_event_id(
         whole={"_pos": Running(F.lit(1))},
         early={name: F.format_string("EVT-%06d", F.col("_pos") - 1)},
     )
-    return timeline.run(timeline.arrange(log), stage).drop(*timeline.keys)
+    return timeline.run(timeline.arrange(log), stage).drop("_log", *timeline.keys)
+
+
+def draw(column: str, seed: int) -> Column:
+    """52 bits of the value's MD5, which other engines have too; exact as a double."""
+    text = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(column).cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
 
 
 def sample_normal_rows(df: DataFrame, ratio: float, seed: int = 42) -> DataFrame:
     """Random sample of normal rows whose size is a share of all rows, exactly.
 
-    Rows with the smallest hashes are taken: the cutoff is an exact order statistic,
-    so the sample is a filter and is never gathered in one place.
+    Rows with the smallest hashes of their id are taken: the cutoff is an exact order statistic,
+    so the sample is a filter and is never gathered in one place. Only the rows of the
+    hash at the cutoff, copies of one id as a rule, are numbered to fill the size.
     """
     total = df.count()
     normal = df.filter(~F.col("is_attack"))
     size = max(1, int(total * ratio))
-    # 52 bits, so that the value is exact as a double.
-    hashed = F.shiftrightunsigned(F.xxhash64("event_id", F.lit(seed)), 12)
-    ranked = normal.withColumn("_h", hashed)
+    ranked = normal.withColumn("_h", draw("event_id", seed))
     available = ranked.count()
     if available <= size:
         return normal
     cut = int(kth_smallest(ranked, "_h", size - 1))
-    below = ranked.filter(F.col("_h") < cut).count()
-    tied = ranked.filter(F.col("_h") == cut).orderBy("event_id").limit(size - below)
-    last = tied.agg(F.max("event_id")).first()[0]
-    chosen = (F.col("_h") < cut) | ((F.col("_h") == cut) & (F.col("event_id") <= F.lit(last)))
-    return ranked.filter(chosen).drop("_h")
+    below = ranked.filter(F.col("_h") < cut)
+    tied = ranked.filter(F.col("_h") == cut).limit(size - below.count())
+    return below.unionByName(tied).drop("_h")
 
 
 def append_labeled(log: DataFrame, extra: DataFrame) -> DataFrame:

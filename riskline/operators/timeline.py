@@ -2,11 +2,13 @@
 
 A plain ``Window.partitionBy("user_id")`` puts a whole user into one task. A
 :class:`Timeline` keeps that plan for ordinary users and cuts the few that exceed
-``max_rows_per_slice`` into consecutive time slices. A window then runs per
-(user, slice), and what one slice must know of the others (its last row, its sums)
-is taken from a small per-slice aggregate that is joined back on the slice.
+``max_rows_per_slice`` into consecutive time slices, and an instant that is too full into
+ranges of the rest of the order. A window then runs per (user, slice, part), and what one
+part must know of the others (its last row, its sums) is taken from a small aggregate of
+each part that is joined back on it. Both plans give the same result: null users, nulls in
+a ``by`` column and null times, which come first, are groups like others.
 
-The log is shuffled once, by (user, slice); every window below reuses that layout.
+The log is shuffled once, by (user, slice, part); every window below reuses that layout.
 The per-slice aggregates are read from a table of the cut users' rows that is written
 once, and never from the chain of windows itself.
 
@@ -24,18 +26,24 @@ from pyspark.sql import functions as F
 
 from riskline.config import ScaleConfig
 from riskline.functions.scalar import micros
-from riskline.session import materialize
-
-SLICE = "_slice"
+from riskline.session import CUT_SETTINGS, materialize
+
+# The user as a struct, which is never null, the slice's first microsecond, and the part of it.
+WHO, SLICE, PART = "_who", "_slice", "_part"
+# Rows without a time stand before all others.
+NO_TIME = -(1 << 63)
+# Rows of an overfull instant that its ranges are taken from, about.
+SAMPLE = 1024
 # A slice that is too full is divided into this many times the parts its count asks for.
 FINER = 8
 
 
 @dataclass(frozen=True)
 class Previous:
-    """``value`` (never null) of the nearest earlier row of (user, *by), or later if ``ahead``.
+    """``value`` of the nearest earlier row of (user, *by), or later if ``ahead``.
 
-    Without a value it is the time itself. With ``where`` only such rows are looked at.
+    Without a value it is the time itself. With ``where`` only such rows are looked at, and
+    of these only those with a value.
     """
 
     value: Column | None = None
@@ -120,10 +128,12 @@ class Stage:
 class Timeline:
     key: str = "user_id"
     order: tuple[str, ...] = ("timestamp", "event_id")
-    # Users that are cut, one row each: key, _t0 and _width in microseconds.
+    # Users that are cut, one row each: the user, _t0 and _width in microseconds.
     large: DataFrame | None = None
-    # Slices that were still too large, level by level: key, _slice, _finer (new width).
+    # Slices that were still too large, level by level: user, _slice, _finer (new width).
     bursts: tuple[DataFrame, ...] = ()
+    # Instants that are too large: user, _slice, and where its parts begin.
+    instants: DataFrame | None = None
     # The rows of the cut users, as stored and with their slice.
     stored: DataFrame | None = None
 
@@ -138,39 +148,54 @@ class Timeline:
         """Find the users that need slices: one narrow pass, partially aggregated."""
         order = tuple(order)
         us = micros(order[0])
-        users = events.groupBy(key).agg(
+        users = events.groupBy(F.struct(key).alias(WHO)).agg(
             F.count(F.lit(1)).alias("_n"), F.min(us).alias("_t0"), F.max(us).alias("_t1")
         )
-        large = users.filter((F.col("_n") > scale.max_rows_per_slice) & F.col(key).isNotNull())
-        if large.isEmpty():
+        large = materialize(users.filter(F.col("_n") > scale.max_rows_per_slice), "large-users")
+        total = large.agg(F.sum("_n")).first()[0]
+        if total is None:
             return cls(key, order)
+        for name, value in CUT_SETTINGS.items():
+            events.sparkSession.conf.set(name, value)
 
         # Every large user has more than `size` rows, so there are fewer than
         # total / size of them: this bounds the broadcasts below.
-        large = materialize(large, "large-users")
-        total = large.agg(F.sum("_n")).first()[0]
         size = max(scale.max_rows_per_slice, total // scale.max_broadcast_rows + 1)
         width = F.ceil((F.col("_t1") - F.col("_t0") + 1) * F.lit(float(size)) / F.col("_n"))
         large = large.filter(F.col("_n") > size).select(
-            key, "_t0", F.greatest(width, F.lit(1)).cast("long").alias("_width")
+            WHO,
+            F.coalesce("_t0", F.lit(0)).alias("_t0"),
+            F.greatest(width, F.lit(1)).cast("long").alias("_width"),
         )
-        stored = materialize(events.join(F.broadcast(large.select(key)), key), "cut-users")
-        timeline = cls(key, order, large, (), stored)
+        timeline = cls(key, order, large)
+        mine = timeline._with_who(events).join(F.broadcast(large.select(WHO)), WHO, "left_semi")
+        stored = materialize(mine.drop(WHO), "cut-users")
+        timeline = replace(timeline, stored=stored)
 
         # Equal spans of time hold equal shares of a steady user. Where events come in
-        # bursts, divide the spans that are too full until none is, or it is an instant.
+        # bursts, divide the spans that are too full. Each division makes a span shorter,
+        # so this ends, at the latest with instants.
         while True:
-            spans = timeline._spans(stored.select(key, order[0]))
-            full = spans.groupBy(key, SLICE, "_span").agg(F.count(F.lit(1)).alias("_n"))
-            full = full.filter((F.col("_n") > size) & (F.col("_span") > 1))
+            spans = timeline._spans(stored.select(key, *order))
+            full = spans.groupBy(WHO, SLICE, "_span").agg(F.count(F.lit(1)).alias("_n"))
+            full = materialize(full.filter(F.col("_n") > size), "bursts")
+            wide = full.filter(F.col("_span") > 1)
+            if wide.isEmpty():
+                break
             finer = F.ceil(F.col("_span") * F.lit(float(size)) / (F.col("_n") * FINER))
-            level = materialize(
-                full.select(key, SLICE, F.greatest(finer, F.lit(1)).cast("long").alias("_finer")),
-                "bursts",
-            )
-            if level.isEmpty():
-                return timeline
-            timeline = replace(timeline, bursts=(*timeline.bursts, level))
+            finer = F.least(F.greatest(finer, F.lit(1)), F.col("_span") - 1).cast("long")
+            timeline = replace(timeline, bursts=(*timeline.bursts, wide.select(WHO, SLICE, finer.alias("_finer"))))
+        if len(order) > 1 and not full.isEmpty():
+            # Evenly spaced values of a sample, so an instant's parts are even up to chance.
+            rest = F.struct(*order[1:])
+            share = F.ceil(F.col("_n") / SAMPLE)
+            drawn = spans.join(F.broadcast(full), [WHO, SLICE]).filter(F.pmod(F.xxhash64(*order[1:]), share) == 0)
+            step = F.greatest(F.lit(1), F.floor(F.size("_all") * F.lit(size) / F.col("_n"))).cast("int")
+            cuts = F.filter("_all", lambda _, i: (i > 0) & (i % F.col("_step") == 0))
+            instants = drawn.groupBy(WHO, SLICE, "_n").agg(F.array_sort(F.collect_set(rest)).alias("_all"))
+            instants = instants.withColumn("_step", step).select(WHO, SLICE, cuts.alias("_cuts"))
+            timeline = replace(timeline, instants=materialize(instants, "instants"))
+        return timeline
 
     @property
     def sliced(self) -> bool:
@@ -178,25 +203,34 @@ class Timeline:
 
     @property
     def keys(self) -> list[str]:
-        return [self.key, SLICE] if self.sliced else [self.key]
+        return [WHO, SLICE, PART] if self.sliced else [self.key]
 
     @property
     def cut(self) -> DataFrame:
         """The rows of the cut users with their slice."""
         return self.assign(self.stored)
 
+    def _with_who(self, df: DataFrame) -> DataFrame:
+        return df.withColumn(WHO, F.struct(F.col(self.key).alias(self.key)))
+
     def _spans(self, df: DataFrame, at: Column | None = None) -> DataFrame:
-        """Add the slice's first microsecond and its width, null for an uncut user."""
+        """Add user, the slice's first microsecond and its width, null for an uncut user."""
         at = micros(self.order[0]) if at is None else at
 
         def start(origin: str, width: str) -> Column:
-            return (F.col(origin) + F.floor((at - F.col(origin)) / F.col(width)) * F.col(width)).cast("long")
+            first = F.col(origin) + F.floor((at - F.col(origin)) / F.col(width)) * F.col(width)
+            return F.coalesce(first.cast("long"), F.lit(NO_TIME))
 
-        df = df.drop(SLICE).join(F.broadcast(self.large), self.key, "left")
-        df = df.withColumns({SLICE: start("_t0", "_width"), "_span": F.col("_width")})
-        df = df.drop("_t0", "_width")
+        df = self._with_who(df.drop(*self.keys)).join(F.broadcast(self.large), WHO, "left")
+        cut = F.col("_width").isNotNull()
+        df = df.withColumns(
+            {
+                SLICE: F.when(cut, start("_t0", "_width")),
+                "_span": F.when(at.isNull() & cut, F.lit(1)).otherwise(F.col("_width")),
+            }
+        ).drop("_t0", "_width")
         for level in self.bursts:
-            df = df.join(F.broadcast(level), [self.key, SLICE], "left").withColumns(
+            df = df.join(F.broadcast(level), [WHO, SLICE], "left").withColumns(
                 {
                     SLICE: F.when(F.col("_finer").isNull(), F.col(SLICE)).otherwise(start(SLICE, "_finer")),
                     "_span": F.coalesce("_finer", "_span"),
@@ -205,11 +239,20 @@ class Timeline:
         return df
 
     def assign(self, df: DataFrame, at: Column | None = None) -> DataFrame:
-        """Add the slice of each row where users are cut."""
-        return self._spans(df, at).drop("_span") if self.sliced else df
+        """Add the part of each row where users are cut."""
+        if not self.sliced:
+            return df
+        df, part = self._spans(df, at).drop("_span"), F.lit(0)
+        if self.instants is not None:
+            df = df.join(F.broadcast(self.instants), [WHO, SLICE], "left")
+            rest = F.struct(*self.order[1:])
+            part = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= rest)), F.lit(0))
+            df = df.withColumn(PART, F.when(F.col("_cuts").isNull(), 0).otherwise(part)).drop("_cuts")
+            return df
+        return df.withColumn(PART, part)
 
     def arrange(self, df: DataFrame, at: Column | None = None) -> DataFrame:
-        """Lay the rows out by (user, slice): the one shuffle of the log."""
+        """Lay the rows out by (user, slice, part): the one shuffle of the log."""
         return self.assign(df, at).repartition(*self.keys)
 
     def window(self, by: Sequence[str] = ()):
@@ -241,8 +284,8 @@ class Timeline:
         added = [*stage.early, *stage.late]
         return df.select(*given, *[c for c in added if c not in given])
 
-    def _across(self, by: Sequence[str]):
-        return Window.partitionBy(self.key, *by)
+    def _across(self, by: Sequence[str] = ()):
+        return Window.partitionBy(WHO, *by)
 
     def _local(self, spec: Spec) -> Column:
         """The value of a spec within the slice."""
@@ -252,12 +295,15 @@ class Timeline:
         if isinstance(spec, Running):
             return F.sum(spec.value).over(rows.rowsBetween(Window.unboundedPreceding, 0))
         if isinstance(spec, Context):
-            lags = [F.lag(spec.value, i).over(rows) for i in range(spec.depth, 0, -1)]
+            item = F.struct(F.col(spec.value).alias("v"))
+            lags = [F.lag(item, i).over(rows) for i in range(spec.depth, 0, -1)]
             return F.array_compact(F.array(*lags))
         value = F.col(self.order[0]) if spec.value is None else spec.value
         if spec.where is not None:
             before = rows.rowsBetween(Window.unboundedPreceding, -1)
             return F.last(F.when(spec.where, value), ignorenulls=True).over(before)
+        # Where parts are joined, a null value must differ from no row.
+        value = F.struct(value.alias("v")) if self.sliced else value
         return (F.lead if spec.ahead else F.lag)(value).over(rows)
 
     def _edge(self, name: str, spec: Spec) -> Column:
@@ -268,23 +314,20 @@ class Timeline:
             return F.sum(spec.value)
         order = F.struct(*self.order)
         if isinstance(spec, Context):
-            tail = F.concat(name, F.array(spec.value))
+            tail = F.concat(name, F.array(F.struct(F.col(spec.value).alias("v"))))
             full = F.slice(tail, -spec.depth, spec.depth)
             return F.max_by(F.when(F.size(tail) > spec.depth, full).otherwise(tail), order)
-        if spec.value is None:
-            time = F.col(self.order[0])
-            time = time if spec.where is None else F.when(spec.where, time)
-            return (F.min if spec.ahead else F.max)(time)
+        value = F.col(self.order[0]) if spec.value is None else spec.value
         if spec.where is not None:
-            return F.max_by(spec.value, F.when(spec.where, order))
-        return (F.min_by if spec.ahead else F.max_by)(spec.value, order)
+            return F.max_by(value, F.when(spec.where & value.isNotNull(), order))
+        return (F.min_by if spec.ahead else F.max_by)(F.struct(value.alias("v")), order)
 
     def _carried(self, name: str, spec: Spec) -> Column:
         """The edges of the other slices, folded into what this slice starts from."""
         across = self._across(spec.by)
         if isinstance(spec, Total):
             return spec.fn(name).over(across)
-        slices = across.orderBy(SLICE)
+        slices = across.orderBy(SLICE, PART)
         if isinstance(spec, Running):
             return F.sum(name).over(slices.rowsBetween(Window.unboundedPreceding, -1))
         if isinstance(spec, Context):
@@ -302,8 +345,9 @@ class Timeline:
         if isinstance(spec, Running):
             return local + F.coalesce(carried, F.lit(0))
         if isinstance(spec, Context):
-            return F.concat(F.coalesce(carried, F.array().cast("array<string>")), local)
-        return F.coalesce(local, carried)
+            return F.concat(F.coalesce(carried, F.array().cast("array<struct<v:string>>")), local)
+        nearest = F.coalesce(local, carried)
+        return nearest if spec.where is not None else nearest["v"]
 
     def _add(
         self,
@@ -327,17 +371,21 @@ class Timeline:
                 carry = edges.select(
                     *self.keys, *by, *[self._carried(n, s).alias(f"_in_{n}") for n, s in group.items()]
                 )
-                # Both sides lie by (user, slice), so the log itself is not shuffled again.
-                carry = carry.repartition(*self.keys)
-                df = df.join(carry, [*self.keys, *by], "left")
+                # Both sides lie by (user, slice, part), so the log itself is not shuffled
+                # again. Structs with null fields are equal where the fields are.
+                carry = carry.withColumn("_by", F.struct(F.lit(0).alias("_0"), *by)).drop(*by)
+                df = df.withColumn("_by", F.struct(F.lit(0).alias("_0"), *by))
+                df = df.join(carry.repartition(*self.keys), [*self.keys, "_by"], "left")
                 df = df.withColumns({n: self._joined(n, s) for n, s in group.items()})
-                df = df.drop(*[f"_in_{n}" for n in group])
-        return df.withColumns(
-            {
-                n: F.when(F.size(n) >= s.depth, F.slice(n, -s.depth, s.depth))
-                for n, s in contexts.items()
-            }
-        )
+                df = df.drop("_by", *[f"_in_{n}" for n in group])
+        return df.withColumns({n: self._known(n, s.depth) for n, s in contexts.items()})
+
+    @staticmethod
+    def _known(name: str, depth: int) -> Column:
+        """The last values, or null if there are fewer than ``depth`` or one of them is null."""
+        last = F.slice(name, -depth, depth)
+        known = (F.size(name) >= depth) & F.forall(last, lambda x: x["v"].isNotNull())
+        return F.when(known, F.transform(last, lambda x: x["v"]))
 
     def _levels(
         self, df: DataFrame, levels: Mapping[str, Level], source: DataFrame | None
@@ -368,10 +416,12 @@ class Timeline:
         if self.sliced:
             # A departure may belong to a later slice; an uncut user's rows are in place.
             moved = self.arrange(moved, at)
-            points = explode(source).select(self.key, "_at", *levels)
+            points = explode(source).select(self.key, *self.order[1:], "_at", *levels)
             parts = self.assign(points, at).groupBy(*self.keys).agg(*[F.sum(n).alias(n) for n in levels])
-            before = self._across(()).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-            carry = parts.select(*self.keys, *[F.sum(n).over(before).alias(f"_in_{n}") for n in levels])
+            # All parts of an instant see the changes of the whole instant.
+            upto = self._across().orderBy(SLICE).rangeBetween(Window.unboundedPreceding, 0)
+            others = [(F.sum(n).over(upto) - F.col(n)).alias(f"_in_{n}") for n in levels]
+            carry = parts.select(*self.keys, *others)
         frame = self.window().orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
         out = moved.withColumns({n: F.sum(n).over(frame) for n in levels}).filter("_real")
         if self.sliced:

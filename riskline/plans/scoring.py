@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, fields, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskline.config import ScoringConfig
@@ -16,7 +16,7 @@ from riskline.operators.markov import MarkovModel, context_stage
 from riskline.operators.scaling import bounds, scaled
 from riskline.operators.timeline import Timeline
 from riskline.schema import FEATURES
-from riskline.session import materialize
+from riskline.session import materialize, read_facts, write_facts
 
 
 @dataclass(frozen=True)
@@ -46,6 +46,21 @@ class ScoringModel:
         df = detected(events, self.markov, timeline, self.cfg, rules)
         return self.finish(self.forest.score(df))
 
+    def save(self, path: str) -> None:
+        """Store the detectors, their bounds and all settings below a folder."""
+        self.forest.save(f"{path}/forest")
+        self.markov.save(f"{path}/markov")
+        ends = {n: getattr(self, n) for n in ("iso_bounds", "markov_bounds", "composite_bounds")}
+        write_facts(self.markov.probs.sparkSession, {**ends, "cfg": asdict(self.cfg)}, f"{path}/facts")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> ScoringModel:
+        facts = read_facts(spark, f"{path}/facts")
+        parts = {f.name: f.default_factory for f in fields(ScoringConfig)}
+        cfg = ScoringConfig(**{n: make(**facts["cfg"][n]) for n, make in parts.items()})
+        ends = [tuple(facts[n]) for n in ("iso_bounds", "markov_bounds", "composite_bounds")]
+        return cls(ForestModel.load(spark, f"{path}/forest"), MarkovModel.load(spark, f"{path}/markov"), *ends, cfg)
+
     def finish(self, df: DataFrame) -> DataFrame:
         """Fuse rows that have features, rule columns and raw scores."""
         df = label_risk(self.detector_columns(df), *self.composite_bounds, self.cfg.risk)
@@ -55,7 +70,7 @@ class ScoringModel:
 def detected(events: DataFrame, markov: MarkovModel, timeline: Timeline, cfg: ScoringConfig, rules=None) -> DataFrame:
     """Features, rule columns and raw sequence score in one layout of the log."""
     rules = R.runnable(
-        R.default_rules(cfg.rules, cfg.scale) if rules is None else rules, events.columns
+        R.default_rules(cfg.rules) if rules is None else rules, events.columns
     )
     stage = R.user_stage(rules) | all_features() | context_stage(cfg.markov.order)
     df = timeline.run(timeline.arrange(R.batch_flags(events, rules)), stage)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +17,11 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # A join on (user, slice, x) may use the layout by (user, slice): slices are of even
-    # size, and shuffling the log again for every such join is what it would cost.
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
+# Set when a plan with cut users is made, as it needs it: a join on (user, slice, x) may use the
+# layout by (user, slice). Slices are of even size, and shuffling the log again for every
+# such join is what it would cost.
+CUT_SETTINGS = {"spark.sql.requireAllClusterKeysForCoPartition": "false"}
 # Settings that only a new session takes.
 STARTUP = {
     # Recording the call site of every column expression makes wide plans slow to build.
@@ -26,6 +30,10 @@ STARTUP = {
     "spark.sql.codegen.cache.maxEntries": "1000",
 }
 WORK_DIR = "spark.checkpoint.dir"
+# Scratch folders of local sessions without a setting, by application.
+_SCRATCH: dict[str, str] = {}
+# Tables written so far, in order.
+_WRITTEN: list[str] = []
 
 
 def start(app: str = "riskline", master: str | None = None, **settings: str) -> SparkSession:
@@ -53,9 +61,10 @@ def work_dir(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {WORK_DIR} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="riskline-")
-    spark.conf.set(WORK_DIR, folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _SCRATCH:
+        _SCRATCH[app] = tempfile.mkdtemp(prefix="riskline-")
+    return _SCRATCH[app]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -65,10 +74,39 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     checkpoint, still lets later reads prune columns and push filters down.
     """
     path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_facts(spark: SparkSession, facts: dict, path: str) -> None:
+    """Store the numbers and settings of a model as JSON."""
+    row = spark.createDataFrame([(json.dumps(facts),)], "value string")
+    row.coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_facts(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path).first()[0])
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediate tables that are written inside the block when it ends.
+
+    For code whose results are written elsewhere by then, such as a micro-batch.
+    """
+    mark = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        gone = _WRITTEN[mark:]
+        del _WRITTEN[mark:]
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for path in gone:
+            folder = hadoop(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def ship(module_name: str) -> None:
     """Send a module's functions inside the tasks that use them.
 

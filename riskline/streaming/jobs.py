@@ -1,9 +1,11 @@
 """Structured Streaming versions of the detectors.
 
 Windowed counts use watermarked aggregation. The others run the batch operators on each
-micro-batch together with the little they must remember, which is kept as one folder per
-batch: a batch that is run again after a failure overwrites its own folder and reads only
-those of earlier batches, so its result is the same.
+micro-batch together with what they must remember. That is kept as one folder per batch,
+divided by a hash of its key, and a batch reads only the divisions its own keys are in. A batch
+that is run again after a failure overwrites its own folder and reads only those of earlier
+batches, so its result is the same. Other tables that a batch writes on its way are deleted
+when it ends.
 
 Every job takes a stream of events and an output folder on shared storage, and returns the
 running query.
@@ -14,20 +16,22 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from riskline.config import RuleConfig, ScaleConfig
 from riskline.functions import scalar as S
+from riskline.operators import rules as R
 from riskline.operators.joins import lookup_join
 from riskline.operators.markov import MarkovModel, context_stage
-from riskline.operators.timeline import Running, Stage, Timeline, Total
+from riskline.operators.timeline import Timeline
 from riskline.plans.scoring import ScoringModel
-from riskline.session import work_dir
+from riskline.session import materialize, scratch, work_dir
 from riskline.sources.activity import activity_events
 
-BATCH = "batch"
+BATCH, DIVISION = "batch", "division"
+DIVISIONS = 64
 Advance = Callable[[DataFrame, int], None]
 
 
@@ -35,11 +39,16 @@ def _each_batch(
     events: DataFrame, out: str, advance: Advance, mode: str = "append", trigger: str | None = None
 ) -> StreamingQuery:
     when = {"availableNow": True} if trigger is None else {"processingTime": trigger}
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        with scratch(batch.sparkSession):
+            advance(batch, batch_id)
+
     return (
         events.writeStream.outputMode(mode)
         .option("checkpointLocation", f"{out}/checkpoint")
         .trigger(**when)
-        .foreachBatch(advance)
+        .foreachBatch(step)
         .start()
     )
 
@@ -48,11 +57,28 @@ def _write(df: DataFrame, out: str, table: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{out}/{table}/{BATCH}={batch_id}")
 
 
-def _earlier(spark: SparkSession, out: str, table: str, batch_id: int) -> DataFrame | None:
-    """What earlier batches wrote to a table; nothing before the first one."""
+def _division(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(DIVISIONS)).cast("int")
+
+
+def _keep(df: DataFrame, out: str, table: str, batch_id: int, key: str) -> None:
+    """Remember rows for later batches."""
+    divided = df.withColumn(DIVISION, _division(key))
+    divided.write.mode("overwrite").partitionBy(DIVISION).parquet(f"{out}/{table}/{BATCH}={batch_id}")
+
+
+def _earlier(batch: DataFrame, out: str, table: str, batch_id: int, key: str) -> DataFrame | None:
+    """What earlier batches remembered of the keys in this one; nothing before the first one.
+
+    Only the divisions of these keys are read, at most DIVISIONS numbers on the driver.
+    """
     if batch_id == 0:
         return None
-    return spark.read.parquet(f"{out}/{table}").filter(F.col(BATCH) < batch_id)
+    wanted = [r[0] for r in batch.select(_division(key)).distinct().collect()]
+    kept = batch.sparkSession.read.parquet(f"{out}/{table}")
+    kept = kept.filter((F.col(BATCH) < batch_id) & F.col(DIVISION).isin(wanted)).drop(BATCH, DIVISION)
+    keys = materialize(batch.select(F.struct(key).alias("_key")).distinct(), "batch-keys")
+    return kept.withColumn("_key", F.struct(key)).join(keys, "_key", "left_semi").drop("_key")
 
 
 def read_alerts(spark: SparkSession, out: str) -> DataFrame:
@@ -112,9 +138,7 @@ def latest_daily_exfiltration(spark: SparkSession, out: str) -> DataFrame:
     return read_alerts(spark, out).groupBy("user_id", "event_date").agg(F.max("moved").alias("moved"))
 
 
-def new_devices(
-    events: DataFrame, out: str, scale: ScaleConfig = ScaleConfig(), trigger: str | None = None
-) -> StreamingQuery:
+def new_devices(events: DataFrame, out: str, trigger: str | None = None) -> StreamingQuery:
     """First login of a user from a device, unless it is the user's first login at all."""
     logins = events.filter(S.is_login()).select("user_id", "device_id", "timestamp", "event_id")
 
@@ -123,13 +147,13 @@ def new_devices(
         first = F.min(F.struct("timestamp", "event_id")).alias("first")
         fresh = batch.groupBy("user_id", "device_id").agg(first)
         users = fresh.groupBy("user_id").agg(F.min("first").alias("_opening"))
-        seen = _earlier(batch.sparkSession, out, "devices", batch_id)
+        seen = _earlier(batch, out, "devices", batch_id, "user_id")
         if seen is not None:
             fresh = fresh.join(seen.select("user_id", "device_id"), ["user_id", "device_id"], "left_anti")
             known = seen.select("user_id").distinct()
             users = users.join(known, "user_id", "left_anti")
-        fresh = lookup_join(fresh, users, ["user_id"], scale, salt="device_id")
-        _write(fresh.drop("_opening"), out, "devices", batch_id)
+        fresh = lookup_join(fresh, users, ["user_id"])
+        _keep(fresh.drop("_opening"), out, "devices", batch_id, "user_id")
         alerts = fresh.filter(F.col("_opening").isNull() | (F.col("first") > F.col("_opening")))
         _write(alerts.select("user_id", "device_id", "first.*"), out, "alerts", batch_id)
 
@@ -145,26 +169,21 @@ def sequence_scores(
 ) -> StreamingQuery:
     """Log-probability of every event under a fitted sequence model.
 
-    The last ``order`` events of each user are carried from batch to batch as rows, so
-    the batch operator scores them and the new ones as one log.
+    The events of the batch's users, four narrow columns, are read back, so an event that comes
+    late is scored after the events it follows in time, as far as they have come.
     """
     order = model.cfg.order
     columns = ["user_id", "timestamp", "event_id", "event_type"]
 
     def advance(batch: DataFrame, batch_id: int) -> None:
         rows = batch.withColumn("_new", F.lit(True))
-        carried = _earlier(batch.sparkSession, out, "carried", batch_id)
-        if carried is not None:
-            last = carried.filter(F.col(BATCH) == batch_id - 1).drop(BATCH)
-            rows = rows.unionByName(last.withColumn("_new", F.lit(False)))
-        tail = Stage(
-            whole={"_position": Running(F.lit(1)), "_events": Total(F.sum, F.lit(1))},
-            early={"_last": F.col("_position") > F.col("_events") - order},
-        )
+        past = _earlier(batch, out, "history", batch_id, "user_id")
+        if past is not None:
+            rows = rows.unionByName(past.withColumn("_new", F.lit(False)))
         timeline = Timeline.plan(rows, scale)
-        rows = timeline.run(timeline.arrange(rows), context_stage(order) | tail)
-        _write(rows.filter("_last").select(*columns), out, "carried", batch_id)
+        rows = timeline.run(timeline.arrange(rows), context_stage(order))
         scored = model.label(model.score(rows.filter("_new")))
+        _keep(batch, out, "history", batch_id, "user_id")
         _write(scored.select(*columns, "markov_raw", "markov_is_anomaly"), out, "alerts", batch_id)
 
     return _each_batch(events.select(*columns), out, advance, trigger=trigger)
@@ -175,20 +194,24 @@ def risk_scores(
 ) -> StreamingQuery:
     """Full risk scoring of each micro-batch with fitted detectors and frozen bounds.
 
-    Features look back over the stored history of the users in the batch.
+    Features look back over the stored history of the users in the batch. Rules over addresses
+    also count the users of earlier batches that are not in this one: their login pairs are
+    remembered by address, each once.
     """
 
     def advance(batch: DataFrame, batch_id: int) -> None:
         rows = batch.withColumn("_new", F.lit(True))
-        past = _earlier(batch.sparkSession, out, "history", batch_id)
+        past = _earlier(batch, out, "history", batch_id, "user_id")
+        pairs = R.login_pairs(batch)
+        known = _earlier(pairs, out, "logins", batch_id, "source_ip")
         if past is not None:
-            users = batch.select("user_id").distinct().withColumn("_active", F.lit(True))
-            past = lookup_join(past.drop(BATCH), users, ["user_id"], model.cfg.scale)
-            past = past.filter("_active").drop("_active")
             rows = rows.unionByName(past.withColumn("_new", F.lit(False)))
-        scored = model.score(rows).filter("_new").drop("_new")
+            pairs = pairs.join(known, ["source_ip", "user_id"], "left_anti")
+        rules = R.default_rules(model.cfg.rules, known)
+        scored = model.score(rows, rules).filter("_new").drop("_new")
         _write(scored, out, "alerts", batch_id)
-        _write(batch, out, "history", batch_id)
+        _keep(batch, out, "history", batch_id, "user_id")
+        _keep(pairs, out, "logins", batch_id, "source_ip")
 
     return _each_batch(events, out, advance, trigger=trigger)
 

@@ -86,7 +86,7 @@ def test_fewer_rows_than_the_sample_size(spark):
 
 def test_save_and_load(spark, points, model, tmp_path):
     model.save(str(tmp_path / "forest"))
-    again = ForestModel.load(spark, str(tmp_path / "forest"), CFG)
+    again = ForestModel.load(spark, str(tmp_path / "forest"))
     assert again.threshold == model.threshold and again.columns == model.columns
     a = model.score(points).agg(F.sum("iso_raw")).first()[0]
     assert again.score(points).agg(F.sum("iso_raw")).first()[0] == pytest.approx(a)

@@ -74,6 +74,6 @@ def test_sequences_come_in_parts_where_a_user_is_cut(spark):
 def test_save_and_load(spark, log, tmp_path):
     model = MarkovModel.fit(log)
     model.save(str(tmp_path / "m"))
-    again = MarkovModel.load(spark, str(tmp_path / "m"), MarkovConfig())
+    again = MarkovModel.load(spark, str(tmp_path / "m"))
     assert again.threshold == model.threshold
     assert column(again.raw_scores(log), "markov_raw") == column(model.raw_scores(log), "markov_raw")

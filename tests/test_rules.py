@@ -16,7 +16,7 @@ CUT = ScaleConfig(max_rows_per_slice=3)
 
 def hits(spark, name, rows, scale=ScaleConfig()):
     log = make_log(spark, rows)
-    rule = next(r for r in R.default_rules(scale=scale) if r.name == name)
+    rule = next(r for r in R.default_rules() if r.name == name)
     return positions(R.flag_rows(log, rule, scale=scale))
 
 
@@ -47,8 +47,12 @@ def test_credential_stuffing_counts_users_over_the_batch(spark):
     rows += [{"at": i, "user_id": f"u{i}", "source_ip": "Y"} for i in range(1, 5)]
     rows += [{"source_ip": "X", "event_type": "file_access"}]
     assert hits(spark, "credential_stuffing", rows) == [0, 1, 2, 3, 4]
-    salted = ScaleConfig(max_broadcast_rows=0)
-    assert hits(spark, "credential_stuffing", rows, salted) == [0, 1, 2, 3, 4]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert hits(spark, "credential_stuffing", rows) == [0, 1, 2, 3, 4]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
 def test_windowed_stuffing_needs_the_users_together(spark, scale):

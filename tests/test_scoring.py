@@ -55,7 +55,7 @@ def test_model_scores_its_own_batch_as_the_fit_did(fitted):
 def test_cut_users_change_nothing(spark):
     log = crowded_log(spark)
     plain = fit_and_score(log, CONFIG)[1]
-    small = ScoringConfig(rules=RULES, forest=FOREST, scale=ScaleConfig(100, 20, 4))
+    small = ScoringConfig(rules=RULES, forest=FOREST, scale=ScaleConfig(100, 20))
     assert_same(plain, fit_and_score(log, small)[1])
 
 
