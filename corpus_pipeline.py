@@ -1,13 +1,49 @@
-"""The corpus preparation pipeline: a list of stages from documents to packed sequences."""
+"""The corpus preparation pipeline: from documents to packed sequences of token ids."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from riskline.llm import mixing, near, packing, pii, quality
 from riskline.session import materialize
 
-STAGES = []
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the current policy of the rule ledger rejects."""
+    return quality.passing(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group linked by 80 % of their five-word shingles."""
+    return near.keep_one(docs, shingle=5, percent=80)
+
+
+def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Put surrogates for personal data; n_chars follows the text."""
+    out = pii.replace(docs, pii.KEY)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take documents, some more than once, so that the sources come to their targets."""
+    return mixing.mixed(docs)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack the token ids of the documents into sequences of 1024."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("pii", private_data),
+    ("mix", source_mix),
+    ("pack", sequences),
+]
+
+# Shingle components, surrogates and tokens are not for SQL; tests hold the stages to brute force.
 ORACLE_SQL = None
 
 

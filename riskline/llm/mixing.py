@@ -91,16 +91,9 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return done
 
 
-def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """id, source, size, source_size, target and ``taken`` words, one row per row of ``docs``.
-
-    A source whose target is t times its size gives every document floor(t) times and the
-    hash-selected rest once more, so no document exceeds ``most`` times its size and a source
-    misses its target by at most half of one document. A null text has no words and is never
-    taken; a null source is a source. Rows that repeat an id share a hash and are then told
-    apart by their row number, so identical rows are interchangeable and reruns agree. An
-    empty table gives an empty mix. Columns outside id, text and source are not looked at.
-    """
+def mix_plan(docs: DataFrame, id: str, text: str, source: str, weights: tuple[int, ...], most: int) -> tuple[DataFrame, DataFrame]:
+    """The documents as numbers (id, source, size, u, row), and a row of the plan per source:
+    source_size, target, times every document is taken, and the threshold for once more."""
     rows = materialize(
         docs.select(
             F.col(id).alias("id"), F.col(source).cast("string").alias("source"), word_count(whole(text)).alias("size"),
@@ -114,17 +107,46 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     plan = materialize(plan.withColumn("need", F.col("target") - F.col("times") * F.col("source_size")), "mix-plan")
     cut = materialize(thresholds(rows, plan), "mix-cut").alias("t")
     plan = plan.alias("p").join(cut, F.col("p.source").eqNullSafe(F.col("t.source")), "left")
-    plan = materialize(plan.select("p.*", "below", "row_below"), "mix-cuts").alias("p")
-    more = F.coalesce(
-        (F.col("u") < F.col("below")) | ((F.col("u") == F.col("below")) & (F.col("row") < F.col("row_below"))), F.lit(False)
-    )
+    return rows, materialize(plan.select("p.*", "below", "row_below"), "mix-cuts")
+
+
+def _copies(u: Column, row: Column) -> Column:
+    """How often a document of a joined plan row is taken."""
+    more = (u < F.col("p.below")) | ((u == F.col("p.below")) & (row < F.col("p.row_below")))
+    return F.col("p.times") + F.coalesce(more, F.lit(False)).cast("long")
+
+
+def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """id, source, size, source_size, target and ``taken`` words, one row per row of ``docs``.
+
+    A source whose target is t times its size gives every document floor(t) times and the
+    hash-selected rest once more, so no document exceeds ``most`` times its size and a source
+    misses its target by at most half of one document. A null text has no words and is never
+    taken; a null source is a source. Rows that repeat an id share a hash and are then told
+    apart by their row number, so identical rows are interchangeable and reruns agree. An
+    empty table gives an empty mix. Columns outside id, text and source are not looked at.
+    """
+    rows, plan = mix_plan(docs, id, text, source, weights, most)
     # The plan is a small written table: Spark broadcasts it while it is below its own limit.
-    return rows.alias("r").join(plan, F.col("r.source").eqNullSafe(F.col("p.source"))).select(
+    return rows.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source"))).select(
         F.col("id").alias(id), F.col("r.source").alias(source), "size", "source_size", "target",
-        (F.col("size") * (F.col("times") + more.cast("long"))).alias("taken"),
+        (F.col("size") * _copies(F.col("r.u"), F.col("r.row"))).alias("taken"),
     )
 
 
+def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as it is taken, columns unchanged.
+
+    ``docs`` should be a table as read: its rows are numbered in two scans. Texts do not move
+    but for the join with the plan, which is broadcast while it is small.
+    """
+    _, plan = mix_plan(docs, id, text, source, weights, most)
+    numbered = docs.select(F.struct("*").alias("doc"), F.col(source).cast("string").alias("source"), unit_hash(F.col(id)).alias("u"), F.monotonically_increasing_id().alias("row"))
+    joined = numbered.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")))
+    copies = _copies(F.col("r.u"), F.col("r.row")).cast("int")
+    return joined.withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies))).select("doc.*")
+
+
 def op2_source_mix(spark, folder: str) -> DataFrame:
     return mix(spark.read.parquet(f"{folder}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -138,6 +138,12 @@ def ablation(entries: DataFrame, policy: str = CURRENT, rules: tuple[Rule, ...]
     )
 
 
+def passing(docs: DataFrame, policy: str = CURRENT, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the policy does not reject, with their columns unchanged."""
+    entries = ledger(docs.select(F.struct("*").alias("doc"), F.col(text).alias("text")), keep=("doc",))
+    return entries.where(verdict(policy)).select("doc.*")
+
+
 def op7_quality_ledger(spark, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     base = F.col("fail_bits").bitwiseAND(F.lit(policy_bits("base")).cast("long")) != 0

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from riskline.llm import fingerprint, licenses, mixing, near, packing, pii, quality, sharding
+from riskline.llm import fingerprint, licenses, mixing, near, packing, pii, quality, repeats, resample, sharding
 
 QUERIES = {
     "op1_jaccard_join": near.op1_jaccard_join,
     "op2_source_mix": mixing.op2_source_mix,
     "op3_license_scan": licenses.op3_license_scan,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op5_suffix_dedup": repeats.op5_suffix_dedup,
+    "op6_importance_resampling": resample.op6_importance_resampling,
     "op7_quality_ledger": quality.op7_quality_ledger,
     "op8_merkle_fingerprints": fingerprint.op8_merkle_fingerprints,
     "op9_histogram_shards": sharding.op9_histogram_shards,
