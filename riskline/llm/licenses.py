@@ -105,7 +105,7 @@ def signatures() -> tuple[Signature, ...]:
         for name in names:
             found.append(Signature(family, keyword, name, NAMED))
             for v in versions:
-                exact = rf"{name}(?: as published by the free software foundation)?(?: either)?(?: version| v)? {_spelled(v)}"
+                exact = rf"{name}(?: as published by the free software foundation)?(?: either)? (?:version |v ?)?{_spelled(v)}"
                 found.append(Signature(f"{family}-{v}", keyword, exact, VERSIONED))
                 if family.endswith("gpl"):
                     found.append(Signature(f"{family}-{v}-or-later", keyword, exact + r"(?: of the license)? or (?:any |at your option any )?later(?: version)?", VERSIONED))

@@ -67,7 +67,8 @@ def _shift(half: Column, other: Column, key: Column, tweak: Column, hexes: Colum
                 F.lit(letters), ((F.instr(F.lit(letters), c) - 1 + n) % len(letters) + 1).cast("int"), F.lit(1)
             )
             return (
-                F.when(hexes & c.rlike("[0-9a-f]"), within("0123456789abcdef"))
+                F.when((hexes == 1) & c.rlike("[0-9a-f]"), within("0123456789abcdef"))
+                .when((hexes == 2) & c.rlike("[0-9A-F]"), within("0123456789ABCDEF"))
                 .when(c.rlike("[0-9]"), within(DIGITS))
                 .when(c.rlike("[a-z]"), within(LOWERS))
                 .when(c.rlike("[A-Z]"), within(UPPERS))
@@ -81,7 +82,9 @@ def _shift(half: Column, other: Column, key: Column, tweak: Column, hexes: Colum
 
 def _permuted(value: Column, key: Column, tweak: Column) -> Column:
     """A permutation of all strings with the shape of ``value``, chosen by key and tweak."""
-    hexes = value.rlike("^[0-9a-f]*$") & value.rlike("[a-f]") & value.rlike("[0-9]")
+    bare = F.regexp_replace(value, "[^0-9A-Za-z]", "")
+    both = bare.rlike("[A-Fa-f]") & bare.rlike("[0-9]")
+    hexes = F.when(both & bare.rlike("^[0-9a-f]+$"), 1).when(both & bare.rlike("^[0-9A-F]+$"), 2).otherwise(0)
     cut = F.floor(F.length(value) / 2).cast("int")
     halves = F.struct(F.substring(value, F.lit(1), cut).alias("l"), F.substring(value, cut + 1, F.length(value)).alias("r"))
     for i in range(ROUNDS):
@@ -111,23 +114,25 @@ def _address(value: Column, key: Column, tweak: Column) -> Column:
 def _made_up(value: Column, key: Column, attempt: Column, gender: Column) -> Column:
     """A name of syllables of the same script, capitalised, with the gender's ending."""
 
-    def built(n: Column) -> Column:
+    def built(digest: Column) -> Column:
+        part = lambda k: F.conv(F.substring(digest, 4 * k + 1, 4), 16, 10).cast("int")
         result = None
         for script, (parts, endings) in reversed(list(SYLLABLES.items())):
             table = F.array(*map(F.lit, parts))
-            pick = lambda k, table=table, size=len(parts): F.element_at(table, (F.floor(n / size**k) % size + 1).cast("int"))
+            pick = lambda k, table=table, size=len(parts): F.element_at(table, part(k) % size + 1)
             body = F.concat(pick(0), pick(1), pick(2))
             end = F.lit(None).cast("string")
             for g, choice in endings.items():
                 ends = F.array(*map(F.lit, choice))
-                end = F.when(gender == g, F.element_at(ends, (F.floor(n / len(parts) ** 3) % len(choice) + 1).cast("int"))).otherwise(end)
+                end = F.when(gender == g, F.element_at(ends, part(3) % len(choice) + 1)).otherwise(end)
             extra = F.when(attempt > 0, pick(4)).otherwise(F.lit(""))
             more = F.when(attempt > 3, F.concat(pick(5), pick(6))).otherwise(F.lit(""))
             name = F.initcap(F.concat(body, extra, more, end))
             result = name if result is None else F.when(value.rlike(r"\p{IsCyrillic}"), result).otherwise(name)
         return result
 
-    return let(_number(key, F.lit("name"), attempt.cast("string"), gender, F.lower(value)), built)
+    seed = F.concat_ws("\x1f", key, F.lit("name"), attempt.cast("string"), gender, F.lower(value))
+    return let(F.sha2(seed, 256), built)
 
 
 def _typed(found: Column) -> Column:

@@ -209,5 +209,5 @@ def test_clashing_surrogates_are_drawn_again(spark, monkeypatch):
 
 @pytest.mark.parametrize("make", [lambda d: pii.replace(d, "k"), lambda d: sharding.shard(d, 4), lambda d: mixing.mix(d), lambda d: licenses.scan(d)])
 def test_no_python(spark, make):
-    plan = make(corpus.frame(spark, corpus.rows(1, 5)))._jdf.queryExecution().executedPlan().toString()
+    plan = make(corpus.frame(spark, corpus.rows(1, 12)))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
