@@ -8,10 +8,12 @@ best fit, again on counts. The n-th piece of a length then finds its place by it
 
 from __future__ import annotations
 
+import struct
+import sys
+import types
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,32 +33,41 @@ CACHE = 1_000_000
 ship(__name__)
 
 
-class _Encoder:
+class _Encoder(dict):
     """Token ids by the tokenizer, which is asked once for each distinct piece of text.
 
     Byte-level BPE never merges across the pieces of its splitting pattern, so the ids of a text
-    are those of its pieces in turn.
+    are those of its pieces in turn. Maps a piece to its ids as little-endian 32-bit numbers.
     """
 
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
-        self.known: dict[str, tuple[int, ...]] = {}
 
-    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for at in range(0, len(texts), 500):
-            parts = [self.pieces(t) for t in texts[at : at + 500]]
-            if len(self.known) > CACHE:
-                self.known.clear()
-            new = list(set(chain.from_iterable(parts)).difference(self.known))
-            for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.known[piece] = tuple(e.ids)
-            for p in parts:
-                yield np.fromiter(chain(chain.from_iterable(map(self.known.__getitem__, p)), (END,)), dtype="<u4")
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        self[piece] = found = struct.pack(f"<{len(ids)}I", *ids)
+        return found
+
+    def ids(self, text: str) -> np.ndarray:
+        """The ids of a text and the end id."""
+        if len(self) > CACHE:
+            self.clear()
+        found = b"".join(map(self.__getitem__, self.pieces(text)))
+        return np.frombuffer(found + END.to_bytes(4, "little"), dtype="<u4")
+
+
+def _encoder(path: str) -> _Encoder:
+    """The encoder of this worker process, kept for its next tasks."""
+    kept = sys.modules.setdefault("_riskline_worker", types.ModuleType("_riskline_worker")).__dict__
+    if path not in kept:
+        kept[path] = _Encoder(path)
+    return kept[path]
 
 
 def _cut(frames: Iterator[pd.DataFrame], path: str, capacity: int, keep_ids: bool) -> Iterator[pd.DataFrame]:
@@ -64,10 +75,11 @@ def _cut(frames: Iterator[pd.DataFrame], path: str, capacity: int, keep_ids: boo
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    encode, seen, part = _Encoder(path), defaultdict(int), TaskContext.get().partitionId()
+    encoder, seen, part = _encoder(path), defaultdict(int), TaskContext.get().partitionId()
     for frame in frames:
         rows = defaultdict(list)
-        for id, ids in zip(frame["id"], encode(frame["text"].tolist())):
+        for id, text in zip(frame["id"], frame["text"]):
+            ids = encoder.ids(text)
             n = len(ids)
             first = n % capacity or capacity if n > capacity else n
             for piece, (a, b) in enumerate(zip([0, *range(first, n, capacity)], [*range(first, n + 1, capacity)])):

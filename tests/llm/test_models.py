@@ -55,7 +55,7 @@ def test_special_words_are_text():
     text = "a<|endoftext|>b  \n it's 12 é😀 "
     plain = Tokenizer.from_file(packing.VOCABULARY)
     plain.encode_special_tokens = True
-    assert next(encode([text])).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2]
+    assert encode.ids(text).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2]
 
 
 def test_next_documents(spark):
