@@ -28,8 +28,20 @@ from riskline.config import ScaleConfig
 from riskline.functions.scalar import micros
 from riskline.session import CUT_SETTINGS, materialize
 
-# The user as a struct, which is never null, the slice's first microsecond, and the part of it.
+# The user as a text that is never null, the slice's first microsecond, and the part of it.
 WHO, SLICE, PART = "_who", "_slice", "_part"
+
+
+def _text(*columns: str) -> Column:
+    """One text for the values of the columns, different for different ones, also for nulls.
+
+    A join on it finds nulls too, and unlike a null-safe join it keeps the layout of the log.
+    """
+    value = lambda c: F.col(c).cast("string")
+    parts = [F.when(F.col(c).isNull(), "-").otherwise(F.concat(F.length(value(c)).cast("string"), F.lit(":"), value(c))) for c in columns]
+    return F.concat(F.lit(""), *parts)
+
+
 # Rows without a time stand before all others.
 NO_TIME = -(1 << 63)
 # Rows of an overfull instant that its ranges are taken from, about.
@@ -148,7 +160,7 @@ class Timeline:
         """Find the users that need slices: one narrow pass, partially aggregated."""
         order = tuple(order)
         us = micros(order[0])
-        users = events.groupBy(F.struct(key).alias(WHO)).agg(
+        users = events.groupBy(_text(key).alias(WHO)).agg(
             F.count(F.lit(1)).alias("_n"), F.min(us).alias("_t0"), F.max(us).alias("_t1")
         )
         large = materialize(users.filter(F.col("_n") > scale.max_rows_per_slice), "large-users")
@@ -203,7 +215,9 @@ class Timeline:
 
     @property
     def keys(self) -> list[str]:
-        return [WHO, SLICE, PART] if self.sliced else [self.key]
+        if not self.sliced:
+            return [self.key]
+        return [WHO, SLICE] if self.instants is None else [WHO, SLICE, PART]
 
     @property
     def cut(self) -> DataFrame:
@@ -211,7 +225,7 @@ class Timeline:
         return self.assign(self.stored)
 
     def _with_who(self, df: DataFrame) -> DataFrame:
-        return df.withColumn(WHO, F.struct(F.col(self.key).alias(self.key)))
+        return df.withColumn(WHO, _text(self.key))
 
     def _spans(self, df: DataFrame, at: Column | None = None) -> DataFrame:
         """Add user, the slice's first microsecond and its width, null for an uncut user."""
@@ -221,7 +235,7 @@ class Timeline:
             first = F.col(origin) + F.floor((at - F.col(origin)) / F.col(width)) * F.col(width)
             return F.coalesce(first.cast("long"), F.lit(NO_TIME))
 
-        df = self._with_who(df.drop(*self.keys)).join(F.broadcast(self.large), WHO, "left")
+        df = self._with_who(df.drop(WHO, SLICE, PART)).join(F.broadcast(self.large), WHO, "left")
         cut = F.col("_width").isNotNull()
         df = df.withColumns(
             {
@@ -242,14 +256,13 @@ class Timeline:
         """Add the part of each row where users are cut."""
         if not self.sliced:
             return df
-        df, part = self._spans(df, at).drop("_span"), F.lit(0)
-        if self.instants is not None:
-            df = df.join(F.broadcast(self.instants), [WHO, SLICE], "left")
-            rest = F.struct(*self.order[1:])
-            part = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= rest)), F.lit(0))
-            df = df.withColumn(PART, F.when(F.col("_cuts").isNull(), 0).otherwise(part)).drop("_cuts")
+        df = self._spans(df, at).drop("_span")
+        if self.instants is None:
             return df
-        return df.withColumn(PART, part)
+        rest = F.struct(*self.order[1:])
+        part = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= rest)), F.lit(0))
+        df = df.join(F.broadcast(self.instants), [WHO, SLICE], "left")
+        return df.withColumn(PART, F.when(F.col("_cuts").isNull(), 0).otherwise(part)).drop("_cuts")
 
     def arrange(self, df: DataFrame, at: Column | None = None) -> DataFrame:
         """Lay the rows out by (user, slice, part): the one shuffle of the log."""
@@ -327,7 +340,7 @@ class Timeline:
         across = self._across(spec.by)
         if isinstance(spec, Total):
             return spec.fn(name).over(across)
-        slices = across.orderBy(SLICE, PART)
+        slices = across.orderBy(*self.keys[1:])
         if isinstance(spec, Running):
             return F.sum(name).over(slices.rowsBetween(Window.unboundedPreceding, -1))
         if isinstance(spec, Context):
@@ -372,10 +385,12 @@ class Timeline:
                     *self.keys, *by, *[self._carried(n, s).alias(f"_in_{n}") for n, s in group.items()]
                 )
                 # Both sides lie by (user, slice, part), so the log itself is not shuffled
-                # again. Structs with null fields are equal where the fields are.
-                carry = carry.withColumn("_by", F.struct(F.lit(0).alias("_0"), *by)).drop(*by)
-                df = df.withColumn("_by", F.struct(F.lit(0).alias("_0"), *by))
-                df = df.join(carry.repartition(*self.keys), [*self.keys, "_by"], "left")
+                # again.
+                on = [*self.keys, "_by"] if by else self.keys
+                if by:
+                    carry = carry.withColumn("_by", _text(*by)).drop(*by)
+                    df = df.withColumn("_by", _text(*by))
+                df = df.join(carry.repartition(*self.keys), on, "left")
                 df = df.withColumns({n: self._joined(n, s) for n, s in group.items()})
                 df = df.drop("_by", *[f"_in_{n}" for n in group])
         return df.withColumns({n: self._known(n, s.depth) for n, s in contexts.items()})
@@ -409,8 +424,12 @@ class Timeline:
             changes.append(F.when(level.leave.cast("long") > 0, later))
 
         def explode(rows: DataFrame) -> DataFrame:
+            # A departure is its place and its moves; what the row holds besides stays behind.
+            place = {WHO, SLICE, PART, self.key, *self.order[1:]}
+            given = rows.columns
             rows = rows.withColumn("_p", F.explode(F.array_compact(F.array(*changes))))
-            return rows.select("*", "_p.*").drop("_p")
+            narrow = [c if c in place else F.when(F.col("_p._real"), F.col(c)).alias(c) for c in given]
+            return rows.select(*narrow, "_p.*")
 
         moved, at = explode(df), F.col("_at")
         if self.sliced:
