@@ -30,7 +30,7 @@ LENGTH = 400
 GRAM = 128
 CHUNK = 1 << 19
 # Symbols of the transform: words of this many bytes, a divisor of the length.
-WORD = 40
+WORD = 80
 FILTER_BITS = 23
 _U = np.uint64
 _TABLES = np.random.default_rng(11).integers(1, 1 << 63, (2, 256), dtype=np.uint64) * _U(2) + _U(1)
@@ -165,18 +165,44 @@ def _texts(frames: Iterator[pd.DataFrame], bits: np.ndarray) -> Iterator[pd.Data
         yield pd.DataFrame({"t": keys[pick], "raw": [raws[i] for i in pick]})
 
 
+def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of the keys, and the keys in it.
+
+    Keys and positions are sorted as one number where they fit, which numpy does fastest.
+    """
+    bits = max(1, len(keys).bit_length())
+    if len(keys) and int(keys.max()).bit_length() + bits > 64:
+        order = np.argsort(keys, kind="stable")
+        return order, keys[order]
+    packed = np.sort(keys.astype(np.uint64) << _U(bits) | np.arange(len(keys), dtype=np.uint64))
+    return (packed & _U((1 << bits) - 1)).astype(np.int64), (packed >> _U(bits)).astype(np.int64)
+
+
+def _dense(keys: np.ndarray) -> np.ndarray:
+    """Ranks of the keys, equal for equal ones."""
+    order, ordered = _sorted(keys)
+    ranks = np.empty(len(keys), dtype=np.int64)
+    ranks[order] = np.cumsum(np.concatenate(([False], ordered[1:] != ordered[:-1])))
+    return ranks
+
+
+def _ahead(begin: np.ndarray, size: np.ndarray, rel: np.ndarray, step: int) -> np.ndarray:
+    """Positions ``step`` symbols on, around the end of each string; ``step`` is below its size."""
+    on = rel + step
+    return begin + np.where(on < size, on, on - size)
+
+
 class _Shard:
     """Suffix order of a shard to the depth of the length, and its transform."""
 
     def __init__(self, words: np.ndarray, begin: np.ndarray, size: np.ndarray, rel: np.ndarray, length: int):
-        rank, depth = words, WORD
+        rank, depth = _dense(words), WORD
         while depth < length:
-            ahead = begin + (rel + depth) % size
-            rank = np.unique(rank * (int(rank.max()) + 1) + rank[ahead], return_inverse=True)[1]
+            rank = _dense(rank * (int(rank.max()) + 1) + rank[_ahead(begin, size, rel, depth)])
             depth *= 2
-        self.order = np.argsort(rank, kind="stable")
-        before = begin + (rel - WORD) % size
-        self.transform = words[before[self.order]]
+        self.order = _sorted(rank)[0]
+        before = rel - WORD
+        self.transform = words[(begin + np.where(before >= 0, before, before + size))[self.order]]
 
 
 def _interleave(shards: list[_Shard], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,14 +224,14 @@ def _interleave(shards: list[_Shard], length: int) -> tuple[np.ndarray, np.ndarr
 
     for _ in range(length // WORD):
         symbol = symbols[bases[owner] + ranks()]
-        deal = np.argsort(symbol, kind="stable")
-        owner, symbol, block = owner[deal], symbol[deal], block[deal]
+        deal, symbol = _sorted(symbol)
+        owner, block = owner[deal], block[deal]
         parted = np.concatenate(([False], (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])))
         block = np.cumsum(parted)
     return owner, ranks(), block
 
 
-def repeated_starts(strings: list[bytes], length: int = LENGTH, shard_bytes: int = 1 << 18) -> list[np.ndarray]:
+def repeated_starts(strings: list[bytes], length: int = LENGTH, shard_bytes: int = 1 << 16) -> list[np.ndarray]:
     """For each string the starts of its windows that also start elsewhere in these strings."""
     sizes = np.array([len(s) + WORD for s in strings])
     ends = np.cumsum(sizes)
@@ -214,14 +240,18 @@ def repeated_starts(strings: list[bytes], length: int = LENGTH, shard_bytes: int
         symbols[end - size : end - WORD] = np.frombuffer(s, dtype=np.uint8).astype(np.int64) + 1
     begin, size = np.repeat(ends - sizes, sizes), np.repeat(sizes, sizes)
     rel = np.arange(len(symbols)) - begin
-    # Five symbols of nine bits, then the dictionary of words by doubling to WORD symbols.
+    # Four symbols of nine bits, then the dictionary of words by doubling, at last by what is left.
     rank = symbols
-    for step in range(1, 5):
-        rank = rank * 512 + symbols[begin + (rel + step) % size]
-    rank, width = np.unique(rank, return_inverse=True)[1], 5
-    while width < WORD:
-        rank = np.unique(rank * (int(rank.max()) + 1) + rank[begin + (rel + width) % size], return_inverse=True)[1]
-        width *= 2
+    for step in range(1, 4):
+        rank = rank * 512 + symbols[_ahead(begin, size, rel, step)]
+    width, ranks = 4, {}
+    while True:
+        ranks[width] = rank = _dense(rank)
+        if width == WORD:
+            break
+        more = width if 2 * width <= WORD else max(w for w in ranks if w <= WORD - width)
+        rank = rank * (int(ranks[more].max()) + 1) + ranks[more][_ahead(begin, size, rel, width)]
+        width += more
     shards, bases, a = [], [], 0
     while a < len(strings):
         b = int(max(a + 1, np.searchsorted(ends, ends[a] - sizes[a] + shard_bytes)))
@@ -301,7 +331,7 @@ def _hot_windows(hot: DataFrame, length: int) -> DataFrame:
 
 
 def strip_repeats(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, bin_bytes: int = 1 << 20, hot_bytes: int = 4 << 20
+    docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, bin_bytes: int = 1 << 18, hot_bytes: int = 1 << 20
 ) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256, a row per row of ``docs``.
 
