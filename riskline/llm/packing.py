@@ -8,6 +8,7 @@ best fit, again on counts. The n-th piece of a length then finds its place by it
 
 from __future__ import annotations
 
+import re
 import struct
 import sys
 import types
@@ -29,6 +30,7 @@ END = 2
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 # Pieces of text kept with their ids in a task; beyond it the cache starts anew.
 CACHE = 1_000_000
+WHITE_RUN = re.compile(r"\s\s")
 
 ship(__name__)
 
@@ -48,6 +50,7 @@ class _Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
+        self.chunks = _Chunks(self)
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
@@ -55,13 +58,34 @@ class _Encoder(dict):
         return found
 
     def ids(self, text: str) -> np.ndarray:
-        """The ids of a text and the end id."""
+        """The ids of a text and the end id.
+
+        A space between two other signs always begins a piece, so where white space never
+        stands next to white space the text is looked up by what spaces divide.
+        """
         if len(self) > CACHE:
             self.clear()
-        found = b"".join(map(self.__getitem__, self.pieces(text)))
+        if len(self.chunks) > CACHE:
+            self.chunks.clear()
+        if WHITE_RUN.search(text):
+            found = b"".join(map(self.__getitem__, self.pieces(text)))
+        else:
+            found = b"".join(map(self.chunks.__getitem__, text.replace(" ", "\0 ").split("\0") if "\0" not in text else self.pieces(text)))
         return np.frombuffer(found + END.to_bytes(4, "little"), dtype="<u4")
 
 
+class _Chunks(dict):
+    """Ids of text between spaces, put together from those of its pieces."""
+
+    def __init__(self, encoder: _Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, chunk: str) -> bytes:
+        self[chunk] = found = b"".join(map(self.encoder.__getitem__, self.encoder.pieces(chunk)))
+        return found
+
+
 def _encoder(path: str) -> _Encoder:
     """The encoder of this worker process, kept for its next tasks."""
     kept = sys.modules.setdefault("_riskline_worker", types.ModuleType("_riskline_worker")).__dict__

@@ -50,6 +50,17 @@ def test_plan_uses_every_piece_once(seed):
     assert used == Counter(hist)
 
 
+def test_ids_of_odd_texts():
+    """White space of all kinds, signs, other scripts: looked up by parts as the tokenizer has them."""
+    rng = random.Random(2)
+    signs = [" ", "  ", "a", "B", "\x85", "\xa0", "\u3000", "\n", "\t", "_", "½", "é", "e\u0301", "中", "😀", "-", "'s", "\0", "12", ". "]
+    encode = packing._Encoder(packing.VOCABULARY)
+    plain = Tokenizer.from_file(packing.VOCABULARY)
+    for _ in range(3000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randint(0, 14)))
+        assert encode.ids(text).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2]
+
+
 def test_special_words_are_text():
     encode = packing._Encoder(packing.VOCABULARY)
     text = "a<|endoftext|>b  \n it's 12 é😀 "
