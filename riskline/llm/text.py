@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -40,3 +41,15 @@ def fresh(df: DataFrame, stem: str) -> str:
         n += 1
         name = f"__{stem}_{n}"
     return name
+
+
+@contextmanager
+def batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Send at most so many rows at once to Python in the jobs that run inside the block."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before))) if int(before) > 0 else str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
