@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskline.llm.sharding import KEYS, LEAST, locate, splitters
-from riskline.llm.text import whole
+from riskline.llm.text import file_place, whole
 from riskline.session import materialize, ship
 
 # Up to eight words to the end of a sentence or line, or what lies between words.
@@ -119,9 +119,16 @@ def edits(a: str, b: str) -> list[tuple[int, int]]:
     return out
 
 
-def _pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows in order, each with the fingerprint of the row after it in its bucket."""
-    held = None
+def _pairs(frames: Iterator[pd.DataFrame], counts: dict[int, int]) -> Iterator[pd.DataFrame]:
+    """Rows in order, each with the fingerprint of the row after it in its bucket.
+
+    ``counts``: the rows each bucket has to have besides a copy, which it has to end with.
+    """
+    held, own_rows = None, 0
+
+    def ended() -> None:
+        if held is not None and not (held[3] and own_rows == counts[held[0]]):
+            raise RuntimeError(f"range {held[0]} has {own_rows} rows of {counts[held[0]]} and {'a' if held[3] else 'no'} row after them: the table changed between two scans")
 
     def result(row, after):
         _, id, text, _, own = row
@@ -135,12 +142,17 @@ def _pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for bucket, id, text, copy in zip(frame["bucket"], frame["id"], frame["text"], frame["copy"]):
             row = (bucket, id, text, copy, fingerprint(text))
+            if held is None or held[0] != bucket:
+                ended()
+                own_rows = 0
+            own_rows += not copy
             if held is not None and held[0] == bucket and not held[3]:
                 rows.append(result(held, row))
             held = row
         out = pd.DataFrame(rows, columns=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
         out["id"] = pd.array([None if pd.isna(i) else int(i) for i in out["id"]], dtype="Int64")
         yield out.astype({"n_chars": "int64", "near_edited": "float64", "near_next": "float64"})
+    ended()
 
 
 def with_next(docs: DataFrame, id: str = "doc_id", text: str = "text", bucket_bytes: int = 4 << 20) -> DataFrame:
@@ -150,22 +162,28 @@ def with_next(docs: DataFrame, id: str = "doc_id", text: str = "text", bucket_by
     of the text, null ids come first, a null text is empty, a single row follows itself, an
     empty table gives no rows. Ids are integers; other columns are not looked at. The order is
     cut into ranges of even bytes, and the first row of a range goes to the range before as well,
-    so the texts are exchanged once and no task needs all ids.
+    so the texts are exchanged once and no task needs all ids. Both scans must give a row the same
+    key: its place in its file is part of it, and a table that is more than a read of files is
+    written first. A range that lacks a row in the second scan is an error.
     """
+    place = file_place(docs)
     keys = docs.select(
         F.col(id).cast("long").alias("id"),
         whole(text).alias("text"),
         F.coalesce(F.col(id).cast("long"), F.lit(LEAST)).alias("k1"),
         F.xxhash64(whole(text)).alias("k2"),
-        F.monotonically_increasing_id().alias("k3"),
+        (F.monotonically_increasing_id() if place is None else place).alias("k3"),
     )
+    if place is None:
+        keys = materialize(keys, "fingerprint-rows")
     narrow = materialize(keys.select(*KEYS, (F.octet_length("text") + 1).cast("long").alias("size")), "fingerprint-keys")
     total = narrow.agg(F.sum("size")).first()[0] or 0
     cuts = min(MAX_BUCKETS, total // bucket_bytes + 1)
     bounds = sorted(set(splitters(narrow, "size", [(total * i / cuts, total / cuts / 2) for i in range(1, cuts)]))) if total else []
     key = tuple(map(F.col, KEYS))
     first = F.min(F.struct(*KEYS))
-    heads = {r.bucket: tuple(r["min"]) for r in narrow.groupBy(locate(bounds, key).alias("bucket")).agg(first.alias("min")).collect()}
+    ranges = narrow.groupBy(locate(bounds, key).alias("bucket")).agg(first.alias("min"), F.count("*").alias("n")).collect()
+    heads, counts = {r.bucket: tuple(r["min"]) for r in ranges}, {r.bucket: r.n for r in ranges}
     used = sorted(heads)
     before = {b: used[i - 1] for i, b in enumerate(used)}
     # One entry for each bucket, of which there are at most MAX_BUCKETS.
@@ -180,7 +198,7 @@ def with_next(docs: DataFrame, id: str = "doc_id", text: str = "text", bucket_by
     rows = spread.select("place.bucket", "id", "text", "place.copy", *KEYS).repartition("bucket")
     rows = rows.sortWithinPartitions("bucket", "copy", *KEYS).select("bucket", "id", "text", "copy")
     schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return rows.mapInPandas(_pairs, schema).withColumnRenamed("id", id)
+    return rows.mapInPandas(lambda frames: _pairs(frames, counts), schema).withColumnRenamed("id", id)
 
 
 def op8_merkle_fingerprints(spark, folder: str) -> DataFrame:

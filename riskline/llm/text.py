@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,27 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
+def file_place(df: DataFrame) -> Column | None:
+    """A hash of file and row number in it, where ``df`` only reads, selects and filters files.
+
+    It is the same in every scan, however the files are split into tasks. None for other tables.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return None
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.getClass().getSimpleName() != "LogicalRelation":
+        return None
+    try:
+        at = df.metadataColumn("_metadata")
+        place = F.xxhash64(at["file_path"], at["row_index"])
+        df.select(place)
+    except AnalysisException:
+        return None
+    return place
+
+
 @contextmanager
 def batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Send at most so many rows at once to Python in the jobs that run inside the block."""
