@@ -32,7 +32,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the token ids of the documents into sequences of 1024."""
-    return packing.pack(docs)
+    return packing.pack(docs, keep_ids=True)
 
 
 STAGES = [

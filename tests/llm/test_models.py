@@ -186,3 +186,11 @@ def test_pipeline_stages_equal_brute_force(spark, tmp_path):
         packed[r.doc_id] += r.length
     assert packed == Counter({i: n * len(token_ids(next(r.text for r in kept["mix"] if r.doc_id == i))) for i, n in Counter(r.doc_id for r in kept["mix"]).items()})
     assert pii.KEY
+
+
+def test_pipeline_ends_with_token_ids(spark, tmp_path):
+    docs = corpus.written(corpus.frame(spark, [(i, t, "s") for i, t in enumerate(["one two", "", "more  words\n" * 900])]), tmp_path)
+    got = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    for r in docs.collect():
+        pieces = sorted((p for p in got if p.doc_id == r.doc_id), key=lambda p: p.piece)
+        assert [i for p in pieces for i in p.ids] == token_ids(r.text).tolist()
