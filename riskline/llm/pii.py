@@ -44,7 +44,17 @@ PATTERN = "|".join(f"(?:{p})" for p, _ in TYPES.values())
 GATE = rf"[0-9@]|-----BEGIN|{_SECRET_NAME}\s{{0,3}}[=:]|(?:{_TITLE})\.? \p{{Lu}}"
 ROUNDS = 4
 ATTEMPTS = 24
+# Later attempts add digits, so that a format with few values does not run out of them.
+LONGER = 8
 DIGITS, LOWERS, UPPERS = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+# Letters of other scripts that move inside their class.
+LETTERS = (
+    "абвгдеёжзийклмнопрстуфхцчшщъыьэюяіїєґђјљњћџ", "АБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯІЇЄҐЂЈЉЊЋЏ",
+    "αβγδεζηθικλμνξοπρσςτυφχψωάέήίόύώ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩΆΈΉΊΌΎΏ",
+    "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿßāăąćčďđēęěğīłńňőœřśşšťūůűźżž", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞĀĂĄĆČĎĐĒĘĚĞĪŁŃŇŐŒŘŚŞŠŤŪŮŰŹŻŽ",
+)
+# Sign classes of a value: any, lower or upper hexadecimal, signs only.
+ANY, HEX_LOWER, HEX_UPPER, SIGNS = range(4)
 # Syllables and gendered endings by script, for names that no list of real names limits.
 SYLLABLES = {
     "latin": ("ba be bi bo da de di do fa fe fi ga ge go ha he ja jo ka ke ki ko la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se si ta te ti to va ve vi wa".split(), {"m": ("n", "r", "s", "ld"), "f": ("a", "ia", "ina", "ela"), "n": ("n", "l", "r", "t")}),
@@ -58,7 +68,10 @@ def _number(*parts: Column) -> Column:
 
 
 def _shift(half: Column, other: Column, key: Column, tweak: Column, hexes: Column) -> Column:
-    """``half`` with every letter and digit moved inside its class by a stream keyed by ``other``."""
+    """``half`` with every letter and digit moved inside its class by a stream keyed by ``other``.
+
+    Letters and digits of no class become one of a-z, as all signs do where there is nothing else.
+    """
 
     def moved(stream: Column) -> Column:
         def one(c: Column, i: Column) -> Column:
@@ -66,12 +79,17 @@ def _shift(half: Column, other: Column, key: Column, tweak: Column, hexes: Colum
             within = lambda letters: F.substring(
                 F.lit(letters), ((F.instr(F.lit(letters), c) - 1 + n) % len(letters) + 1).cast("int"), F.lit(1)
             )
+            letters = F.lit(LOWERS)
+            for script in LETTERS:
+                letters = F.when(F.instr(F.lit(script), c) > 0, F.lit(script)).otherwise(letters)
+            beyond = lambda found: F.substring(found, (F.pmod(F.instr(found, c) - 1 + n, F.length(found)) + 1).cast("int"), F.lit(1))
             return (
-                F.when((hexes == 1) & c.rlike("[0-9a-f]"), within("0123456789abcdef"))
-                .when((hexes == 2) & c.rlike("[0-9A-F]"), within("0123456789ABCDEF"))
+                F.when((hexes == HEX_LOWER) & c.rlike("[0-9a-f]"), within("0123456789abcdef"))
+                .when((hexes == HEX_UPPER) & c.rlike("[0-9A-F]"), within("0123456789ABCDEF"))
                 .when(c.rlike("[0-9]"), within(DIGITS))
                 .when(c.rlike("[a-z]"), within(LOWERS))
                 .when(c.rlike("[A-Z]"), within(UPPERS))
+                .when((hexes == SIGNS) | (c > "\x7f") & c.rlike(r"[\p{L}\p{N}]"), let(letters, beyond))
                 .otherwise(c)
             )
 
@@ -80,11 +98,19 @@ def _shift(half: Column, other: Column, key: Column, tweak: Column, hexes: Colum
     return F.when(F.length(half) == 0, half).otherwise(let(F.sha2(F.concat_ws("\x1f", key, tweak, other), 512), moved))
 
 
-def _permuted(value: Column, key: Column, tweak: Column) -> Column:
-    """A permutation of all strings with the shape of ``value``, chosen by key and tweak."""
+def _permuted(value: Column, key: Column, tweak: Column, signs: Column) -> Column:
+    """A permutation of all strings with the shape of ``value``, chosen by key and tweak.
+
+    Where ``signs`` holds, a value without letters and digits becomes letters.
+    """
     bare = F.regexp_replace(value, "[^0-9A-Za-z]", "")
     both = bare.rlike("[A-Fa-f]") & bare.rlike("[0-9]")
-    hexes = F.when(both & bare.rlike("^[0-9a-f]+$"), 1).when(both & bare.rlike("^[0-9A-F]+$"), 2).otherwise(0)
+    hexes = (
+        F.when(both & bare.rlike("^[0-9a-f]+$"), HEX_LOWER)
+        .when(both & bare.rlike("^[0-9A-F]+$"), HEX_UPPER)
+        .when(signs & ~value.rlike(r"[\p{L}\p{N}]"), SIGNS)
+        .otherwise(ANY)
+    )
     cut = F.floor(F.length(value) / 2).cast("int")
     halves = F.struct(F.substring(value, F.lit(1), cut).alias("l"), F.substring(value, cut + 1, F.length(value)).alias("r"))
     for i in range(ROUNDS):
@@ -171,13 +197,14 @@ def surrogate(kind: Column, unit: Column, gender: Column, attempt: Column, key:
     domain = F.substring_index(unit, ".", -1)
     mail = let(
         F.substring(unit, F.lit(1), (F.length(unit) - F.length(domain)).cast("int")),
-        lambda x: F.concat(F.when(attempt > 0, F.substring(F.sha2(F.concat_ws("\x1f", key, tweak, unit), 256), 1, 6)).otherwise(F.lit("")), _permuted(x, key, tweak), domain),
+        lambda x: F.concat(F.when(attempt > 0, F.substring(F.sha2(F.concat_ws("\x1f", key, tweak, unit), 256), 1, 6)).otherwise(F.lit("")), _permuted(x, key, tweak, F.lit(False)), domain),
     )
+    more = F.when(attempt > LONGER, F.lpad((_number(key, tweak, unit) % 1_000_000).cast("string"), 6, "0")).otherwise(F.lit(""))
     return (
         F.when(kind == "name", _made_up(unit, key, attempt, gender))
         .when(kind == "ipv4", _address(unit, key, tweak))
         .when(kind == "email", mail)
-        .otherwise(_permuted(unit, key, tweak))
+        .otherwise(F.concat(_permuted(unit, key, tweak, kind == "secret"), more))
     )
 
 
@@ -202,13 +229,15 @@ def clashes(units: DataFrame, key: Column) -> DataFrame:
         real = units.select("type", F.col("unit").alias("surrogate")).distinct().withColumn("real", F.lit(True))
         order = Window.partitionBy("type", "surrogate").orderBy("attempt", F.xxhash64("unit", "gender"), "unit", "gender")
         judged = drawn.join(real, ["type", "surrogate"], "left").withColumn("n", F.row_number().over(order))
-        # A surrogate of its own value changes nothing for texts without letters or digits.
         bad = F.col("real").isNotNull() | (F.col("n") > 1)
-        bad &= F.col("unit").rlike(r"[\p{L}0-9]")
+        # Other types than secrets have letters or digits to move; what has none is left.
+        bad &= (F.col("type") == "secret") & (F.length("unit") > 0) | F.col("unit").rlike(r"[\p{L}0-9]")
         judged = materialize(judged.select("type", "unit", "gender", "attempt", bad.alias("bad")), "pii-judged")
         if judged.where("bad").isEmpty():
             break
         drawn = judged.select("type", "unit", "gender", (F.col("attempt") + F.col("bad").cast("int")).alias("attempt"))
+    else:
+        raise RuntimeError(f"{judged.where('bad').count()} entities still have no surrogate of their own after {ATTEMPTS} attempts")
     return judged.where("attempt > 0").select("type", "unit", "gender", "attempt")
 
 

@@ -207,6 +207,26 @@ def test_clashing_surrogates_are_drawn_again(spark, monkeypatch):
     assert len(set(out)) == len(rows) and all(t.startswith("Mr. ") for t in out)
 
 
+def test_secrets_of_any_script_are_replaced(spark):
+    values = ["пароль", "Ключ_Ёж", "κλειδί", "señal-ñandú", "密码密码密码", "!!??!!??", "😀😀😀😀😀😀", "x密ж9-é!"]
+    out = {r.doc_id: r.text for r in pii.replace(corpus.frame(spark, [(i, f"password: {v} end", "s") for i, v in enumerate(values)]), "k4").collect()}
+    got = [re.fullmatch(r"password: (\S+) end", out[i])[1] for i in range(len(values))]
+    assert len(set(got)) == len(values) and not set(got) & set(values)
+    for v, g in zip(values, got):
+        assert not any(a == b for a, b in zip(v, g) if a in "密码😀?")
+    assert re.fullmatch("[\u0430-\u045f]{6}", got[0]) and re.fullmatch("[\u0386-\u03ce]{6}", got[2]) and got[3][5] == "-"
+
+
+def test_small_formats_end_and_clashes_that_stay_are_errors(spark, monkeypatch):
+    monkeypatch.setattr(pii, "LONGER", 0)
+    rows = [(i, f"password: !!!!!{i} end", "s") for i in range(10)]
+    out = [r.text for r in pii.replace(corpus.frame(spark, rows), "k5").collect()]
+    assert len(set(out)) == 10 and not set(out) & {t for _, t, _ in rows}
+    monkeypatch.setattr(pii, "ATTEMPTS", 1)
+    with pytest.raises(RuntimeError, match="no surrogate"):
+        pii.replace(corpus.frame(spark, rows), "k5")
+
+
 @pytest.mark.parametrize("make", [lambda d: pii.replace(d, "k"), lambda d: sharding.shard(d, 4), lambda d: mixing.mix(d), lambda d: licenses.scan(d)])
 def test_no_python(spark, make):
     plan = make(corpus.frame(spark, corpus.rows(1, 12)))._jdf.queryExecution().executedPlan().toString()
