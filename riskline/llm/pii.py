@@ -24,12 +24,15 @@ TITLES = {
     "n": ("Dr", "Prof"),
 }
 _TITLE = "|".join(t for g in TITLES.values() for t in sorted(g, key=len, reverse=True))
-_SECRET_NAME = r"(?:[Aa][Pp][Ii][_-]?[Kk][Ee][Yy]|[Aa]ccess[_-]?[Kk]ey|[Pp]assword|PASSWORD|[Pp]asswd|[Pp]wd|[Tt]oken|TOKEN|[Ss]ecret(?:[_-]?[Kk]ey)?|SECRET)"
+_SECRET_NAME = r"(?=[AaPpTtSs])(?i:api[_-]?key|access[_-]?key|password|passwd|pwd|token|secret)(?:[_-][A-Za-z0-9]{1,32}){0,4}(?:\\?[\"'])?\s{0,3}[=:]"
+# A part of a name: a word, after initials or not.
+_INITIAL = r"(?:\p{Lu}\.){1,3}|\p{Lu}"
+_NAME = rf"(?:(?:{_INITIAL}) ){{0,3}}\p{{Lu}}[\p{{L}}'-]+"
 #: type -> (pattern, pattern of the leading part that stays). The order is the order of preference.
 TYPES = {
     "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", r"^"),
     "private_key": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----", r"^-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    "secret": (rf"(?<![A-Za-z0-9]){_SECRET_NAME}\s{{0,3}}[=:]\s{{0,3}}[\"']?[^\s\"']{{6,}}", rf"^{_SECRET_NAME}\s*[=:]\s*[\"']?"),
+    "secret": (rf"(?<![A-Za-z0-9]){_SECRET_NAME}\s{{0,3}}(?:\"[^\"\r\n]{{1,256}}(?=\")|'[^'\r\n]{{1,256}}(?=')|(?:\\?[\"'])?[^\s\"']{{4,}})", rf"^{_SECRET_NAME}\s*(?:\\?[\"'])?"),
     "access_key": (r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:ghp|gho|ghs|sk|pk|xoxb|xoxp)[_-][A-Za-z0-9_-]{16,}", r"^(?:AKIA|ASIA|[a-z]+[_-])"),
     "ipv4": (rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?[0-9])", r"^"),
     "mac": (r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}(?![0-9A-Fa-f:])", r"^"),
@@ -37,11 +40,11 @@ TYPES = {
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"^"),
     "phone": (r"(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])", r"^(?:\+[0-9]{1,3}(?=[ .(-]))?"),
     "card": (r"(?<![A-Za-z0-9])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])", r"^[0-9]"),
-    "name": (rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+){{0,2}}", rf"^(?:{_TITLE})\.? "),
+    "name": (rf"(?<!\p{{L}})(?:{_TITLE})\.? {_NAME}(?: {_NAME}){{0,2}}", rf"^(?:{_TITLE})\.? "),
 }
 PATTERN = "|".join(f"(?:{p})" for p, _ in TYPES.values())
 # A text without any of these holds no entity, and is spared the patterns.
-GATE = rf"[0-9@]|-----BEGIN|{_SECRET_NAME}\s{{0,3}}[=:]|(?:{_TITLE})\.? \p{{Lu}}"
+GATE = rf"[0-9@]|-----BEGIN|{_SECRET_NAME}|(?:{_TITLE})\.? \p{{Lu}}"
 ROUNDS = 4
 ATTEMPTS = 24
 # Later attempts add digits, so that a format with few values does not run out of them.
@@ -157,10 +160,27 @@ def _made_up(value: Column, key: Column, attempt: Column, gender: Column) -> Col
             result = name if result is None else F.when(value.rlike(r"\p{IsCyrillic}"), result).otherwise(name)
         return result
 
-    seed = F.concat_ws("\x1f", key, F.lit("name"), attempt.cast("string"), gender, F.lower(value))
+    seed = F.concat_ws("\x1f", key, F.lit("name"), attempt.cast("string"), F.lower(value))
     return let(F.sha2(seed, 256), built)
 
 
+def _moved_initials(unit: Column, key: Column) -> Column:
+    """Initials, every letter moved by a keyed number of places that is never none."""
+
+    def one(c: Column) -> Column:
+        n = _number(key, F.lit("initial")) % 25 + 1
+        other = F.lit(UPPERS)
+        for script in LETTERS[1::2]:
+            other = F.when(F.instr(F.lit(script), c) > 0, F.lit(script)).otherwise(other)
+        return F.when(c == ".", c).otherwise(let(other, lambda s: F.substring(s, (F.pmod(F.instr(s, c) - 1 + n, F.length(s)) + 1).cast("int"), F.lit(1))))
+
+    return F.array_join(F.transform(F.split(unit, ""), one), "")
+
+
+def _initials(unit: Column) -> Column:
+    return unit.rlike(rf"^(?:{_INITIAL})$")
+
+
 def _typed(found: Column) -> Column:
     """Struct of type, the leading part that stays, and the units to replace."""
     kind = F.lit(None).cast("string")
@@ -181,10 +201,16 @@ def _typed(found: Column) -> Column:
             lambda x: F.struct(
                 k.alias("type"),
                 x.alias("lead"),
-                F.when(k == "name", F.split(F.substring(found, F.length(x) + 1, F.length(found)), " ")).otherwise(
-                    F.array(F.substring(found, F.length(x) + 1, F.length(found)))
+                # The last part, a surname, has no gender: it is one name after all titles.
+                let(
+                    F.when(k == "name", F.split(F.substring(found, F.length(x) + 1, F.length(found)), " ")).otherwise(
+                        F.array(F.substring(found, F.length(x) + 1, F.length(found)))
+                    ),
+                    lambda parts: F.transform(
+                        parts,
+                        lambda u, i: F.struct(u.alias("unit"), F.when((k == "name") & (i < F.size(parts) - 1) & ~_initials(u), gender).otherwise(F.lit("n")).alias("gender")),
+                    ),
                 ).alias("units"),
-                F.when(k == "name", gender).otherwise(F.lit("n")).alias("gender"),
             ),
         )
 
@@ -201,7 +227,8 @@ def surrogate(kind: Column, unit: Column, gender: Column, attempt: Column, key:
     )
     more = F.when(attempt > LONGER, F.lpad((_number(key, tweak, unit) % 1_000_000).cast("string"), 6, "0")).otherwise(F.lit(""))
     return (
-        F.when(kind == "name", _made_up(unit, key, attempt, gender))
+        F.when((kind == "name") & _initials(unit), _moved_initials(unit, key))
+        .when(kind == "name", _made_up(unit, key, attempt, gender))
         .when(kind == "ipv4", _address(unit, key, tweak))
         .when(kind == "email", mail)
         .otherwise(F.concat(_permuted(unit, key, tweak, kind == "secret"), more))
@@ -256,9 +283,10 @@ def replace(docs: DataFrame, key: str, text: str = "text", report: str | None =
     secret = F.lit(key)
     spark = docs.sparkSession
     each = docs.select(F.explode(entities(F.col(text))).alias("e")).select(
-        F.col("e.type").alias("type"), F.col("e.gender").alias("gender"), F.explode("e.units").alias("unit")
-    )
-    units = materialize(each.distinct(), "pii-units")
+        F.col("e.type").alias("type"), F.explode("e.units").alias("u")
+    ).select("type", "u.gender", "u.unit")
+    # Initials are too few to be told apart; each moves to another letter, the same everywhere.
+    units = materialize(each.where(~((F.col("type") == "name") & _initials(F.col("unit")))).distinct(), "pii-units")
     again = materialize(clashes(units, secret), "pii-again") if not units.isEmpty() else spark.createDataFrame([], "type string, unit string, gender string, attempt int")
     found, over = fresh(docs, "found"), fresh(docs, "over")
     marked = docs.withColumn(found, entities(F.col(text)))
@@ -266,8 +294,8 @@ def replace(docs: DataFrame, key: str, text: str = "text", report: str | None =
     if not again.isEmpty():
         at = fresh(docs, "hash")
         named = docs.select(F.xxhash64(text).alias(at), F.explode(entities(F.col(text))).alias("e")).select(
-            at, F.col("e.type").alias("type"), F.col("e.gender").alias("gender"), F.explode("e.units").alias("unit")
-        ).distinct()
+            at, F.col("e.type").alias("type"), F.explode("e.units").alias("u")
+        ).select(at, "type", "u.gender", "u.unit").distinct()
         lists = named.join(again, ["type", "gender", "unit"]).groupBy(at).agg(
             F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\x1f", "type", "gender", "unit"), "attempt"))).alias(over)
         )
@@ -276,8 +304,8 @@ def replace(docs: DataFrame, key: str, text: str = "text", report: str | None =
 
     def replaced(e: Column) -> Column:
         def unit(u: Column) -> Column:
-            attempt = F.coalesce(F.element_at(overrides, F.concat_ws("\x1f", e["type"], e["gender"], u)), F.lit(0))
-            return surrogate(e["type"], u, e["gender"], attempt, secret)
+            attempt = F.coalesce(F.element_at(overrides, F.concat_ws("\x1f", e["type"], u["gender"], u["unit"])), F.lit(0))
+            return surrogate(e["type"], u["unit"], u["gender"], attempt, secret)
 
         return F.concat(e["lead"], F.array_join(F.transform(e["units"], unit), " "))
 

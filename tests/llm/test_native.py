@@ -227,6 +227,20 @@ def test_small_formats_end_and_clashes_that_stay_are_errors(spark, monkeypatch):
         pii.replace(corpus.frame(spark, rows), "k5")
 
 
+def test_common_forms_of_secrets_and_names(spark):
+    texts = ['{"password": "hunter2222"}', "SECRET_KEY = abc123xyz", "AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI", "ACCESS_KEY=zz99zz99", "pwd: ab12", "'token': 'a b7'"]
+    hidden = ["hunter2222", "abc123xyz", "wJalrXUtnFEMI", "zz99zz99", "ab12", "a b7"]
+    names = ["Dr. J. Smith", "Mr J Smith", "Mrs. Smith", "Dr. Smith", "Mr. John F. Smith"]
+    out = {r.doc_id: r for r in pii.replace(corpus.frame(spark, [(i, t, "s") for i, t in enumerate(texts + names)]), "k6", report="kinds").collect()}
+    for i, v in enumerate(hidden):
+        shape = re.escape(texts[i]).replace(re.escape(v), f"(.{{{len(v)}}})")
+        assert out[i].kinds == ["secret"] and re.fullmatch(shape, out[i].text)[1] != v
+    got = [out[len(texts) + i].text.split(" ") for i in range(len(names))]
+    assert all(out[len(texts) + i].kinds == ["name"] for i in range(len(names)))
+    assert len({g[-1] for g in got}) == 1 and got[0][-1] != "Smith"
+    assert re.fullmatch(r"[A-IK-Z]\.", got[0][1]) and got[1][1] == got[0][1][0] and re.fullmatch(r"[A-EG-Z]\.", got[4][2]) and got[4][1] != "John"
+
+
 @pytest.mark.parametrize("make", [lambda d: pii.replace(d, "k"), lambda d: sharding.shard(d, 4), lambda d: mixing.mix(d), lambda d: licenses.scan(d)])
 def test_no_python(spark, make):
     plan = make(corpus.frame(spark, corpus.rows(1, 12)))._jdf.queryExecution().executedPlan().toString()
