@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskline.llm import alignment, dialogue, fingerprint, licenses, mixing, near, packing, pii, quality, repeats, resample, sharding
+from riskline.llm import alignment, dialogue, fingerprint, licenses, mixing, near, packing, passages, pii, quality, repeats, resample, sharding
 
 QUERIES = {
     "op1_jaccard_join": near.op1_jaccard_join,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_merkle_fingerprints": fingerprint.op8_merkle_fingerprints,
     "op9_histogram_shards": sharding.op9_histogram_shards,
     "op10_pii_surrogates": pii.op10_pii_surrogates,
+    "op11_suffix_tree_dedup": passages.op11_suffix_tree_dedup,
     "op12_tokenizer_alignment": alignment.op12_tokenizer_alignment,
     "op13_conversation_repair": dialogue.op13_conversation_repair,
 }
