@@ -13,7 +13,6 @@ How often an id pair is linked in the corpus is counted over all texts and joine
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 import struct
 import sys
@@ -54,19 +53,26 @@ def byte_signs() -> dict[str, int]:
 
 
 class ByteLevel:
-    """A byte-level tokenizer file: ids of texts and the bytes of an id. Special words are text."""
+    """A byte-level vocabulary file: ids of texts and the bytes of an id. Special words are text.
+
+    In these files merges have the order of the ids they make, so the bytes with their ids are all an encoder
+    needs; the tests hold its ids to those of the library that the file is made for.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import json
+
+        import tiktoken
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as file:
+            vocabulary = json.load(file)
+        special = {t["id"] for t in vocabulary["added_tokens"]}
         signs = byte_signs()
-        self.bytes = {id: bytes(signs[s] for s in token) if all(s in signs for s in token) else token.encode() for token, id in self.tokenizer.get_vocab().items()}
+        self.bytes = {id: bytes(signs[s] for s in token) for token, id in vocabulary["model"]["vocab"].items() if id not in special}
+        self.encode = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks={raw: id for id, raw in self.bytes.items()}, special_tokens={}).encode_ordinary
 
     def ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
+        return [self.encode(f" {t}") for t in texts]
 
 
 class Pieces:
@@ -88,20 +94,15 @@ class Pieces:
         return self.model.encode(texts, num_threads=1)
 
 
-def align(a: list[int], b: list[int], a_sizes: dict[int, int], b_sizes: dict[int, int]) -> tuple[list[tuple], list[tuple[int, int]]]:
-    """Groups (ids of a, ids of b) and links (id of a, id of b) of two id lists over the same bytes.
+def align(a: list[int], b: list[int], a_sizes: dict[int, int], b_sizes: dict[int, int]) -> list[tuple[int, int]]:
+    """How many tokens of a and of b stand before each common end of two id lists over the same bytes.
 
-    No token is without bytes, so one token of each side ends at an offset.
+    These are the ends of the groups, and the last tokens of a group are a link: no token is without
+    bytes, so one token of each side ends at an offset.
     """
-    a_ends = dict(zip(accumulate(map(a_sizes.__getitem__, a)), range(1, len(a) + 1)))
-    b_ends = dict(zip(accumulate(map(b_sizes.__getitem__, b)), range(1, len(b) + 1)))
-    groups, links, i, j = [], [], 0, 0
-    for end in sorted(a_ends.keys() & b_ends.keys()):
-        x, y = a_ends[end], b_ends[end]
-        groups.append((a[i:x], b[j:y]))
-        links.append((a[x - 1], b[y - 1]))
-        i, j = x, y
-    return groups, links
+    a_ends = dict(zip(accumulate([a_sizes[id] for id in a]), range(1, len(a) + 1)))
+    b_ends = dict(zip(accumulate([b_sizes[id] for id in b]), range(1, len(b) + 1)))
+    return [(a_ends[end], b_ends[end]) for end in sorted(a_ends.keys() & b_ends.keys())]
 
 
 def spans(text: str) -> list[str]:
@@ -146,11 +147,16 @@ class _Spans(dict):
 
     def _aligned(self, span: str, a: list[int], b: list[int]) -> tuple | None:
         raw = f" {span}".encode("utf-8", "surrogatepass")
-        if b"".join(map(self.a.bytes.__getitem__, a)) != raw or b"".join(map(self.b.bytes.__getitem__, b)) != raw:
+        names, pieces = self.a.bytes, self.b.bytes
+        if b"".join([names[id] for id in a]) != raw or b"".join([pieces[id] for id in b]) != raw:
             return None
-        groups, links = align(a, b, *self.sizes)
-        text = ";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups])
-        return len(a), len(b), len(groups), text.encode(), b"".join([struct.pack("<ii", y, x) for x, y in links])
+        common = align(a, b, *self.sizes)
+        left, right, groups, i, j = [*map(str, a)], [*map(str, b)], [], 0, 0
+        for x, y in common:
+            groups.append(f"{','.join(left[i:x])}|{','.join(right[j:y])}")
+            i, j = x, y
+        links = [id for x, y in common for id in (b[y - 1], a[x - 1])]
+        return len(a), len(b), len(common), ";".join(groups).encode(), struct.pack(f"<{len(links)}i", *links)
 
 
 def _spans(a: str, b: str) -> _Spans:
