@@ -39,6 +39,8 @@ MAX_COMMON = 500_000
 BATCH = 4_000
 PIVOTS = 8
 SMALL = 24
+# A cut of a large region: the share its largest part may keep, and all parts together.
+MOST, EXTRA = 0.8, 1.5
 _RANDOM = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -291,7 +293,8 @@ class _Region:
 def _join_regions(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Key and least key of its component, for the regions of one bin."""
     rule, out = Threshold(percent), []
-    frame = frame.drop_duplicates("key")
+    # A key stands in several regions where one was cut.
+    frame = frame.drop_duplicates(["region", "key"])
     for _, rows in frame.groupby("region", sort=False):
         keys = rows["key"].to_numpy()
         if len(rows) == 1:
@@ -303,12 +306,22 @@ def _join_regions(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"key": pd.Series(dtype="int64"), "to": pd.Series(dtype="int64")})
 
 
+def _blocks(members: DataFrame, limit: int) -> DataFrame:
+    """Regions that pivots do not part: every two blocks of half a task's bytes are a region."""
+    sizes = members.groupBy("region").agg(F.ceil(F.sum(F.size("items") * 8) / (limit / 2)).cast("int").alias("blocks"))
+    rows = members.join(sizes, "region").withColumn("b", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.xxhash64("region", F.least("b", o), F.greatest("b", o)))
+    return rows.select(F.explode(pair).alias("region"), "key", "items")
+
+
 def _split_hot(members: DataFrame, rule: Threshold, limit: int) -> tuple[DataFrame, DataFrame | None]:
     """Cut regions of more than ``limit`` bytes by distributed pivots until none is left.
 
     Returns (region, key, items) in regions that fit a task, and the links found on the way. Every
     round takes PIVOTS members of each large region, links and removes them, drops regions in which all
-    are one component already, and deals the others out by nearest pivot with their windows.
+    are one component already, and deals the others out by nearest pivot with their windows. A cut counts
+    if no part keeps more than MOST of the region and its windows add less than EXTRA to it, so rounds end and
+    copies are bounded; other regions are joined by pairs of blocks, each of which fits a task.
     """
     ready, links, percent, radius = None, None, rule.percent, rule.radius
     while True:
@@ -340,11 +353,22 @@ def _split_hot(members: DataFrame, rule: Threshold, limit: int) -> tuple[DataFra
             F.when(F.col("least") < 1, F.transform(F.filter("ds", lambda x: x["d"] - F.col("least") <= slack), lambda x: F.xxhash64("region", x["pivot"])))
             .otherwise(F.array().cast("array<bigint>")),
         )
-        dealt = near.where(~F.col("is_pivot")).select("key", F.explode(F.array_distinct(regions)).alias("region"))
-        rooted = dealt.join(done, "key", "left").withColumn("root", F.coalesce("to", "key"))
-        open_ = rooted.groupBy("region").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("region")
+        dealt = near.where(~F.col("is_pivot")).select("key", F.col("region").alias("was"), F.explode(F.array_distinct(regions)).alias("region"))
+        dealt = materialize(dealt, "near-dealt")
+        parts = dealt.groupBy("was", "region").agg(F.count("*").alias("n")).groupBy("was").agg(F.max("n").alias("most"), F.sum("n").alias("all"))
+        before = dealt.groupBy("was").agg(F.count_distinct("key").alias("n"))
+        stuck = parts.join(before, "was").where((F.col("most") > MOST * F.col("n")) | (F.col("all") > EXTRA * F.col("n")))
+        stuck = materialize(stuck.select("was"), "near-stuck")
+        whole = dealt.join(stuck, "was", "left_semi").select("key", F.col("was").alias("region")).distinct()
         items = large.select("key", "items").dropDuplicates(["key"])
-        members = materialize(dealt.join(open_, "region", "left_semi").join(items, "key").select("region", "key", "items"), "near-members")
+
+        def still_open(rows: DataFrame) -> DataFrame:
+            rooted = rows.join(done, "key", "left").withColumn("root", F.coalesce("to", "key"))
+            open_ = rooted.groupBy("region").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("region")
+            return rows.join(open_, "region", "left_semi").join(items, "key").select("region", "key", "items")
+
+        ready = ready.unionByName(materialize(_blocks(still_open(whole), limit), "near-blocks"))
+        members = materialize(still_open(dealt.join(stuck, "was", "left_anti").select("region", "key")), "near-members")
 
 
 def near_components(

@@ -23,6 +23,44 @@ def test_components_equal_brute_force(spark, tmp_path, shingle, percent, limit):
     assert sorted(map(tuple, got)) == want
 
 
+def _drifting(rng, chains, length):
+    """Chains of texts that change by a few words a step, so far ends share nothing; stars and cliques."""
+    out = []
+    for _ in range(chains):
+        words = corpus.prose(rng, 80).split()
+        for _ in range(length):
+            out.append(" ".join(words))
+            at = rng.randrange(len(words))
+            words[at : at + 2] = corpus.prose(rng, 2).split()
+    center = corpus.prose(rng, 90)
+    return out + [corpus.near_copy(rng, center, e) for e in (0, 1, 2, 3) for _ in range(6)] + [center] * 5
+
+
+@pytest.mark.parametrize("limit,bins", [(2_000, 8 << 20), (12_000, 8 << 20), (12_000, 1), (60_000, 8 << 20), (100_000, 8 << 20)])
+def test_cut_regions_lose_no_link_and_do_not_grow(spark, tmp_path, monkeypatch, limit, bins):
+    rng = random.Random(limit)
+    found = [(i, t, "s") for i, t in enumerate(_drifting(rng, 4, 40))]
+    docs = corpus.written(corpus.frame(spark, found), tmp_path)
+    dealt = []
+    split = near._split_hot
+
+    def counted(members, rule, limit):
+        before = members.count()
+        out, links = split(members, rule, limit)
+        sizes = out.groupBy("region").agg(F.sum(F.size("items") * 8).alias("b"), F.count("*").alias("n")).agg(F.max("b"), F.sum("n")).first()
+        dealt.append((before, *sizes))
+        return out, links
+
+    monkeypatch.setattr(near, "_split_hot", counted)
+    got = near.near_components(docs, 3, 60, region_bytes=limit, bin_bytes=bins).collect()
+    groups = corpus.jaccard_groups([t for _, t, _ in found], 3, 60)
+    least = {g: i for i, g in reversed(list(enumerate(groups)))}
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, least[g]) for i, g in enumerate(groups)]
+    before, largest, after = dealt[0]
+    # Two halves of a task, which hashing does not fill quite evenly.
+    assert largest is None or largest <= 2 * limit + 4_000
+
+
 def test_region_join_is_exact():
     rng = random.Random(3)
     base = [rng.sample(range(400), 60) for _ in range(6)]
