@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskline.llm.text import batches
+from riskline.llm.text import batches, byte_signs
 from riskline.session import materialize, ship
 
 ship(__name__)
@@ -35,8 +35,10 @@ ship(__name__)
 BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 # Bytes of aligned spans that a worker keeps, spans up to LONGEST characters.
-CACHE_BYTES = 192 << 20
+CACHE_BYTES = 320 << 20
 LONGEST = 200
+# Missing spans that are encoded in one piece.
+BLOCK = 500
 # Documents a worker holds at once.
 BATCH = 1_000
 WHITE_RUN = re.compile(r"\s\s|\s\Z")
@@ -45,13 +47,6 @@ BLANK_SIGN = "▁"
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 
 
-def byte_signs() -> dict[str, int]:
-    """The sign that stands for each byte in byte-level vocabularies: itself if printable, else from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(rest)}
-
-
 class ByteLevel:
     """A byte-level vocabulary file: ids of texts and the bytes of an id. Special words are text.
 
@@ -94,15 +89,15 @@ class Pieces:
         return self.model.encode(texts, num_threads=1)
 
 
-def align(a: list[int], b: list[int], a_sizes: dict[int, int], b_sizes: dict[int, int]) -> list[tuple[int, int]]:
-    """How many tokens of a and of b stand before each common end of two id lists over the same bytes.
+def align(a: list[int], b: list[int], a_sizes: dict[int, int], b_sizes: dict[int, int]) -> list[tuple[int, int, int]]:
+    """The common ends of two id lists over the same bytes, with the tokens of a and of b before each.
 
     These are the ends of the groups, and the last tokens of a group are a link: no token is without
     bytes, so one token of each side ends at an offset.
     """
     a_ends = dict(zip(accumulate([a_sizes[id] for id in a]), range(1, len(a) + 1)))
     b_ends = dict(zip(accumulate([b_sizes[id] for id in b]), range(1, len(b) + 1)))
-    return [(a_ends[end], b_ends[end]) for end in sorted(a_ends.keys() & b_ends.keys())]
+    return [(end, a_ends[end], b_ends[end]) for end in sorted(a_ends.keys() & b_ends.keys())]
 
 
 def spans(text: str) -> list[str]:
@@ -116,8 +111,8 @@ def spans(text: str) -> list[str]:
 class _Spans(dict):
     """Aligned spans: (tokens of a, of b, groups, their string, links as 64-bit numbers: id of a, then of b) or None.
 
-    None for a span whose tokens do not give its bytes. What is asked for and missing is
-    encoded together; beyond its size the memory starts anew.
+    None for a span whose tokens do not give its bytes. Missing spans are encoded together, as a
+    text of which they are the spans; beyond its size the memory starts anew.
     """
 
     def __init__(self, a: str, b: str):
@@ -132,31 +127,48 @@ class _Spans(dict):
         if self.size > CACHE_BYTES:
             self.clear()
             self.size = 0
-        missing = [s for s in wanted if s not in self]
-        passing = {}
-        for at in range(0, len(missing), 4096):
-            some = missing[at : at + 4096]
-            for span, a, b in zip(some, self.a.ids(some), self.b.ids(some)):
-                found = self._aligned(span, a, b)
+        passing: dict[str, tuple | None] = {}
+        blocks: list[list[str]] = [[]]
+        for span in wanted:
+            if span in self:
+                continue
+            if len(span) > LONGEST or not span or span[0].isspace() or span[-1].isspace():
+                blocks.insert(0, [span])
+                continue
+            if len(blocks[-1]) == BLOCK:
+                blocks.append([])
+            blocks[-1].append(span)
+        for block in blocks:
+            for span, found in zip(block, self._aligned(block) or [self._alone(span) for span in block]):
                 if len(span) > LONGEST:
                     passing[span] = found
                     continue
                 self[span] = found
-                self.size += 400 + 2 * len(span) + (len(found[3]) + len(found[4]) if found else 0)
+                self.size += 350 + 2 * len(span) + (len(found[3]) + len(found[4]) if found else 0)
         return passing
 
-    def _aligned(self, span: str, a: list[int], b: list[int]) -> tuple | None:
-        raw = f" {span}".encode("utf-8", "surrogatepass")
+    def _alone(self, span: str) -> tuple | None:
+        return (self._aligned([span]) or [None])[0]
+
+    def _aligned(self, block: list[str]) -> list[tuple] | None:
+        """The spans one after the other, as in a text; None if the tokens of either side give other bytes."""
+        text = " ".join(block)
+        a, b = self.a.ids([text])[0], [id for ids in self.b.ids(block) for id in ids]
+        raw = f" {text}".encode("utf-8", "surrogatepass")
         names, pieces = self.a.bytes, self.b.bytes
         if b"".join([names[id] for id in a]) != raw or b"".join([pieces[id] for id in b]) != raw:
             return None
-        common = align(a, b, *self.sizes)
-        left, right, groups, i, j = [*map(str, a)], [*map(str, b)], [], 0, 0
-        for x, y in common:
+        stops = {*accumulate([len(s.encode("utf-8", "surrogatepass")) + 1 for s in block])}
+        left, right = [*map(str, a)], [*map(str, b)]
+        out, groups, links, i, j, i0, j0 = [], [], [], 0, 0, 0, 0
+        for end, x, y in align(a, b, *self.sizes):
             groups.append(f"{','.join(left[i:x])}|{','.join(right[j:y])}")
+            links += (b[y - 1], a[x - 1])
             i, j = x, y
-        links = [id for x, y in common for id in (b[y - 1], a[x - 1])]
-        return len(a), len(b), len(common), ";".join(groups).encode(), struct.pack(f"<{len(links)}i", *links)
+            if end in stops:
+                out.append((x - i0, y - j0, len(groups), ";".join(groups).encode(), struct.pack(f"<{len(links)}i", *links)))
+                groups, links, i0, j0 = [], [], x, y
+        return out
 
 
 def _spans(a: str, b: str) -> _Spans:

@@ -8,8 +8,7 @@ best fit, again on counts. The n-th piece of a length then finds its place by it
 
 from __future__ import annotations
 
-import re
-import struct
+import json
 import sys
 import types
 import zlib
@@ -23,67 +22,39 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskline.llm.text import batches, byte_signs
 from riskline.session import materialize, ship
 
 CAPACITY = 1024
 END = 2
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-# Pieces of text kept with their ids in a task; beyond it the cache starts anew.
-CACHE = 1_000_000
-WHITE_RUN = re.compile(r"\s\s")
+# Documents that come to a worker at once, and ids after which it hands its pieces on.
+BATCH = 1_000
+BATCH_IDS = 1 << 20
 
 ship(__name__)
 
 
-class _Encoder(dict):
-    """Token ids by the tokenizer, which is asked once for each distinct piece of text.
+class _Encoder:
+    """Token ids of a byte-level vocabulary file, special words of its own read as such.
 
-    Byte-level BPE never merges across the pieces of its splitting pattern, so the ids of a text
-    are those of its pieces in turn. Maps a piece to its ids as little-endian 32-bit numbers.
+    In these files merges have the order of the ids they make, so the bytes with their ids are all
+    an encoder needs; the tests hold its ids to those of the library that the file is made for.
     """
 
     def __init__(self, path: str):
-        import regex
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.pieces = regex.compile(public_tokenizers.PATTERN).findall
-        self.chunks = _Chunks(self)
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        self[piece] = found = struct.pack(f"<{len(ids)}I", *ids)
-        return found
+        with open(path, encoding="utf-8") as file:
+            vocabulary = json.load(file)
+        special = {t["content"]: t["id"] for t in vocabulary["added_tokens"]}
+        signs = byte_signs()
+        ranks = {bytes(signs[s] for s in token): id for token, id in vocabulary["model"]["vocab"].items() if token not in special}
+        self.encoding = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def ids(self, text: str) -> np.ndarray:
-        """The ids of a text and the end id.
-
-        A space between two other signs always begins a piece, so where white space never
-        stands next to white space the text is looked up by what spaces divide.
-        """
-        if len(self) > CACHE:
-            self.clear()
-        if len(self.chunks) > CACHE:
-            self.chunks.clear()
-        if WHITE_RUN.search(text):
-            found = b"".join(map(self.__getitem__, self.pieces(text)))
-        else:
-            found = b"".join(map(self.chunks.__getitem__, text.replace(" ", "\0 ").split("\0") if "\0" not in text else self.pieces(text)))
-        return np.frombuffer(found + END.to_bytes(4, "little"), dtype="<u4")
-
-
-class _Chunks(dict):
-    """Ids of text between spaces, put together from those of its pieces."""
-
-    def __init__(self, encoder: _Encoder):
-        super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, chunk: str) -> bytes:
-        self[chunk] = found = b"".join(map(self.encoder.__getitem__, self.encoder.pieces(chunk)))
-        return found
+        """The ids of a text and the end id."""
+        return np.append(self.encoding.encode_to_numpy(text, allowed_special="all"), END).astype("<u4")
 
 
 def _encoder(path: str) -> _Encoder:
@@ -96,31 +67,28 @@ def _encoder(path: str) -> _Encoder:
 
 def _cut(frames: Iterator[pd.DataFrame], path: str, capacity: int, keep_ids: bool) -> Iterator[pd.DataFrame]:
     """Pieces of the documents; ``rank`` numbers those of one length within the task."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     encoder, seen, part = _encoder(path), defaultdict(int), TaskContext.get().partitionId()
+    columns = ["part", "id", "piece", "start", "length", "ids_crc32", "rank", *(["ids"] if keep_ids else [])]
     for frame in frames:
-        rows = defaultdict(list)
+        rows, size = [], 0
         for id, text in zip(frame["id"], frame["text"]):
             ids = encoder.ids(text)
             n = len(ids)
             first = n % capacity or capacity if n > capacity else n
             for piece, (a, b) in enumerate(zip([0, *range(first, n, capacity)], [*range(first, n + 1, capacity)])):
-                rows["id"].append(None if pd.isna(id) else int(id))
-                rows["piece"].append(piece)
-                rows["start"].append(a)
-                rows["length"].append(b - a)
-                rows["ids_crc32"].append(zlib.crc32(ids[a:b].tobytes()))
-                rows["rank"].append(seen[b - a])
-                if keep_ids:
-                    rows["ids"].append(ids[a:b].astype("int32"))
+                rows.append((part, None if pd.isna(id) else int(id), piece, a, b - a, zlib.crc32(ids[a:b]), seen[b - a], *([ids[a:b].astype("int32")] if keep_ids else [])))
                 seen[b - a] += 1
-        out = pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32", "rank", *(["ids"] if keep_ids else [])])
-        out["id"] = pd.array(out["id"], dtype="Int64")
-        out = out.astype({"piece": "int32", "start": "int64", "length": "int64", "ids_crc32": "int64", "rank": "int64"})
-        out.insert(0, "part", part)
-        yield out
+            size += n
+            if size >= BATCH_IDS:
+                yield _frame(rows, columns)
+                rows, size = [], 0
+        yield _frame(rows, columns)
+
+
+def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=columns)
+    out["id"] = pd.array(out["id"], dtype="Int64")
+    return out.astype({"part": "int32", "piece": "int32", "start": "int64", "length": "int64", "ids_crc32": "int64", "rank": "int64"})
 
 
 def patterns(counts: np.ndarray, capacity: int) -> np.ndarray:
@@ -237,12 +205,14 @@ def pack(
     A document is its ids followed by the end id; a null text is empty and so only the end id.
     Longer ones than ``capacity`` are cut into full pieces behind a first piece that holds the
     rest. Repeated rows and null ids are documents of their own, an empty table gives no piece,
-    columns other than id and text are not looked at. Ids are integers. Texts never move;
+    columns other than id and text are not looked at. Ids are integers. A special word of the vocabulary
+    in a text is its id, as for the tokenizer at its defaults. Texts never move;
     pieces move once, as numbers. Only the histogram comes to the driver.
     """
     cut = "part int, id long, piece int, start long, length long, ids_crc32 long, rank long" + (", ids array<int>" if keep_ids else "")
     source = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    pieces = materialize(source.mapInPandas(lambda frames: _cut(frames, path, capacity, keep_ids), cut), "pieces")
+    with batches(docs.sparkSession, BATCH):
+        pieces = materialize(source.mapInPandas(lambda frames: _cut(frames, path, capacity, keep_ids), cut), "pieces")
     in_part = materialize(pieces.groupBy("part", "length").count(), "piece-counts")
     # At most ``capacity`` rows.
     histogram = {r.length: r.n for r in in_part.groupBy("length").agg(F.sum("count").alias("n")).collect()}
@@ -253,21 +223,21 @@ def pack(
     extra = ["ids"] if keep_ids else []
     numbered = numbered.select("id", "piece", "start", "length", "ids_crc32", "rank", *extra)
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame["sequence_id"] = 0
-            frame["offset"] = 0
-            for length, rows in frame.groupby("length").indices.items():
-                firsts, sequences, offsets = places[int(length)]
-                rank = frame["rank"].to_numpy()[rows]
-                at = np.searchsorted(firsts, rank, side="right") - 1
-                frame.iloc[rows, frame.columns.get_loc("sequence_id")] = sequences[at] + rank - firsts[at]
-                frame.iloc[rows, frame.columns.get_loc("offset")] = offsets[at]
-            frame["id"] = frame["id"].astype("Int64")
-            yield frame.drop(columns="rank")
-
-    schema = "id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "") + ", sequence_id long, offset long"
-    return numbered.mapInPandas(place, schema).withColumnRenamed("id", id)
+    @F.pandas_udf("sequence_id long, offset long")
+    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        """Only the two numbers come to Python, whatever else a row carries."""
+        sizes, ranks = length.to_numpy(), rank.to_numpy()
+        order = np.argsort(sizes, kind="stable")
+        out = np.zeros((2, len(order)), dtype=np.int64)
+        for rows in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
+            if len(rows):
+                firsts, sequences, offsets = places[int(sizes[rows[0]])]
+                at = np.searchsorted(firsts, ranks[rows], side="right") - 1
+                out[0, rows], out[1, rows] = sequences[at] + ranks[rows] - firsts[at], offsets[at]
+        return pd.DataFrame({"sequence_id": out[0], "offset": out[1]})
+
+    placed = numbered.withColumn("at", place("length", "rank"))
+    return placed.select(F.col("id").alias(id), "piece", "start", "length", "ids_crc32", *extra, "at.sequence_id", "at.offset")
 
 
 def op4_best_fit_packing(spark, folder: str) -> DataFrame:

@@ -62,12 +62,11 @@ def test_ids_of_odd_texts():
         assert encode.ids(text).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2]
 
 
-def test_special_words_are_text():
-    encode = packing._Encoder(packing.VOCABULARY)
-    text = "a<|endoftext|>b  \n it's 12 é😀 "
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "a<|endoftext|>b  \n it's 12 é😀 ", "<|endoftext|><|endoftext|>", "<|endoftext|", "x <|endoftext|>\n\n y"])
+def test_special_words_are_those_of_the_tokenizer(text):
+    """The ids of the named tokenizer at its defaults."""
     plain = Tokenizer.from_file(packing.VOCABULARY)
-    plain.encode_special_tokens = True
-    assert encode.ids(text).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2]
+    assert packing._Encoder(packing.VOCABULARY).ids(text).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2]
 
 
 def test_next_documents(spark):
