@@ -661,6 +661,7 @@ ORACLE: dict[str, str] = {
         "SELECT user_id, CAST(CAST(timestamp AS DATE) AS VARCHAR) AS event_date, CAST(sum(bytes_transferred) AS BIGINT) AS moved "
         "FROM log WHERE is_transfer GROUP BY 1, 2 HAVING sum(bytes_transferred) > 15000 * 1024"
     ),
+    "stream_brute_force_rows": rules("SELECT event_id, user_id FROM h1"),
     "stream_new_device": rules("SELECT event_id, user_id FROM h5"),
     "stream_markov": q(f"SELECT event_id, {r6('markov_raw')} AS markov_raw FROM markov", MARKOV),
 }

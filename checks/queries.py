@@ -29,7 +29,7 @@ from riskline.schema import EVENT_COLUMNS, EVENT_TYPE_FEATURES, FEATURES, TRANSI
 from riskline.session import configure, materialize, work_dir
 from riskline.sources.activity import read_activity
 from riskline.sources.events import load_scored, project_existing, save_scored
-from riskline.streaming import jobs
+from riskline.streaming import jobs, keyed
 
 RULES = RuleConfig(
     brute_force_minutes=4320,
@@ -643,13 +643,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         lambda events, out: jobs.daily_exfiltration(events, out, RULES.exfiltration_kb),
         jobs.latest_daily_exfiltration,
     ).select("user_id", F.col("event_date").cast("string").alias("event_date"), "moved"),
-    "stream_new_device": lambda spark, folder: jobs.replay(
-        configure(spark), folder, jobs.new_devices, jobs.read_alerts
+    # The keyed ones get all times in every batch, or rows up to a day early or late.
+    "stream_new_device": lambda spark, folder: keyed.replay(
+        configure(spark), folder, lambda events, out: keyed.new_devices(events, out, partitions=8),
+        keyed.latest_new_devices,
     ).select("event_id", "user_id"),
-    "stream_markov": lambda spark, folder: jobs.replay(
+    "stream_brute_force_rows": lambda spark, folder: keyed.replay(
         configure(spark), folder,
-        lambda events, out: jobs.sequence_scores(events, out, markov_model(spark, folder)),
-        jobs.read_alerts,
+        lambda events, out: keyed.brute_force(
+            events, out, RULES.brute_force_minutes, RULES.brute_force_failures, "3 days", partitions=8
+        ),
+        jobs.read_alerts, spread="1 day", closing="4 days",
+    ).select("event_id", "user_id"),
+    "stream_markov": lambda spark, folder: keyed.replay(
+        configure(spark), folder,
+        lambda events, out: keyed.sequence_scores(events, out, markov_model(spark, folder), "3 days", partitions=8),
+        jobs.read_alerts, spread="1 day", closing="4 days",
     ).select("event_id", r6("markov_raw")),
     "stream_score": lambda spark, folder: jobs.replay(
         configure(spark), folder,
