@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from checks.forest_sql import forest_ctes
+
 EV = """
 raw AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
 ev AS (
@@ -333,6 +335,18 @@ def rules(body: str) -> str:
     return q(body, RULES)
 
 
+def forest(body: str) -> str:
+    return q(body, FEAT, *forest_ctes())
+
+
+def scored_with_forest(body: str) -> str:
+    """The scored log with the forest's own score in place of the stand-in."""
+    stand_in, real = SCORED.split("FROM feat JOIN combined", 1)
+    head = stand_in.split("    bytes_transferred / (max", 1)[0]
+    own = "    forest.iso_anomaly_score, forest.iso_is_anomaly\n  FROM feat JOIN forest ON feat.event_id = forest.event_id JOIN combined"
+    return q(body, FEAT, RULES, COMBINED, MARKOV, *forest_ctes(), head + own + real)
+
+
 def feature_matrix() -> str:
     from riskline.schema import FEATURES
 
@@ -644,6 +658,18 @@ ORACLE: dict[str, str] = {
     ),
     "markov_predict": q("SELECT event_id, markov_label, markov_is_anomaly FROM markov", MARKOV),
     "markov_score": q(f"SELECT event_id, {r6('markov_score')} AS markov_score FROM markov", MARKOV),
+    "iforest_sample": forest("SELECT tree AS tree_id, count(*) AS rows FROM samples GROUP BY tree"),
+    "iforest_fit": forest(
+        f"SELECT tree AS tree_id, count(*) AS nodes, {r6('sum(ln(1 + abs(cut)))')} AS cuts, CAST(sum(f - 1) AS BIGINT) AS features "
+        "FROM nodes GROUP BY tree"
+    ),
+    "iforest_score": forest(f"SELECT event_id, {r6('iso_raw')} AS iso_raw FROM forest"),
+    "iforest_predict": forest("SELECT event_id, iso_anomaly_label, iso_is_anomaly FROM forest"),
+    "iforest_normalized": forest(f"SELECT event_id, {r6('iso_anomaly_score')} AS iso_anomaly_score FROM forest"),
+    "score_events": scored_with_forest(
+        f"SELECT event_id, {r6('iso_anomaly_score')} AS iso_anomaly_score, {r6('markov_score')} AS markov_score, rule_names, "
+        f"{r6('composite_score')} AS composite_score, risk_score, risk_level, predicted_attack_type FROM scored"
+    ),
     "composite_score": scored(f"SELECT event_id, {r6('composite_score')} AS composite_score FROM scored"),
     "risk_score": scored("SELECT event_id, risk_score FROM scored"),
     "predicted_attack_type": scored("SELECT event_id, predicted_attack_type FROM scored"),

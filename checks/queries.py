@@ -346,9 +346,14 @@ def _sequences(spark, folder):
 
 
 def _forest_fit(spark, folder):
-    """Size of every grown tree."""
-    nodes = forest(spark, folder).nodes
-    return nodes.groupBy("tree_id").agg(F.count(F.lit(1)).alias("nodes"))
+    """Nodes, cuts (sum of their logarithms) and features of every grown tree."""
+    model = forest(spark, folder)
+    inner = F.col("child") != F.col("node_id")
+    return model.nodes.groupBy("tree_id").agg(
+        F.count(F.lit(1)).alias("nodes"),
+        F.round(F.sum(F.when(inner, F.log1p(F.abs("threshold")))), 6).alias("cuts"),
+        F.sum(F.when(inner, F.col("feature"))).cast("long").alias("features"),
+    )
 
 
 def _forest_sample(spark, folder):
@@ -358,7 +363,7 @@ def _forest_sample(spark, folder):
 
 
 def _forest_score(spark, folder):
-    df = forest(spark, folder).score(features(spark, folder))
+    df = forest(spark, folder).walked(features(spark, folder))
     return df.select("event_id", r6("iso_raw"))
 
 
@@ -387,7 +392,7 @@ def _custom_rule(spark, folder):
 def _score_events(spark, folder):
     df = score_events(log(spark, folder), CONFIG)
     return df.select(
-        "event_id", "iso_anomaly_score", "markov_score", "rule_names", "composite_score",
+        "event_id", r6("iso_anomaly_score"), r6("markov_score"), "rule_names", r6("composite_score"),
         "risk_score", "risk_level", "predicted_attack_type",
     )
 

@@ -1,11 +1,13 @@
 """Isolation forest (Liu, Ting and Zhou, 2008) grown and scored on Spark.
 
-Each tree is grown from a small sample in a task of its own; scoring sends the trees
-to the executors and walks them with numpy, one Arrow batch of rows at a time.
+Each tree is grown from a small sample in a task of its own; samples, features and cuts are drawn from MD5
+digests, which any engine can repeat. Scoring sends the trees to the executors and walks them with
+numpy, one Arrow batch of rows at a time, or with array functions in the JVM.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 from collections.abc import Iterator, Sequence
@@ -46,76 +48,95 @@ def _clean(df: DataFrame, columns: Sequence[str]) -> list[Column]:
     ]
 
 
+def _share(*parts: Column) -> list[Column]:
+    """Four numbers in [0, 1) from the MD5 digest of the parts joined by colons."""
+    digest = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
+    return [F.conv(F.substring(digest, at, 8), 16, 10).cast("double") / F.lit(float(1 << 32)) for at in (1, 9, 17, 25)]
+
+
+def drawn(*parts: object) -> float:
+    """The first of those numbers, in a task."""
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16) / (1 << 32)
+
+
+def _entered(trees: int, share: float, seed: int) -> Column:
+    """The trees for which a row competes, each with probability ``share``.
+
+    The gaps between them are drawn, not every tree: about ``trees`` times ``share`` numbers, and as
+    many more as chance may ask for.
+    """
+    if share >= 1.0:
+        return F.sequence(F.lit(0), F.lit(trees - 1))
+    mean = trees * share
+    blocks = math.ceil((mean + 10 * math.sqrt(mean) + 10) / 4)
+    numbers = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: F.array(*_share(F.lit(seed), F.col("event_id"), b))))
+    start = F.struct(F.lit(-1).alias("at"), F.array().cast("array<int>").alias("found"))
+
+    def step(state: Column, number: Column) -> Column:
+        gap = 1 + F.floor(F.log(1 - number) / F.lit(math.log(1 - share)))
+        at = F.least(state["at"] + gap, F.lit(trees)).cast("int")
+        return F.when(state["at"] >= trees, state).otherwise(F.struct(at.alias("at"), F.concat(state["found"], F.array(at)).alias("found")))
+
+    return F.filter(F.aggregate(numbers, start, step, lambda state: state["found"]), lambda tree: tree < trees)
+
+
 def tree_samples(df: DataFrame, columns: Sequence[str], cfg: ForestConfig, rows: int) -> DataFrame:
-    """``sample_size`` rows for each tree, chosen by a hash of the event, so repeatable.
+    """``sample_size`` rows for each tree, chosen by digests of the event, so repeatable anywhere.
 
-    Every row competes for a place in every tree, in a log of any size. Hashes above a cutoff are
-    dropped before rows are copied for their trees: about four times the rows needed
-    survive the scan. Should that leave a tree short, the cutoff is raised.
+    Every row competes in every tree with the same chance, in a log of any size; about four times the rows
+    needed enter, and the least digests stay. Should that leave a tree short, the chance is raised.
+    Features are rounded, so sums that differ in their last bits only are one value.
     """
-    features = F.array(*_clean(df, columns)).alias("x")
-    need, top = min(cfg.sample_size, rows), float(1 << 52)
+    need = min(cfg.sample_size, rows)
+    features = F.array(*[F.round(c, 9) for c in _clean(df, columns)]).alias("x")
     share = min(1.0, (4.0 * cfg.sample_size + 64.0) / rows) if rows else 1.0
     while True:
-        event = F.xxhash64("event_id", F.lit(cfg.seed))
-        entries = F.transform(
-            F.sequence(F.lit(0), F.lit(cfg.trees - 1)),
-            lambda t: F.struct(t.alias("tree_id"), F.shiftrightunsigned(F.xxhash64(F.col("_e"), t), 12).alias("_h")),
-        )
-        entries = F.filter(entries, lambda e: e["_h"] < F.lit(share * top))
-        drawn = df.select("event_id", features, event.alias("_e")).select("event_id", "x", F.explode(entries).alias("_t"))
-        drawn = materialize(drawn.select("_t.tree_id", "_t._h", "event_id", "x"), "tree-rows")
-        full = drawn.groupBy("tree_id").count().filter(F.col("count") >= need).count()
+        entered = df.select("event_id", features, F.explode(_entered(cfg.trees, share, cfg.seed)).alias("tree_id"))
+        rank = F.md5(F.concat_ws(":", F.lit(str(cfg.seed)), F.lit("rank"), F.col("tree_id").cast("string"), "event_id"))
+        entered = materialize(entered.select("tree_id", rank.alias("_h"), "event_id", "x"), "tree-rows")
+        full = entered.groupBy("tree_id").count().filter(F.col("count") >= need).count()
         if full == cfg.trees or share == 1.0:
             break
         share = min(1.0, 4 * share)
     place = F.row_number().over(Window.partitionBy("tree_id").orderBy("_h", "event_id"))
-    return drawn.withColumn("_place", place).filter(F.col("_place") <= cfg.sample_size).drop("_place")
+    return entered.withColumn("_place", place).filter(F.col("_place") <= cfg.sample_size).drop("_place")
 
 
-def grow_tree(sample: np.ndarray, rng: np.random.Generator, height: int) -> list[tuple]:
+def grow_tree(sample: np.ndarray, key: tuple, height: int) -> list[tuple]:
     """Nodes of one tree, breadth first: (feature, threshold, left child, path length).
 
     The right child follows the left one. A leaf is its own child, so a walk of fixed
-    length stays on it, and holds its depth plus the mean depth below it.
+    length stays on it, and holds its depth plus the mean depth below it. A node is numbered by its way
+    from the root (1, then twice that and one more to the right); its feature is drawn among those that
+    vary over its rows, and the cut in their range, from the digest of ``key`` and that number.
     """
     below = average_path(np.arange(len(sample) + 1))
-    columns = np.ascontiguousarray(sample.T)
     nodes: list[tuple] = []
-    waiting = [(np.arange(len(sample)), 0)]
+    waiting = [(np.arange(len(sample)), 0, 1)]
     while len(nodes) < len(waiting):
-        rows, depth = waiting[len(nodes)]
-        split = _draw_split(columns, rows, rng) if depth < height and len(rows) > 1 else None
-        if split is None:
+        rows, depth, way = waiting[len(nodes)]
+        values = sample[rows]
+        low, high = values.min(axis=0), values.max(axis=0)
+        vary = np.flatnonzero(high > low)
+        if depth >= height or not len(vary):
             nodes.append((0, math.inf, len(nodes), depth + float(below[len(rows)])))
             continue
-        feature, cut, goes_left = split
+        feature = int(vary[int(drawn(*key, way, "feature") * len(vary))])
+        cut = float(low[feature] + drawn(*key, way, "cut") * (high[feature] - low[feature]))
+        goes_left = values[:, feature] <= cut
         nodes.append((feature, cut, len(waiting), 0.0))
-        waiting.append((rows[goes_left], depth + 1))
-        waiting.append((rows[~goes_left], depth + 1))
+        waiting.append((rows[goes_left], depth + 1, 2 * way))
+        waiting.append((rows[~goes_left], depth + 1, 2 * way + 1))
     return nodes
 
 
-def _draw_split(columns: np.ndarray, rows: np.ndarray, rng: np.random.Generator):
-    """A random feature that varies over the rows and a random cut in its range."""
-    for feature in rng.permutation(len(columns)):
-        values = columns[feature, rows]
-        low, high = values.min(), values.max()
-        if high > low:
-            cut = float(rng.uniform(low, high))
-            return int(feature), cut, values <= cut
-    return None
-
-
 def grow_forest(samples: DataFrame, cfg: ForestConfig) -> DataFrame:
     height = math.ceil(math.log2(max(cfg.sample_size, 2)))
     seed = cfg.seed
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_h", "event_id"])
         tree = int(pdf["tree_id"].iloc[0])
-        rng = np.random.default_rng([seed, tree])
-        nodes = grow_tree(np.stack(pdf["x"].to_numpy()).astype(float), rng, height)
+        nodes = grow_tree(np.stack(pdf["x"].to_numpy()).astype(float), (seed, tree), height)
         out = pd.DataFrame(nodes, columns=["feature", "threshold", "child", "path"])
         out.insert(0, "node_id", np.arange(len(out)))
         out.insert(0, "tree_id", tree)
@@ -193,6 +214,27 @@ class ForestModel:
 
         return score(*[F.col(c) for c in self.columns])
 
+    def walked(self, df: DataFrame) -> DataFrame:
+        """The same score without Python workers: the trees, one row whose size the configuration
+        bounds, are broadcast as arrays, and every row walks them by array functions."""
+        node = F.struct("feature", "threshold", "child", "path")
+        by_tree = self.nodes.groupBy("tree_id").agg(F.array_sort(F.collect_list(F.struct("node_id", node.alias("n")))).alias("s"))
+        forest = by_tree.agg(F.array_sort(F.collect_list(F.struct("tree_id", F.col("s.n").alias("nodes")))).alias("_trees"))
+        height = math.ceil(math.log2(max(self.cfg.sample_size, 2)))
+        norm = max(float(average_path(self.sample_size)), 1e-12)
+        x = F.array(*_clean(df, self.columns))
+
+        def leaf(nodes: Column) -> Column:
+            def step(at: Column, _: Column) -> Column:
+                here = F.get(nodes, at)
+                return here["child"] + (F.get(F.col("_x"), here["feature"]) > here["threshold"]).cast("int")
+
+            return F.get(nodes, F.aggregate(F.sequence(F.lit(1), F.lit(height)), F.lit(0), step))["path"]
+
+        total = F.aggregate("_trees", F.lit(0.0), lambda sum, tree: sum + leaf(tree["nodes"]))
+        rows = df.withColumn("_x", x).crossJoin(F.broadcast(forest))
+        return rows.withColumn("iso_raw", -F.pow(F.lit(2.0), -(total / F.size("_trees")) / norm)).drop("_x", "_trees")
+
     def score(self, df: DataFrame) -> DataFrame:
         return df.withColumn("iso_raw", self.raw_score())
 

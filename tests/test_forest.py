@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from riskline.config import ForestConfig
 from riskline.operators.forest import (
-    ForestModel, average_path, grow_tree, tree_samples, walk,
+    ForestModel, _entered, average_path, grow_tree, tree_samples, walk,
 )
 
 CFG = ForestConfig(trees=40, sample_size=64, contamination=0.1)
@@ -37,7 +37,7 @@ def test_average_path():
 def test_walk_equals_a_walk_by_hand():
     rng = np.random.default_rng(3)
     sample = rng.random((32, 4))
-    nodes = grow_tree(sample, rng, height=5)
+    nodes = grow_tree(sample, (1, 2), height=5)
     arrays = tuple(np.array([n[i] for n in nodes]) for i in range(4))
     got = walk(sample, [arrays], height=5)
     for row, path in zip(sample, got):
@@ -48,6 +48,25 @@ def test_walk_equals_a_walk_by_hand():
         assert path == pytest.approx(nodes[node][3])
 
 
+def test_walk_in_the_jvm_equals_numpy(points, model):
+    odd = points.withColumn("x", F.when(F.col("id") == 3, float("nan")).when(F.col("id") == 4, float("inf")).when(F.col("id") != 5, F.col("x")))
+    a = {r.event_id: r.iso_raw for r in model.score(odd).collect()}
+    b = {r.event_id: r.iso_raw for r in model.walked(odd).collect()}
+    assert a == pytest.approx(b, abs=1e-12)
+    plan = model.walked(odd)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("share", [0.01, 0.1, 0.5])
+def test_rows_enter_each_tree_with_the_same_chance(spark, share):
+    rows, trees = 4000, 60
+    df = spark.range(rows).select(F.format_string("e%06d", "id").alias("event_id"))
+    got = df.select("event_id", F.explode(_entered(trees, share, 7)).alias("tree")).groupBy("tree").count().collect()
+    assert {r.tree for r in got} == set(range(trees))
+    spread = (rows * share * (1 - share)) ** 0.5
+    assert all(abs(r["count"] - rows * share) < 5 * spread for r in got)
+
+
 def test_outliers_rank_first(points, model):
     scored = model.transform(points).orderBy(F.desc("iso_anomaly_score")).collect()
     assert {r.id for r in scored[:5]} == set(range(500, 505))
