@@ -6,7 +6,7 @@ import json
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark import cloudpickle
@@ -90,17 +90,24 @@ def read_facts(spark: SparkSession, path: str) -> dict:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """Delete the intermediate tables that are written inside the block when it ends.
 
-    For code whose results are written elsewhere by then, such as a micro-batch.
+    For code whose results are written elsewhere by then, such as a micro-batch. What the block gives is
+    :func:`materialize` for a table that outlives it.
     """
-    mark = len(_WRITTEN)
+    mark, kept = len(_WRITTEN), []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = materialize(df, name)
+        kept.append(_WRITTEN.pop())
+        return out
+
     try:
-        yield
+        yield keep
     finally:
         gone = _WRITTEN[mark:]
-        del _WRITTEN[mark:]
+        _WRITTEN[mark:] = kept
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         for path in gone:
             folder = hadoop(path)
