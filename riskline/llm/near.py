@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskline.llm.links import components
-from riskline.llm.text import batches, fresh
-from riskline.session import materialize, ship
+from riskline.llm.text import batches, file_place, fresh
+from riskline.session import materialize, scratch, ship
 
 ship(__name__)
 
@@ -434,18 +434,28 @@ def _components(source: DataFrame, shingle: int, percent: int, id: str, region_b
     return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
-    """``docs`` with one row of each component, the first in the order of the table.
+def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", prefer: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each component: that with the least ``prefer``, nulls last, where there is such a column.
 
-    The rows are numbered once and written with their number, which all scans read: a second
-    numbering could follow other splits of the files. Every row counts for itself, also with a
-    null or repeated id; rows without words stay; columns are unchanged. Texts move only if the list
-    of dropped rows is too large for Spark to broadcast.
+    Rows of files are told by a 64-bit hash of their place, which is the same in every scan, however the
+    files are split; other tables are numbered once and written, and all scans read that. Ties go by hash or number. Every row counts
+    for itself, also with a null or repeated id; rows without words stay; columns are unchanged.
+    Texts move only if the list of dropped rows is too large for Spark to broadcast. Tables on the way
+    are deleted when the list of dropped rows is written.
     """
-    row = fresh(docs, "row")
-    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "near-numbered")
-    found = near_components(numbered, shingle, percent, id=row, text=text)
-    gone = materialize(found.where(F.col(row) != F.col("component_id")).select(row), "near-gone")
+    row, place = fresh(docs, "row"), file_place(docs)
+    if place is not None:
+        numbered = docs.withColumn(row, place)
+    else:
+        numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "near-numbered")
+    with scratch(docs.sparkSession) as keep:
+        found = near_components(numbered, shingle, percent, id=row, text=text).select(F.col(row).alias("r"), F.col("component_id").alias("c"))
+        several = found.where("r != c").select("c").distinct()
+        ids = F.col(prefer) if prefer in docs.columns else F.lit(None).cast("long")
+        members = found.join(several, "c", "left_semi").join(numbered.select(F.col(row).alias("r"), ids.alias("p")), "r")
+        members = materialize(members, "near-several")
+        best = members.groupBy("c").agg(F.min(F.struct(F.col("p").isNull(), "p", "r"))["r"].alias("best"))
+        gone = keep(members.join(best, "c").where("r != best").select(F.col("r").alias(row)), "near-gone")
     return numbered.join(gone, row, "left_anti").drop(row)
 
 

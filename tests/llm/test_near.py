@@ -91,6 +91,19 @@ def test_linked_sets_share_a_bucket():
                         assert np.intersect1d(rule.buckets(a, common), rule.buckets(b, common)).size
 
 
+def test_the_least_id_stays(spark, tmp_path):
+    """Whatever the files are called, so a second run keeps the same rows."""
+    rng = random.Random(6)
+    base = [corpus.prose(rng, 60) for _ in range(5)]
+    found = [(i, base[i % 5], "s") for i in range(40)] + [(None, base[0], "s"), (None, corpus.prose(rng, 50), "s")]
+    rng.shuffle(found)
+    docs = corpus.frame(spark, found)
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        kept = near.keep_one(corpus.written(docs, tmp_path / folder)).collect()
+        assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept) == [-1, 0, 1, 2, 3, 4]
+
+
 def test_keep_one_and_columns(spark, tmp_path):
     found = corpus.rows(2)
     docs = corpus.written(corpus.frame(spark, found), tmp_path)
