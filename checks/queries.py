@@ -29,7 +29,7 @@ from riskline.schema import EVENT_COLUMNS, EVENT_TYPE_FEATURES, FEATURES, TRANSI
 from riskline.session import configure, materialize, work_dir
 from riskline.sources.activity import read_activity
 from riskline.sources.events import load_scored, project_existing, save_scored
-from riskline.streaming import jobs, keyed
+from riskline.streaming import jobs, keyed, scoring
 
 RULES = RuleConfig(
     brute_force_minutes=4320,
@@ -636,17 +636,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     ),
     "score_events": _score_events,
     # Streams, replayed from the activity table
-    "stream_brute_force": lambda spark, folder: jobs.replay(
+    "stream_brute_force": lambda spark, folder: keyed.replay(
         configure(spark), folder,
         lambda events, out: jobs.brute_force(
             events, out, window="3 days", slide="12 hours", failures=RULES.brute_force_failures
         ),
-        jobs.latest_brute_force,
+        jobs.latest_brute_force, spread="0 seconds",
     ).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "failures"),
-    "stream_daily_exfil": lambda spark, folder: jobs.replay(
+    "stream_daily_exfil": lambda spark, folder: keyed.replay(
         configure(spark), folder,
         lambda events, out: jobs.daily_exfiltration(events, out, RULES.exfiltration_kb),
-        jobs.latest_daily_exfiltration,
+        jobs.latest_daily_exfiltration, spread="0 seconds",
     ).select("user_id", F.col("event_date").cast("string").alias("event_date"), "moved"),
     # The keyed ones get all times in every batch, or rows up to a day early or late.
     "stream_new_device": lambda spark, folder: keyed.replay(
@@ -665,9 +665,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         lambda events, out: keyed.sequence_scores(events, out, markov_model(spark, folder), "3 days", partitions=8),
         jobs.read_alerts, spread="1 day", closing="4 days",
     ).select("event_id", r6("markov_raw")),
-    "stream_score": lambda spark, folder: jobs.replay(
+    "stream_score": lambda spark, folder: keyed.replay(
         configure(spark), folder,
-        lambda events, out: jobs.risk_scores(events, out, scoring_model(spark, folder)),
-        jobs.read_alerts,
+        lambda events, out: scoring.risk_scores(events, out, scoring_model(spark, folder), partitions=8),
+        jobs.read_alerts, spread="0 seconds",
     ).select("event_id", "risk_score", "risk_level", "predicted_attack_type"),
 }

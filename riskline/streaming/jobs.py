@@ -13,7 +13,6 @@ running query.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,8 +26,7 @@ from riskline.operators.joins import lookup_join
 from riskline.operators.markov import MarkovModel, context_stage
 from riskline.operators.timeline import Timeline
 from riskline.plans.scoring import ScoringModel
-from riskline.session import materialize, scratch, work_dir
-from riskline.sources.activity import activity_events
+from riskline.session import materialize, scratch
 
 BATCH, DIVISION = "batch", "division"
 DIVISIONS = 64
@@ -214,26 +212,3 @@ def risk_scores(
         _keep(pairs, out, "logins", batch_id, "source_ip")
 
     return _each_batch(events, out, advance, trigger=trigger)
-
-
-def replay(
-    spark: SparkSession,
-    folder: str,
-    start: Callable[[DataFrame, str], StreamingQuery],
-    read: Callable[[SparkSession, str], DataFrame],
-    batches: int = 4,
-) -> DataFrame:
-    """Run a job over an activity table, cut into files by time, one for each micro-batch."""
-    table = spark.read.parquet(f"{folder}/events.parquet")
-    home = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
-    at = F.unix_micros(F.col("ts").cast("timestamp")).cast("double")
-    cuts = table.select(at.alias("at")).approxQuantile("at", [i / batches for i in range(1, batches)], 0.01)
-    edges = [None, *dict.fromkeys(cuts), None]
-    for low, high in zip(edges, edges[1:]):
-        part = table if low is None else table.filter(at > low)
-        # Rows without a time come first.
-        part = part if high is None else part.filter(at.isNull() | (at <= high) if low is None else at <= high)
-        part.coalesce(1).write.mode("append").parquet(f"{home}/in")
-    files = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1)
-    start(activity_events(files.parquet(f"{home}/in")), f"{home}/out").awaitTermination()
-    return read(spark, f"{home}/out")

@@ -294,7 +294,7 @@ def replay(
 ) -> DataFrame:
     """Run a job over an activity table in micro-batches of ``files`` files each.
 
-    Batches are by time, each row moved by up to ``spread`` either way, or by a hash of the id where that
+    Batches are by time (rows without one come first), each row moved by up to ``spread`` either way, or by a hash of the id where that
     is None, which mixes all times into every batch. ``closing`` adds a last batch of one event so much after
     all others, which brings the watermark past them.
     """
@@ -305,7 +305,9 @@ def replay(
         number = F.pmod(chance, F.lit(batches))
     else:
         width = spark.range(1).select(F.unix_micros(F.lit(0).cast("timestamp") + F.expr(f"INTERVAL {spread}"))).first()[0]
-        at = F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(chance, F.lit(2 * width)) - width
+        at = F.unix_micros(F.col("ts").cast("timestamp"))
+        if width:
+            at = at + F.pmod(chance, F.lit(2 * width)) - width
         cuts = table.select(at.cast("double").alias("at")).approxQuantile("at", [i / batches for i in range(1, batches)], 0.01)
         number = sum(((at > cut).cast("int") for cut in cuts), F.lit(0))
     numbered = table.withColumn(BATCH, F.coalesce(number, F.lit(0)))

@@ -45,7 +45,10 @@ NAMES = [part.split()[0] for part in GIVEN.split(", ")]
 
 
 class Addresses(StatefulProcessor):
-    """Adds to rows how many users have logged in from their address by the end of the batch."""
+    """Adds to rows how many users have logged in from their address by the end of the batch.
+
+    ``columns`` names the frames' columns; Spark renames those that begin with an underscore.
+    """
 
     def __init__(self, columns: list[str]):
         self.columns = columns
@@ -55,8 +58,7 @@ class Addresses(StatefulProcessor):
         self.count = handle.getValueState("count", "n long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frames = list(rows)
-        if "_login" not in frames[0].columns: raise ValueError(str(list(frames[0].columns)))
+        frames = [f.set_axis(self.columns, axis=1) for f in rows]
         count = self.count.get()[0] if self.count.exists() else 0
         before = count
         for user in {u for f in frames for u, login in zip(f["user_id"], f["_login"]) if login and u is not None}:
@@ -66,7 +68,7 @@ class Addresses(StatefulProcessor):
         if count != before:
             self.count.update((count,))
         for frame in frames:
-            yield frame[self.columns].assign(_users=count)
+            yield frame.assign(_users=count)
 
     def close(self) -> None:
         pass
@@ -227,7 +229,7 @@ def risk_scores(events: DataFrame, out: str, model: ScoringModel, trigger: str |
             }
         )
         passed = f"{GIVEN}, {', '.join(f'`e_{f.name}` {f.dataType.simpleString()}' for f in events.schema)}, _users long"
-        processor = _Passing(cfg, model.cfg.markov.order, columns)
+        processor = _Passing(cfg, model.cfg.markov.order, columns, prepared.columns)
         rows = prepared.groupBy("user_id").transformWithStateInPandas(processor, passed, "Append", "None")
         return _each_batch(rows, out, lambda df, i: _write(_finished(df, columns, model, rules), out, "alerts", i), "append", trigger)
 
@@ -235,13 +237,12 @@ def risk_scores(events: DataFrame, out: str, model: ScoringModel, trigger: str |
 class _Passing(History):
     """History that hands the event's own columns on beside the new ones."""
 
-    def __init__(self, cfg: dict, order: int, columns: list[str]):
+    def __init__(self, cfg: dict, order: int, columns: list[str], names: list[str]):
         super().__init__(cfg, order)
-        self.columns = columns
+        self.columns, self.names = columns, names
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frames = list(rows)
-        own = pd.concat(frames, ignore_index=True)
+        own = pd.concat([f.set_axis(self.names, axis=1) for f in rows], ignore_index=True)
         # The order of the rows made above.
         own = own.assign(_some=own["at"].notna(), _at=own["at"].fillna(0), _id=own["event_id"].fillna(""))
         own = own.sort_values(["_some", "_at", "_id"], kind="stable").reset_index(drop=True)
