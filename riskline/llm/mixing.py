@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskline.llm.text import whole, word_count
+from riskline.llm.text import file_place, whole, word_count
 from riskline.session import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -91,13 +91,15 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return done
 
 
-def mix_plan(docs: DataFrame, id: str, text: str, source: str, weights: tuple[int, ...], most: int) -> tuple[DataFrame, DataFrame]:
+def mix_plan(docs: DataFrame, id: str, text: str, source: str, weights: tuple[int, ...], most: int, row: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """The documents as numbers (id, source, size, u, row), and a row of the plan per source:
-    source_size, target, times every document is taken, and the threshold for once more."""
+    source_size, target, times every document is taken, and the threshold for once more.
+    ``row`` tells rows of one id apart, by default their number in this scan."""
+    row = F.monotonically_increasing_id() if row is None else row
     rows = materialize(
         docs.select(
             F.col(id).alias("id"), F.col(source).cast("string").alias("source"), word_count(whole(text)).alias("size"),
-            unit_hash(F.col(id)).alias("u"), F.monotonically_increasing_id().alias("row"),
+            unit_hash(F.col(id)).alias("u"), row.alias("row"),
         ),
         "mix-rows",
     )
@@ -137,11 +139,21 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
 def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken, columns unchanged.
 
-    ``docs`` should be a table as read: its rows are numbered in two scans. Texts do not move
-    but for the join with the plan, which is broadcast while it is small.
+    Both scans must tell rows of one id apart alike: by their place in their file, or, in a table
+    that is more than a read of files, by a number that is written with the rows first. A null text
+    has no words and is never taken, nor is an empty one; a null source is a source; repeated rows are
+    interchangeable; an empty table gives an empty one; columns may have any names. Texts do not
+    move but for the join with the plan, which is broadcast while it is small.
     """
-    _, plan = mix_plan(docs, id, text, source, weights, most)
-    numbered = docs.select(F.struct("*").alias("doc"), F.col(source).cast("string").alias("source"), unit_hash(F.col(id)).alias("u"), F.monotonically_increasing_id().alias("row"))
+    place = file_place(docs)
+    # 60 bits, as the search for thresholds takes them.
+    row = F.monotonically_increasing_id() if place is None else F.shiftrightunsigned(place, 64 - BITS)
+    held = docs.select(F.struct("*").alias("doc"), row.alias("row"))
+    if place is None:
+        held = materialize(held, "mix-docs")
+    id, text, source = (f"doc.`{c}`" for c in (id, text, source))
+    _, plan = mix_plan(held, id, text, source, weights, most, F.col("row"))
+    numbered = held.select("doc", F.col(source).cast("string").alias("source"), unit_hash(F.col(id)).alias("u"), "row")
     joined = numbered.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")))
     copies = _copies(F.col("r.u"), F.col("r.row")).cast("int")
     return joined.withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies))).select("doc.*")
