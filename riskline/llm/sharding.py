@@ -9,6 +9,7 @@ whole would make the shards uneven. Then the rows are exchanged once.
 
 from __future__ import annotations
 
+import json
 from math import ceil, isqrt
 
 from pyspark.sql import Column, DataFrame, Window
@@ -45,12 +46,28 @@ def locate(bounds: list[tuple[int, int, int]], keys: tuple) -> Column:
     return let(_ordered(keys), search)
 
 
+def _crossings(bins: DataFrame, wanted: list[tuple[int, int, float]]) -> DataFrame:
+    """One row per (open bin i, target t, weight x wanted of it): the bin b that reaches x, its weight w and
+    rows n, and the weight before it. The bins of one open bin, 2 ** DIGIT at most, meet in a window."""
+    asked = [{"i": i, "t": t, "x": x} for i, t, x in wanted]
+    rows = F.explode(F.from_json(F.lit(json.dumps(asked)), "array<struct<i:int,t:int,x:double>>"))
+    asked = bins.sparkSession.range(1).select(rows.alias("a")).select("a.*")
+    upto = F.sum("w").over(Window.partitionBy("i").orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
+    bins = bins.withColumn("x", upto).withColumn("bin", F.struct("b", "w", "n", (F.col("x") - F.col("w")).alias("before")))
+    both = bins.select("i", F.col("x").cast("double").alias("x"), "bin").unionByName(asked, allowMissingColumns=True)
+    down = Window.partitionBy("i").orderBy(F.desc("x"), F.col("t").isNotNull(), F.desc("bin.b"))
+    reached = F.last("bin", True).over(down.rowsBetween(Window.unboundedPreceding, 0))
+    top = F.max("bin").over(Window.partitionBy("i"))
+    return both.withColumn("bin", F.coalesce(reached, top)).where("t IS NOT NULL").select("t", "bin.*")
+
+
 def splitters(rows: DataFrame, weight: str, targets: list[tuple[float, float]]) -> list[tuple[int, int, int]]:
     """Key bounds with, below each, ``target`` of the weight up to its slack or to one row.
 
-    One pass for each refinement, for all targets together. A pass brings at most
-    2 ** DIGIT bins per open bin to the driver; after the first pass only bins that hold more than the
-    slack are open, which are fewer than 1 / slack in a share of the whole.
+    One pass for each refinement, for all targets together. A pass counts up to 2 ** DIGIT bins
+    in every open bin, and brings to the driver the one bin that each target falls in, so one row per
+    target, whatever the keys. After the first pass only bins that hold more than the slack are open,
+    which are fewer than 1 / slack in a share of the whole.
     """
     found: dict[int, tuple[int, int, int]] = {}
     # Open bins: fixed leading keys, key in work, shift and value of its bin, weight below the bin.
@@ -58,35 +75,32 @@ def splitters(rows: DataFrame, weight: str, targets: list[tuple[float, float]])
     asks = {(): list(range(len(targets)))}
     while asks:
         states = {k: work[k] for k in asks}
-        hist: dict = {k: [] for k in states}
+        hist: dict = {}
         for at, depth in {(s[1], s[2]): None for s in states.values()}.keys():
-            mine = [k for k, s in states.items() if (s[1], s[2]) == (at, depth)]
-            index = F.lit(None).cast("int")
-            for i, k in enumerate(mine):
-                fixed, _, _, value, _ = states[k]
-                inside = F.lit(True)
-                for name, v in zip(KEYS, fixed):
-                    inside &= F.col(name) == F.lit(v)
-                if depth < 64:
-                    inside &= F.shiftright(KEYS[at], depth) == F.lit(value)
-                index = F.coalesce(index, F.when(inside, F.lit(i)))
-            bins = (
-                rows.select(index.alias("i"), F.shiftright(KEYS[at], depth - DIGIT).alias("b"), F.col(weight).alias("w"))
-                .where("i IS NOT NULL").groupBy("i", "b").agg(F.sum("w").alias("w"), F.count("*").alias("n"))
-            )
-            for r in bins.collect():
-                hist[mine[r.i]].append((r.b, r.w, r.n))
+            edges = {}
+            for k, (fixed, a, d, value, _) in states.items():
+                if (a, d) == (at, depth):
+                    edges[(*fixed, value << depth if depth < 64 else LEAST, *(LEAST,) * (len(KEYS) - at - 1))] = k
+            lows = sorted(edges)
+            opened = F.array(*map(_ordered, lows))
+            numbered = rows.select(*KEYS, F.col(weight).alias("w"), (locate(lows, tuple(map(F.col, KEYS))) - 1).alias("i"))
+            mine = numbered.where("i >= 0").withColumn("low", F.get(opened, F.col("i")))
+            inside = F.lit(True)
+            for name in KEYS[:at]:
+                inside &= F.col(name) == F.col(f"low.{name}")
+            if depth < 64:
+                inside &= F.shiftright(KEYS[at], depth) == F.shiftright(F.col(f"low.{KEYS[at]}"), depth)
+            bins = mine.where(inside).groupBy("i", F.shiftright(KEYS[at], depth - DIGIT).alias("b")).agg(F.sum("w").alias("w"), F.count("*").alias("n"))
+            wanted = [(i, t, float(targets[t][0] - states[edges[low]][4])) for i, low in enumerate(lows) for t in asks[edges[low]]]
+            for r in _crossings(bins, wanted).collect():
+                hist[r.t] = (r.b, r.w, r.n, r.before)
         asks_next: dict = {}
         for k, wanted in asks.items():
             fixed, at, depth, _, below = states[k]
-            bins = sorted(hist[k])
             for t in wanted:
                 target, slack = targets[t]
-                before = below
-                for b, w, n in bins:
-                    if before + w >= target:
-                        break
-                    before += w
+                b, w, n, inner = hist[t]
+                before = below + inner
                 after = before + w
                 near_low = target - before <= after - target
                 tail = (LEAST,) * (len(KEYS) - len(fixed) - 1)

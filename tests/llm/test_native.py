@@ -154,6 +154,36 @@ def test_splitters_are_exact(spark):
     assert seen == [1, 10, 333, 334, 500, 999, 1000]
 
 
+def test_splitters_bring_one_row_for_each_target(spark, monkeypatch):
+    """Dense ids stand in one leading bin and open as many bins as there are targets."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rows = spark.range(60_000).select(F.col("id").alias("k1"), F.xxhash64("id").alias("k2"), F.lit(0).cast("long").alias("k3"), F.lit(2).cast("long").alias("w"))
+    brought, whole = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda df: brought.append(whole(df)) or brought[-1])
+    bounds = sharding.splitters(rows, "w", [(120_000 * i / 40, 100.0) for i in range(1, 40)])
+    assert max(map(len, brought)) <= 39
+    monkeypatch.undo()
+    below = rows.groupBy(sharding.locate(bounds, tuple(map(F.col, sharding.KEYS)))).agg(F.sum("w")).collect()
+    assert len(below) == 40 and all(abs(w - 3_000) <= 200 for _, w in below)
+
+
+def test_mixed_rows_are_those_of_the_mix(spark, tmp_path):
+    """From files and from other tables, with repeated ids, nulls and clashing names."""
+    rows = [(i % 7, f"w{i} " * (i % 5), "s" if i % 3 else "t") for i in range(300)] + [(None, "a b", None), (1, None, "s")]
+    docs = corpus.frame(spark, rows).withColumn("row", F.lit("r")).withColumn("doc", F.lit("d"))
+    docs.write.parquet(f"{tmp_path}/d")
+    read = spark.read.parquet(f"{tmp_path}/d")
+    words = lambda df: {r[0]: r[1] for r in df.groupBy("source").agg(F.sum(F.size(F.array_remove(F.split("text", " "), "")))).collect()}
+    goal = {r.source: r.target for r in mixing.mix(docs).select("source", "target").distinct().collect()}
+    for table in (read, read.repartition(5)):
+        got = mixing.mixed(table)
+        assert got.columns == docs.columns
+        held = words(got)
+        assert all(abs(held.get(s, 0) - goal[s]) <= 4 for s in goal)
+    assert mixing.mixed(docs.limit(0)).collect() == []
+
+
 SAMPLES = {
     "email": ("ann.lee07@mail.example.org", r"[a-z]+\.[a-z]+[0-9]{2}@[a-z]{4}\.[a-z]{7}\.org"),
     "ipv4": ("71.224.97.88", r"\d{1,3}(\.\d{1,3}){3}"),
