@@ -34,17 +34,19 @@ TYPES = {
     "private_key": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----", r"^-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     "secret": (rf"(?<![A-Za-z0-9]){_SECRET_NAME}\s{{0,3}}(?:\"[^\"\r\n]{{1,256}}(?=\")|'[^'\r\n]{{1,256}}(?=')|(?:\\?[\"'])?[^\s\"']{{4,}})", rf"^{_SECRET_NAME}\s*(?:\\?[\"'])?"),
     "access_key": (r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:ghp|gho|ghs|sk|pk|xoxb|xoxp)[_-][A-Za-z0-9_-]{16,}", r"^(?:AKIA|ASIA|[a-z]+[_-])"),
+    "web_token": (r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", r"^eyJ"),
     "ipv4": (rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?[0-9])", r"^"),
     "mac": (r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}(?![0-9A-Fa-f:])", r"^"),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"^[A-Z]{2}"),
+    "ipv6": (r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])|(?<![0-9A-Za-z:])2[0-9A-Fa-f]{3}(?::[0-9A-Fa-f]{1,4}){1,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,4})?(?![0-9A-Za-z:])", r"^"),
+    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"^"),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"^"),
     "phone": (r"(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])", r"^(?:\+[0-9]{1,3}(?=[ .(-]))?"),
-    "card": (r"(?<![A-Za-z0-9])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])", r"^[0-9]"),
+    "card": (r"(?<![A-Za-z0-9])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])", r"^"),
     "name": (rf"(?<!\p{{L}})(?:{_TITLE})\.? {_NAME}(?: {_NAME}){{0,2}}", rf"^(?:{_TITLE})\.? "),
 }
 PATTERN = "|".join(f"(?:{p})" for p, _ in TYPES.values())
 # A text without any of these holds no entity, and is spared the patterns.
-GATE = rf"[0-9@]|-----BEGIN|{_SECRET_NAME}|(?:{_TITLE})\.? \p{{Lu}}"
+GATE = rf"[0-9@]|eyJ|-----BEGIN|{_SECRET_NAME}|(?:{_TITLE})\.? \p{{Lu}}"
 ROUNDS = 4
 ATTEMPTS = 24
 # Later attempts add digits, so that a format with few values does not run out of them.
@@ -140,6 +142,28 @@ def _address(value: Column, key: Column, tweak: Column) -> Column:
     return let(state, lambda h: F.concat_ws(".", *[F.floor(x / 256).cast("string") if hi else (x % 256).cast("string") for x in (h["l"], h["r"]) for hi in (1, 0)]))
 
 
+def _luhn(digits: Column) -> Column:
+    """The check digit that card numbers put behind ``digits``."""
+
+    def doubled(c: Column, i: Column) -> Column:
+        n = c.cast("int")
+        return F.when(i % 2 == 1, n).when(n > 4, 2 * n - 9).otherwise(2 * n)
+
+    each = F.transform(F.split(F.reverse(digits), ""), doubled)
+    return (10 - F.aggregate(each, F.lit(0), lambda a, n: a + n) % 10) % 10
+
+
+def _mod97(bban: Column, country: Column) -> Column:
+    """The two check digits of an account number, as a number from 2 to 98."""
+
+    def step(a: Column, c: Column) -> Column:
+        n = F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+        return (a * F.when(n > 9, 100).otherwise(10) + n) % 97
+
+    signs = F.split(F.concat(F.regexp_replace(bban, " ", ""), country, F.lit("00")), "")
+    return 98 - F.aggregate(signs, F.lit(0), step)
+
+
 def _made_up(value: Column, key: Column, attempt: Column, gender: Column) -> Column:
     """A name of syllables of the same script, capitalised, with the gender's ending."""
 
@@ -203,7 +227,8 @@ def _typed(found: Column) -> Column:
                 x.alias("lead"),
                 # The last part, a surname, has no gender: it is one name after all titles.
                 let(
-                    F.when(k == "name", F.split(F.substring(found, F.length(x) + 1, F.length(found)), " ")).otherwise(
+                    F.when(k == "email", F.array(F.lower(found)))
+                    .when(k == "name", F.split(F.substring(found, F.length(x) + 1, F.length(found)), " ")).otherwise(
                         F.array(F.substring(found, F.length(x) + 1, F.length(found)))
                     ),
                     lambda parts: F.transform(
@@ -218,20 +243,43 @@ def _typed(found: Column) -> Column:
 
 
 def surrogate(kind: Column, unit: Column, gender: Column, attempt: Column, key: Column) -> Column:
-    """The replacement of one unit: of a name part, or of what follows the leading part."""
+    """The replacement of one unit: of a name part, or of what follows the leading part.
+
+    Mail addresses keep their last domain, cards their first digit and accounts their country, and
+    the check digits of these two are as far from right ones as they were.
+    """
     tweak = F.concat_ws("\x1f", kind, attempt.cast("string"))
     domain = F.substring_index(unit, ".", -1)
-    mail = let(
-        F.substring(unit, F.lit(1), (F.length(unit) - F.length(domain)).cast("int")),
-        lambda x: F.concat(F.when(attempt > 0, F.substring(F.sha2(F.concat_ws("\x1f", key, tweak, unit), 256), 1, 6)).otherwise(F.lit("")), _permuted(x, key, tweak, F.lit(False)), domain),
+    head = F.when(kind == "card", F.substring(unit, 1, 1)).when(kind == "iban", F.substring(unit, 1, 4)).otherwise(F.lit(""))
+    tail = F.when(kind == "card", F.substring(unit, -1, 1)).when(kind == "email", domain).otherwise(F.lit(""))
+    inner = let(
+        F.struct(head.alias("h"), tail.alias("t")),
+        lambda x: F.substring(unit, F.length(x["h"]) + 1, F.length(unit) - F.length(x["h"]) - F.length(x["t"])),
     )
-    more = F.when(attempt > LONGER, F.lpad((_number(key, tweak, unit) % 1_000_000).cast("string"), 6, "0")).otherwise(F.lit(""))
+    bare = lambda x: F.regexp_replace(x, "[^0-9]", "")
+    country = F.substring(unit, 1, 2)
+
+    def built(x: Column) -> Column:
+        old, new = x["old"], x["new"]
+        stem = lambda v: bare(F.concat(head, v))
+        last = F.pmod(_luhn(stem(new)) + tail.cast("int") - _luhn(stem(old)), F.lit(10)).cast("string")
+        off = F.substring(unit, 3, 2).cast("int") - _mod97(old, country)
+        check = F.lpad((F.pmod(_mod97(new, country) - 2 + off, F.lit(97)) + 2).cast("string"), 2, "0")
+        mark = F.when(attempt > 0, F.substring(F.sha2(F.concat_ws("\x1f", key, tweak, unit), 256), 1, 6)).otherwise(F.lit(""))
+        more = F.when(attempt > LONGER, F.lpad((_number(key, tweak, unit) % 1_000_000).cast("string"), 6, "0")).otherwise(F.lit(""))
+        return (
+            F.when(kind == "email", F.concat(mark, new, domain))
+            .when(kind == "card", F.concat(head, new, last))
+            .when(kind == "iban", F.concat(country, check, new))
+            .otherwise(F.concat(new, more))
+        )
+
+    moved = let(inner, lambda v: let(F.struct(v.alias("old"), _permuted(v, key, tweak, kind == "secret").alias("new")), built))
     return (
         F.when((kind == "name") & _initials(unit), _moved_initials(unit, key))
         .when(kind == "name", _made_up(unit, key, attempt, gender))
         .when(kind == "ipv4", _address(unit, key, tweak))
-        .when(kind == "email", mail)
-        .otherwise(F.concat(_permuted(unit, key, tweak, kind == "secret"), more))
+        .otherwise(moved)
     )
 
 
@@ -274,7 +322,9 @@ def replace(docs: DataFrame, key: str, text: str = "text", report: str | None =
     ``report`` names a column added with the array of entity types in order. A null text stays
     null, a text without entities stays as it is to the byte. Repeated rows get the same
     result, an empty table an empty one, and columns are free to have any name but ``report``.
-    ``key`` decides all surrogates; without it they cannot be traced back. Distinct entities are
+    ``key`` decides all surrogates; without it they cannot be traced back. Parts of a name found after a
+    title are replaced wherever else they stand as words in their text, by the first one's surrogate if titles of
+    two genders precede a first name. Mail addresses count without case and become lower case. Distinct entities are
     counted with map-side aggregation; documents move only if some entity clashes, and then only
     their override lists are joined, by the hash of the text.
     """
@@ -309,7 +359,28 @@ def replace(docs: DataFrame, key: str, text: str = "text", report: str | None =
 
         return F.concat(e["lead"], F.array_join(F.transform(e["units"], unit), " "))
 
-    pieces = F.split(F.col(text), PATTERN, -1)
+    def named(e: Column) -> Column:
+        """Parts of names with their surrogates."""
+
+        def pair(u: Column) -> Column:
+            attempt = F.coalesce(F.element_at(overrides, F.concat_ws("\x1f", e["type"], u["gender"], u["unit"])), F.lit(0))
+            return F.struct(u["unit"].alias("unit"), _made_up(u["unit"], secret, attempt, u["gender"]).alias("made"))
+
+        return F.transform(F.filter(e["units"], lambda u: ~_initials(u["unit"])), pair)
+
+    def without_names(pieces: Column, names: Column) -> Column:
+        """The text between entities, where the parts of its names stand without a title.
+
+        No surrogate is a real part of a name, so a replaced one is not replaced again.
+        """
+        once = lambda piece: F.aggregate(
+            names, piece,
+            lambda a, n: F.when(F.contains(a, n["unit"]), F.regexp_replace(a, F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), n["unit"], F.lit(r"\E(?![\p{L}\p{N}_])")), n["made"])).otherwise(a),
+        )
+        return F.when(F.size(names) > 0, F.transform(pieces, once)).otherwise(pieces)
+
+    names = F.flatten(F.transform(F.filter(F.col(found), lambda e: e["type"] == "name"), named))
+    pieces = let(names, lambda n: without_names(F.split(F.col(text), PATTERN, -1), n))
     joined = F.array_join(F.flatten(F.zip_with(pieces, F.transform(F.col(found), replaced), lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))), "")
     out = marked.withColumn(text, F.when(F.size(found) > 0, joined).otherwise(F.col(text)))
     if report is not None:
@@ -317,12 +388,19 @@ def replace(docs: DataFrame, key: str, text: str = "text", report: str | None =
     return out.select(*[f"`{c}`" for c in docs.columns], *([report] if report else []))
 
 
+KEY_SETTING = "spark.riskline.pii.key"
+# For data that is not private, as test tables.
 KEY = "corpus-surrogates-1"
 
 
+def session_key(spark) -> str:
+    """The key that the session's settings name; private data need one."""
+    return spark.conf.get(KEY_SETTING, KEY)
+
+
 def op10_pii_surrogates(spark, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
-    out = replace(docs, KEY, report="types")
+    out = replace(docs, session_key(spark), report="types")
     return out.select(
         "doc_id", "text", F.size("types").cast("long").alias("n_entities"),
         F.array_join(F.array_sort(F.array_distinct("types")), ",").alias("types"),

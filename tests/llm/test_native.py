@@ -271,6 +271,71 @@ def test_common_forms_of_secrets_and_names(spark):
     assert re.fullmatch(r"[A-IK-Z]\.", got[0][1]) and got[1][1] == got[0][1][0] and re.fullmatch(r"[A-EG-Z]\.", got[4][2]) and got[4][1] != "John"
 
 
+def test_names_are_replaced_all_over_their_document(spark):
+    texts = [
+        "Dr. Jane Miller called. Jane Miller left. Miller said so; Millers and O-Miller_x stay.",
+        "Miller is free here.",
+        "Mr. J. Berg met Berg, J. and Bergen.",
+    ]
+    out = {r.doc_id: r.text for r in pii.replace(corpus.frame(spark, [(i, t, "s") for i, t in enumerate(texts)]), "k7").collect()}
+    m = re.fullmatch(r"Dr\. (\w+) (\w+) called\. (\w+) (\w+) left\. (\w+) said so; Millers and O-Miller_x stay\.", out[0])
+    assert m and m[1] == m[3] != "Jane" and m[2] == m[4] == m[5] != "Miller"
+    assert out[1] == texts[1]
+    m = re.fullmatch(r"Mr\. ([A-Z])\. (\w+) met (\w+), J\. and Bergen\.", out[2])
+    assert m and m[2] == m[3] != "Berg" and m[1] != "J"
+
+
+def _luhn_ok(value):
+    digits = [int(c) for c in value if c.isdigit()][::-1]
+    return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
+
+
+def _iban_ok(value):
+    value = value.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
+
+
+def test_check_digits_stay_right_or_wrong(spark):
+    cards = [f"4111 1111 1111 11{n:02d}" for n in range(30)]
+    accounts = ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "DE88370400440532013000"]
+    rows = [(i, f"pay {v} now", "s") for i, v in enumerate(cards + accounts)]
+    out = {r.doc_id: r.text[4:-4] for r in pii.replace(corpus.frame(spark, rows), "k8").collect()}
+    assert len(set(out.values())) == len(rows)
+    for i, v in enumerate(cards):
+        assert out[i] != v and re.fullmatch(r"4\d{3} \d{4} \d{4} \d{4}", out[i]) and _luhn_ok(out[i]) == _luhn_ok(v)
+    for i, v in enumerate(accounts, len(cards)):
+        assert out[i] != v and out[i][:2] == v[:2] and _iban_ok(out[i]) == _iban_ok(v)
+
+
+def test_mail_counts_without_case_and_more_types(spark):
+    texts = ["a.b@c.com", "A.B@C.com", "at 2001:db8:85a3::8a2e:370:7334 or fe80:0:0:0:204:61ff:fe9d:f156", "eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.SflKxwRJSMeKKF2QT4 ok", "std::vector a::b 12:30"]
+    out = {r.doc_id: r for r in pii.replace(corpus.frame(spark, [(i, t, "s") for i, t in enumerate(texts)]), "k9", report="kinds").collect()}
+    assert out[0].text == out[1].text != "a.b@c.com"
+    assert out[2].kinds == ["ipv6", "ipv6"] and out[3].kinds == ["web_token"] and out[3].text.startswith("eyJ") and out[3].text.endswith(" ok")
+    assert out[4].kinds == [] and out[4].text == texts[4]
+
+
+def test_same_entities_as_a_loop_over_matches(spark):
+    """Types in order and the text between entities, by Python's matching, and one surrogate per entity."""
+    import regex
+
+    pattern = regex.compile(pii.PATTERN)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    seen, shown = {}, {}
+    for r in docs.join(pii.replace(docs, "k10", report="kinds").withColumnsRenamed({"text": "made"}), "doc_id").collect():
+        found = [m.group() for m in pattern.finditer(r.text or "")]
+        assert len(found) == len(r.kinds), r.doc_id
+        if "name" in r.kinds:
+            continue
+        pieces = "(.+?)".join(map(re.escape, pattern.split(r.text or "")))
+        parts = re.fullmatch(pieces, r.made or "", re.DOTALL)
+        assert parts, r.doc_id
+        for kind, old, new in zip(r.kinds, found, parts.groups()):
+            old = (kind, old.lower() if kind == "email" else old)
+            assert old[1] != new and seen.setdefault(old, new) == new and shown.setdefault((kind, new), old) == old
+    assert len(seen) > 10
+
+
 @pytest.mark.parametrize("make", [lambda d: pii.replace(d, "k"), lambda d: sharding.shard(d, 4), lambda d: mixing.mix(d), lambda d: licenses.scan(d)])
 def test_no_python(spark, make):
     plan = make(corpus.frame(spark, corpus.rows(1, 12)))._jdf.queryExecution().executedPlan().toString()
