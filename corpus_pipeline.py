@@ -21,7 +21,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put surrogates for personal data; n_chars follows the text."""
-    out = pii.replace(docs, pii.KEY)
+    out = pii.replace(docs, pii.session_key(spark))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
