@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import struct
 import sys
 import types
 from collections.abc import Iterator
@@ -38,7 +37,7 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 CACHE_BYTES = 320 << 20
 LONGEST = 200
 # Missing spans that are encoded in one piece.
-BLOCK = 500
+BLOCK = 2_000
 # Documents a worker holds at once.
 BATCH = 1_000
 WHITE_RUN = re.compile(r"\s\s|\s\Z")
@@ -121,6 +120,9 @@ class _Spans(dict):
         self.sizes = [{id: len(raw) for id, raw in side.bytes.items()} for side in (self.a, self.b)]
         if any(0 in sizes.values() for sizes in self.sizes):
             raise ValueError("a token without bytes has no end of its own")
+        # Every id with each sign that can stand behind it.
+        self.signs = [f"{id}{sign}" for id in range(max(map(max, self.sizes)) + 1) for sign in ",|;"]
+        self.widths = np.array([len(s) for s in self.signs])
 
     def learn(self, wanted: set[str]) -> dict:
         """The long spans among ``wanted``, which are not kept; the others are in memory afterwards."""
@@ -139,7 +141,7 @@ class _Spans(dict):
                 blocks.append([])
             blocks[-1].append(span)
         for block in blocks:
-            for span, found in zip(block, self._aligned(block) or [self._alone(span) for span in block]):
+            for span, found in zip(block, self._each(block)):
                 if len(span) > LONGEST:
                     passing[span] = found
                     continue
@@ -147,8 +149,13 @@ class _Spans(dict):
                 self.size += 350 + 2 * len(span) + (len(found[3]) + len(found[4]) if found else 0)
         return passing
 
-    def _alone(self, span: str) -> tuple | None:
-        return (self._aligned([span]) or [None])[0]
+    def _each(self, block: list[str]) -> list[tuple | None]:
+        """The spans of a block; one whose tokens do not give its bytes is found by halves."""
+        found = self._aligned(block) if block else []
+        if found is not None or len(block) == 1:
+            return [None] if found is None else found
+        half = len(block) // 2
+        return self._each(block[:half]) + self._each(block[half:])
 
     def _aligned(self, block: list[str]) -> list[tuple] | None:
         """The spans one after the other, as in a text; None if the tokens of either side give other bytes."""
@@ -158,17 +165,28 @@ class _Spans(dict):
         names, pieces = self.a.bytes, self.b.bytes
         if b"".join([names[id] for id in a]) != raw or b"".join([pieces[id] for id in b]) != raw:
             return None
-        stops = {*accumulate([len(s.encode("utf-8", "surrogatepass")) + 1 for s in block])}
-        left, right = [*map(str, a)], [*map(str, b)]
-        out, groups, links, i, j, i0, j0 = [], [], [], 0, 0, 0, 0
-        for end, x, y in align(a, b, *self.sizes):
-            groups.append(f"{','.join(left[i:x])}|{','.join(right[j:y])}")
-            links += (b[y - 1], a[x - 1])
-            i, j = x, y
-            if end in stops:
-                out.append((x - i0, y - j0, len(groups), ";".join(groups).encode(), struct.pack(f"<{len(links)}i", *links)))
-                groups, links, i0, j0 = [], [], x, y
-        return out
+        common, x, y = np.array(align(a, b, *self.sizes), dtype=np.int64).T
+        stops = np.cumsum([len(s.encode("utf-8", "surrogatepass")) + 1 for s in block])
+        at = np.searchsorted(common, stops)
+        if (common[np.minimum(at, len(common) - 1)] != stops).any():
+            return None
+        left, right = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        # Tokens in the order of the string, those of a group's a before those of its b, with the sign behind each.
+        signs = np.empty(len(a) + len(b), dtype=np.int64)
+        behind_a, behind_b = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
+        behind_a[x - 1], behind_b[y - 1] = 1, 2
+        before = np.concatenate(([0], y[:-1]))
+        signs[np.arange(len(a)) + np.repeat(before, np.diff(x, prepend=0))] = 3 * left + behind_a
+        signs[np.arange(len(b)) + np.repeat(x, np.diff(y, prepend=0))] = 3 * right + behind_b
+        groups = "".join(map(self.signs.__getitem__, signs.tolist())).encode()
+        links = np.stack((right[y - 1], left[x - 1]), axis=1).astype("<i4").tobytes()
+        # Where every span ends: in tokens, groups and signs.
+        n_a, n_b, n = x[at], y[at], at + 1
+        ends = np.cumsum(self.widths[signs])[n_a + n_b - 1].tolist()
+        counts = [np.diff(v, prepend=0).tolist() for v in (n_a, n_b, n)]
+        texts = [groups[i : j - 1] for i, j in zip([0, *ends], ends)]
+        stop = (8 * n).tolist()
+        return list(zip(*counts, texts, [links[i:j] for i, j in zip([0, *stop], stop)]))
 
 
 def _spans(a: str, b: str) -> _Spans:
