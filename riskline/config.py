@@ -55,6 +55,8 @@ class ScaleConfig:
 
     # A user with more events than this is cut into time slices of about this many.
     max_rows_per_slice: int = 1_000_000
+    # A log of more rows than this for each core is laid out over tasks of about this many.
+    rows_per_task: int = 65_536
     # Slices grow rather than that the list of cut users exceeds this many rows.
     max_broadcast_rows: int = 500_000
 

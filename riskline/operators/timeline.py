@@ -148,6 +148,8 @@ class Timeline:
     instants: DataFrame | None = None
     # The rows of the cut users, as stored and with their slice.
     stored: DataFrame | None = None
+    # Tasks the log is laid out over; left to adaptive execution where the cores are enough.
+    tasks: int | None = None
 
     @classmethod
     def plan(
@@ -163,10 +165,16 @@ class Timeline:
         users = events.groupBy(_text(key).alias(WHO)).agg(
             F.count(F.lit(1)).alias("_n"), F.min(us).alias("_t0"), F.max(us).alias("_t1")
         )
-        large = materialize(users.filter(F.col("_n") > scale.max_rows_per_slice), "large-users")
-        total = large.agg(F.sum("_n")).first()[0]
+        users = materialize(users, "users")
+        large = users.filter(F.col("_n") > scale.max_rows_per_slice)
+        rows, total = users.agg(F.sum("_n"), F.sum(F.when(F.col("_n") > scale.max_rows_per_slice, F.col("_n")))).first()
+        # Adaptive execution goes by stored bytes, and a task's sorts hold many times those: it would give a task
+        # more rows the larger the log is.
+        tasks = -(-(rows or 0) // scale.rows_per_task)
+        if tasks <= events.sparkSession.sparkContext.defaultParallelism:
+            tasks = None
         if total is None:
-            return cls(key, order)
+            return cls(key, order, tasks=tasks)
         for name, value in CUT_SETTINGS.items():
             events.sparkSession.conf.set(name, value)
 
@@ -179,7 +187,7 @@ class Timeline:
             F.coalesce("_t0", F.lit(0)).alias("_t0"),
             F.greatest(width, F.lit(1)).cast("long").alias("_width"),
         )
-        timeline = cls(key, order, large)
+        timeline = cls(key, order, large, tasks=tasks)
         mine = timeline._with_who(events).join(F.broadcast(large.select(WHO)), WHO, "left_semi")
         stored = materialize(mine.drop(WHO), "cut-users")
         timeline = replace(timeline, stored=stored)
@@ -266,7 +274,10 @@ class Timeline:
 
     def arrange(self, df: DataFrame, at: Column | None = None) -> DataFrame:
         """Lay the rows out by (user, slice, part): the one shuffle of the log."""
-        return self.assign(df, at).repartition(*self.keys)
+        return self._laid(self.assign(df, at))
+
+    def _laid(self, df: DataFrame) -> DataFrame:
+        return df.repartition(*([self.tasks] if self.tasks else []), *self.keys)
 
     def window(self, by: Sequence[str] = ()):
         return Window.partitionBy(*self.keys, *by)
@@ -284,11 +295,11 @@ class Timeline:
         if self.sliced:
             source = (self.cut if source is None else source).withColumns(stage.keys)
             if stage.grouped and (stage.levels or stage.whole):
-                source = self._add(source.repartition(*self.keys), stage.grouped, source, {})
+                source = self._add(self._laid(source), stage.grouped, source, {})
         df = self._levels(df, stage.levels, source)
         df = self._add(df, stage.whole, source, {})
         if self.sliced and stage.second:
-            source = self._add(source.repartition(*self.keys), stage.whole, source, {})
+            source = self._add(self._laid(source), stage.whole, source, {})
         # No sort follows the early columns: the windows over the whole user, before and
         # after them, share one. Apart from the late ones they also stay within what the
         # JIT compiler takes as one method.
@@ -390,7 +401,7 @@ class Timeline:
                 if by:
                     carry = carry.withColumn("_by", _text(*by)).drop(*by)
                     df = df.withColumn("_by", _text(*by))
-                df = df.join(carry.repartition(*self.keys), on, "left")
+                df = df.join(self._laid(carry), on, "left")
                 df = df.withColumns({n: self._joined(n, s) for n, s in group.items()})
                 df = df.drop("_by", *[f"_in_{n}" for n in group])
         return df.withColumns({n: self._known(n, s.depth) for n, s in contexts.items()})
@@ -444,7 +455,7 @@ class Timeline:
         frame = self.window().orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
         out = moved.withColumns({n: F.sum(n).over(frame) for n in levels}).filter("_real")
         if self.sliced:
-            out = out.join(carry.repartition(*self.keys), self.keys, "left")
+            out = out.join(self._laid(carry), self.keys, "left")
             out = out.withColumns({n: F.col(n) + F.coalesce(f"_in_{n}", F.lit(0)) for n in levels})
             out = out.drop(*[f"_in_{n}" for n in levels])
         return out.drop("_at", "_real")

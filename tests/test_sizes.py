@@ -151,3 +151,14 @@ def test_scratch_tables_go(spark):
         path = table.inputFiles()[0].rpartition("/")[0]
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     assert not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def test_a_larger_log_has_more_tasks_not_larger_ones(spark):
+    """The layout follows the rows, not the stored bytes that adaptive execution goes by."""
+    log = read_activity(spark, SMALL)
+    many = log.join(spark.range(40).withColumnRenamed("id", "copy")).withColumn("user_id", F.concat("user_id", F.lit("-"), "copy")).drop("copy")
+    scale = ScaleConfig(rows_per_task=1000)
+    timeline = Timeline.plan(many, scale)
+    sizes = timeline.arrange(many).groupBy(F.spark_partition_id()).count()
+    assert timeline.tasks == 40 and sizes.agg(F.max("count")).first()[0] < 3000
+    assert Timeline.plan(log, scale).tasks is None
