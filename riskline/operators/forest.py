@@ -28,6 +28,8 @@ NODE_SCHEMA = (
     "tree_id int, node_id int, feature int, threshold double, child int, path double"
 )
 EULER_GAMMA = 0.5772156649015329
+# Rows that walk a tree together.
+WALK_ROWS = 4096
 ship(__name__)
 
 
@@ -146,17 +148,22 @@ def grow_forest(samples: DataFrame, cfg: ForestConfig) -> DataFrame:
 
 
 def walk(x: np.ndarray, trees: Sequence[tuple], height: int) -> np.ndarray:
-    """Mean path length of each row of ``x`` over all trees."""
-    rows = np.arange(len(x))
-    flat = np.ascontiguousarray(x).ravel()
-    base = rows * x.shape[1]
+    """Mean path length of each row of ``x`` over all trees; a block of rows at a time stays in the cache."""
+    whole = [(np.asarray(f, dtype=np.intp), cut, np.asarray(child, dtype=np.intp), path) for f, cut, child, path in trees]
     total = np.zeros(len(x))
-    for feature, threshold, child, path in trees:
-        node = np.zeros(len(x), dtype=np.int64)
-        for _ in range(height):
-            right = flat[base + feature[node]] > threshold[node]
-            node = child[node] + right
-        total += path[node]
+    for start in range(0, len(x), WALK_ROWS):
+        block = np.ascontiguousarray(x[start : start + WALK_ROWS])
+        flat, rows, out = block.ravel(), len(block), total[start : start + WALK_ROWS]
+        base = np.arange(rows) * block.shape[1]
+        at, value, cut = np.empty(rows, dtype=np.intp), np.empty(rows), np.empty(rows)
+        for feature, threshold, child, path in whole:
+            node = np.zeros(rows, dtype=np.intp)
+            for _ in range(height):
+                np.add(np.take(feature, node, out=at, mode="clip"), base, out=at)
+                np.take(flat, at, out=value, mode="clip")
+                right = value > np.take(threshold, node, out=cut, mode="clip")
+                np.add(np.take(child, node, out=at, mode="clip"), right, out=node)
+            out += np.take(path, node, out=value, mode="clip")
     return total / len(trees)
 
 

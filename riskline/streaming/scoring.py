@@ -3,14 +3,15 @@
 A user's state holds counts, sums and last values, whatever the history's length, so a batch costs its own
 rows: the sums of the entropy, last rows, the failures and resources that windows still reach,
 the devices, addresses and resources seen, and the lengths of the runs of night and day events, from
-which the night share of each half of the history follows. Addresses keep the users that logged in
-from them. Batch features and rules over the whole history up to a batch give the same columns for its
+which the night share of each half of the history follows. Addresses keep users that logged in
+from them, as many as the rule asks for. Users and addresses are dealt to buckets, as in ``keyed``. Batch features and rules over the whole history up to a batch give the same columns for its
 rows, as far as batches come in order of time.
 """
 
 from __future__ import annotations
 
 import json
+from collections import namedtuple
 from collections.abc import Iterator
 from dataclasses import asdict
 from math import log, log2
@@ -29,7 +30,7 @@ from riskline.plans.scoring import ScoringModel
 from riskline.schema import FEATURES, TRANSITIONS
 from riskline.session import ship
 from riskline.streaming.jobs import _each_batch, _write
-from riskline.streaming.keyed import _keyed
+from riskline.streaming.keyed import INLINE, _bucket, _keyed, _plain, named
 
 ship(__name__)
 
@@ -42,70 +43,104 @@ GIVEN = (
     "is_new_device int, is_new_ip int, prefix array<string>, " + ", ".join(f"hit_{n} boolean" for n in HIT_NAMES)
 )
 NAMES = [part.split()[0] for part in GIVEN.split(", ")]
+# What the state takes from a row.
+Event = namedtuple(
+    "Event", "user_id at day night login transfer event_id event_type source_ip device_id resource success bytes_transferred"
+)
 
 
 class Addresses(StatefulProcessor):
-    """Adds to rows how many users have logged in from their address by the end of the batch.
+    """Adds to rows how many users have logged in from their address by the end of the batch, up to ``enough``.
 
-    ``columns`` names the frames' columns; Spark renames those that begin with an underscore.
+    Only logins need the number. ``columns`` names the frames' columns; Spark renames those that begin with an
+    underscore.
     """
 
-    def __init__(self, columns: list[str]):
-        self.columns = columns
+    def __init__(self, columns: list[str], enough: int):
+        self.columns, self.enough = columns, enough
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.users = handle.getMapState("users", "user string", "n int")
-        self.count = handle.getValueState("count", "n long")
+        self.users = handle.getMapState("users", "address string", "json string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frames = [f.set_axis(self.columns, axis=1) for f in rows]
-        count = self.count.get()[0] if self.count.exists() else 0
-        before = count
-        for user in {u for f in frames for u, login in zip(f["user_id"], f["_login"]) if login and u is not None}:
-            if not self.users.containsKey((user,)):
-                self.users.updateValue((user,), (1,))
-                count += 1
-        if count != before:
-            self.count.update((count,))
+        came: dict[str, set] = {}
+        for frame in frames:
+            some = frame[frame["_login"] & frame["source_ip"].notna()]
+            for address, user in zip(some["source_ip"], _plain(some["user_id"])):
+                mine = came.setdefault(address, set())
+                if user is not None and len(mine) < self.enough:
+                    mine.add(user)
+        counts = {}
+        for address, users in came.items():
+            stored = self.users.getValue((named(address),))
+            known = [] if stored is None else json.loads(stored[0])
+            more = [u for u in users if u not in known][: max(self.enough - len(known), 0)]
+            if more:
+                known += more
+                self.users.updateValue((named(address),), (json.dumps(known),))
+            counts[address] = len(known)
         for frame in frames:
-            yield frame.assign(_users=count)
+            yield frame.assign(_users=[counts.get(a, 0) for a in _plain(frame["source_ip"])])
 
     def close(self) -> None:
         pass
 
 
 class History(StatefulProcessor):
-    """The stateful columns of a user's rows; rows of a batch are taken in order of time and id."""
+    """The stateful columns of a user's rows beside the events' own; rows of a batch are taken in order of time and id."""
 
-    def __init__(self, cfg: dict, order: int):
-        self.cfg, self.order = cfg, order
+    def __init__(self, cfg: dict, order: int, columns: list[str], names: list[str]):
+        self.cfg, self.order, self.columns, self.names = cfg, order, columns, names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.facts = handle.getValueState("facts", "json string")
-        # i: addresses, d: devices, r: resources, l: devices of logins, each with a value behind it.
-        self.seen = handle.getMapState("seen", "name string", "n int")
+        # A user's entry holds sums, last values and up to INLINE names of things seen; the others have entries of
+        # their own. i: addresses, d: devices, r: resources, l: devices of logins, each with a value behind it.
+        self.facts = handle.getMapState("facts", "user string", "json string")
+        self.seen = handle.getMapState("seen", "user string, name string", "n int")
 
     def _fresh(self, kind: str, value) -> bool:
         """Whether the value is seen for the first time, which is remembered."""
         name = f"{kind}0" if value is None else f"{kind}={value}"
-        if name in self._now:
+        if name in self._known:
             return False
-        self._now.add(name)
-        if self.seen.containsKey((name,)):
+        if self._more and self.seen.containsKey((self._who, name)):
             return False
-        self.seen.updateValue((name,), (1,))
+        if len(self._known) < INLINE:
+            self._known[name] = 1
+        else:
+            self._more = True
+            self.seen.updateValue((self._who, name), (1,))
         return True
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        self._now: set[str] = set()
-        state = json.loads(self.facts.get()[0]) if self.facts.exists() else {
+        own = pd.concat([f.set_axis(self.names, axis=1) for f in rows], ignore_index=True)
+        columns = [_plain(own[c]) for c in Event._fields]
+        for whole in ("at", "day", "bytes_transferred"):
+            i = Event._fields.index(whole)
+            columns[i] = [None if v is None else int(v) for v in columns[i]]
+        users: dict = {}
+        for place, event in enumerate(map(Event._make, zip(*columns))):
+            users.setdefault(event.user_id, []).append((place, event))
+        out, places = [], []
+        for user, events in users.items():
+            events.sort(key=lambda e: (e[1].at is not None, e[1].at or 0, e[1].event_id or ""))
+            places += [place for place, _ in events]
+            out += self._user(named(user), [e for _, e in events])
+        frame = pd.DataFrame(out, columns=NAMES)
+        for column in ("total_bytes_user", "max_bytes_user"):
+            frame[column] = frame[column].astype("Int64")
+        carried = own[[*self.columns, "_users"]].iloc[places].reset_index(drop=True)
+        yield pd.concat([frame, carried.rename(columns={c: f"e_{c}" for c in self.columns})], axis=1)
+
+    def _user(self, who: str, events: list) -> list[dict]:
+        stored = self.facts.getValue((who,))
+        state = json.loads(stored[0]) if stored is not None else {
             "n": 0, "ips": 0, "devices": 0, "resources": 0, "logins": 0, "failed": 0, "bytes": None, "largest": None, "clogc": 0.0,
             "types": {}, "last_of": {}, "last": None, "day": None, "type": None, "login": None, "fails": [], "recent": {}, "moved": {},
-            "runs": [], "prefix": [],
+            "runs": [], "prefix": [], "seen": [], "more": False,
         }
-        events = [e for frame in rows for e in frame.itertuples(index=False)]
-        events = [e._replace(**{c: None if pd.isna(getattr(e, c)) else getattr(e, c) for c in e._fields}) for e in events]
-        events.sort(key=lambda e: (e.at is not None, e.at or 0, e.event_id or ""))
+        self._who, self._known, self._more = who, dict.fromkeys(state["seen"], 1), state["more"]
         out, i = [], 0
         while i < len(events):
             j = i + 1
@@ -128,11 +163,9 @@ class History(StatefulProcessor):
                 and half > 0 and nights[1] / (state["n"] - half) > nights[0] / half + self.cfg["drift_rate_increase"],
             }
         state["moved"] = {d: b for d, b in state["moved"].items() if d in days}
-        self.facts.update((json.dumps(state),))
-        frame = pd.DataFrame(out, columns=NAMES)
-        for column in ("total_bytes_user", "max_bytes_user"):
-            frame[column] = frame[column].astype("Int64")
-        yield frame
+        state["seen"], state["more"] = list(self._known), self._more
+        self.facts.updateValue((who,), (json.dumps(state),))
+        return out
 
     def _instant(self, state: dict, events: list) -> None:
         """What rows of one instant see of each other: failures and resources."""
@@ -216,41 +249,26 @@ def risk_scores(events: DataFrame, out: str, model: ScoringModel, trigger: str |
     """
     columns = [*events.columns]
     ready = events.withColumn("_login", F.coalesce(S.is_login(), F.lit(False)))
-    names = [*columns, "_login"]
+    ready = ready.withColumn("bucket", _bucket("source_ip"))
+    names = ready.columns
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in ready.schema)}, _users long"
     rules = R.default_rules(model.cfg.rules)
     cfg = asdict(model.cfg.rules)
     with _keyed(events.sparkSession, partitions):
-        counted = ready.groupBy("source_ip").transformWithStateInPandas(Addresses(names), schema, "Append", "None")
+        counted = ready.groupBy("bucket").transformWithStateInPandas(Addresses(names, model.cfg.rules.stuffing_users), schema, "Append", "None")
         prepared = counted.withColumns(
             {
+                "bucket": _bucket("user_id"),
                 "at": F.unix_micros("timestamp"), "day": F.unix_date(F.to_date("timestamp")), "night": S.is_night(),
                 "login": F.col("_login"), "transfer": F.coalesce(S.is_transfer(), F.lit(False)),
             }
         )
         passed = f"{GIVEN}, {', '.join(f'`e_{f.name}` {f.dataType.simpleString()}' for f in events.schema)}, _users long"
-        processor = _Passing(cfg, model.cfg.markov.order, columns, prepared.columns)
-        rows = prepared.groupBy("user_id").transformWithStateInPandas(processor, passed, "Append", "None")
+        processor = History(cfg, model.cfg.markov.order, columns, prepared.columns)
+        rows = prepared.groupBy("bucket").transformWithStateInPandas(processor, passed, "Append", "None")
         return _each_batch(rows, out, lambda df, i: _write(_finished(df, columns, model, rules), out, "alerts", i), "append", trigger)
 
 
-class _Passing(History):
-    """History that hands the event's own columns on beside the new ones."""
-
-    def __init__(self, cfg: dict, order: int, columns: list[str], names: list[str]):
-        super().__init__(cfg, order)
-        self.columns, self.names = columns, names
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        own = pd.concat([f.set_axis(self.names, axis=1) for f in rows], ignore_index=True)
-        # The order of the rows made above.
-        own = own.assign(_some=own["at"].notna(), _at=own["at"].fillna(0), _id=own["event_id"].fillna(""))
-        own = own.sort_values(["_some", "_at", "_id"], kind="stable").reset_index(drop=True)
-        for made in super().handleInputRows(key, iter([own]), timerValues):
-            carried = own[[*self.columns, "_users"]].rename(columns={c: f"e_{c}" for c in self.columns})
-            yield pd.concat([made, carried], axis=1)
-
-
 def _finished(df: DataFrame, columns: list[str], model: ScoringModel, rules: list[R.Rule]) -> DataFrame:
     """Features and rules of a batch's rows from their state's columns, then the fitted detectors."""
     rows = df.drop("event_id").withColumnsRenamed({f"e_{c}": c for c in columns})
