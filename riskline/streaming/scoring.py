@@ -116,7 +116,7 @@ class History(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         own = pd.concat([f.set_axis(self.names, axis=1) for f in rows], ignore_index=True)
         columns = [_plain(own[c]) for c in Event._fields]
-        for whole in ("at", "day", "bytes_transferred"):
+        for whole in ("at", "bytes_transferred"):
             i = Event._fields.index(whole)
             columns[i] = [None if v is None else int(v) for v in columns[i]]
         users: dict = {}
