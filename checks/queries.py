@@ -363,7 +363,8 @@ def _forest_sample(spark, folder):
 
 
 def _forest_score(spark, folder):
-    df = forest(spark, folder).walked(features(spark, folder))
+    # By blocks of rows in numpy, some 35 times as fast as the walk by array functions.
+    df = forest(spark, folder).score(features(spark, folder))
     return df.select("event_id", r6("iso_raw"))
 
 

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from checks import queries
 from riskline.config import ForestConfig
 from riskline.operators.forest import (
     ForestModel, _entered, average_path, grow_tree, tree_samples, walk,
@@ -57,6 +58,15 @@ def test_walk_in_the_jvm_equals_numpy(points, model):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_the_score_query_walks_blocks_of_rows(spark, points, model, monkeypatch):
+    monkeypatch.setattr(queries, "forest", lambda spark, folder: model)
+    monkeypatch.setattr(queries, "features", lambda spark, folder: points)
+    out = queries.QUERIES["iforest_score"](spark, "")
+    assert "ArrowEvalPython" in out._jdf.queryExecution().executedPlan().toString()
+    got = {r[0]: r[1] for r in out.collect()}
+    assert got == pytest.approx({r.event_id: r.iso_raw for r in model.walked(points).collect()}, abs=1e-6)
+
+
 @pytest.mark.parametrize("share", [0.01, 0.1, 0.5])
 def test_rows_enter_each_tree_with_the_same_chance(spark, share):
     rows, trees = 4000, 60
