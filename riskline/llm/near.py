@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from riskline.llm.links import components
 from riskline.llm.text import batches, file_place, fresh
-from riskline.session import materialize, scratch, ship
+from riskline.session import materialize, release, scratch, ship
 
 ship(__name__)
 
@@ -41,6 +41,10 @@ PIVOTS = 8
 SMALL = 24
 # A cut of a large region: the share its largest part may keep, and all parts together.
 MOST, EXTRA = 0.8, 1.5
+# Inside a task, all parts of a cut together may exceed the region by this, as the cuts are nested.
+CROWD = 1.2
+# Shingles of more than one in so many members of a crowded region name no bucket in it.
+CROWDED = 20
 _RANDOM = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -146,11 +150,17 @@ class Threshold:
         Sets with too few also leave the classes of all their shingles, with the empty ones
         if even then too few are filled. That holds for any list of common shingles;
         a good one keeps passages that many documents quote from naming buckets.
+
+        Of filled classes enough, the least names suffice: those of a set that come before the least name
+        it has in common with a linked one are in shingles they differ in, of which there are at most ``most``.
         """
+        n, p = len(items), self.percent
         rare = items[common[np.searchsorted(common, items) % len(common)] != items] if len(common) else items
         own, out = self.band(len(items)), []
         for b in (own, own - 1) if own else (own,):
             k, differ = self.classes[b]
+            partner = 100 * n // p if b == own else self.lows[own] - 1
+            most = min(differ, (100 - p) * (n + partner) // (100 + p))
             for salt, chosen in ((0, rare), (1 << 20, items)):
                 which = ((chosen >> _U(32)) % _U(k)).astype(np.int64)
                 content = np.zeros(k, dtype=np.uint64)
@@ -158,9 +168,10 @@ class Threshold:
                 names = _mix(_mix(content + _U(b + 1 + salt)) + np.arange(k, dtype=np.uint64) * _U(_BASE))
                 filled = np.bincount(which, minlength=k) > 0
                 enough = filled.sum() > differ
-                out.append(names[filled] if enough or not salt else names)
                 if enough:
+                    out.append(np.partition(names[filled], most)[: most + 1])
                     break
+                out.append(names if salt else names[filled])
         return np.concatenate(out)
 
     def linked(self, inter: np.ndarray, union: np.ndarray) -> np.ndarray:
@@ -171,53 +182,59 @@ def _key(items: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(items.tobytes())).astype(np.int64))
 
 
-def _frequent(frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-    """Shingles of several different sets of a batch, with their number."""
+def _rows(frames: Iterator[pd.DataFrame], k: int, count: bool) -> Iterator[pd.DataFrame]:
+    """id, key of the set and its size; the first row of a batch holds the shingles of several different sets of it, with their number."""
     for frame in frames:
-        sets = {_key(s): s for s in shingle_sets(frame["text"].tolist(), k)}
-        values = np.concatenate([np.zeros(0, dtype=np.uint64), *sets.values()])
-        del sets
-        values.sort()
-        first = np.flatnonzero(np.concatenate((values[:1] == values[:1], values[1:] != values[:-1])))
-        counts = np.diff(np.append(first, len(values)))
-        often = counts >= OFTEN
-        yield pd.DataFrame({"h": values[first[often]].view(np.int64), "n": counts[often]})
+        found = list(shingle_sets(frame["text"].tolist(), k))
+        keys = [_key(s) for s in found]
+        out = pd.DataFrame({"id": pd.array([None if pd.isna(x) else int(x) for x in frame["id"]], dtype="Int64"), "key": keys, "n": [len(s) for s in found]})
+        often: list[list] = [[] for _ in found]
+        counts: list[list] = [[] for _ in found]
+        if count and found:
+            values = np.concatenate(list(dict(zip(keys, found)).values()))
+            del found
+            values.sort()
+            first = np.flatnonzero(np.concatenate((values[:1] == values[:1], values[1:] != values[:-1])))
+            number = np.diff(np.append(first, len(values)))
+            often[0], counts[0] = values[first[number >= OFTEN]].view(np.int64), number[number >= OFTEN]
+        out["h"], out["c"] = often, counts
+        yield out.astype({"key": "int64", "n": "int64"})
 
 
 def _sketch(frames: Iterator[pd.DataFrame], k: int, percent: int, common: np.ndarray) -> Iterator[pd.DataFrame]:
-    """id, key of the set, its size, buckets, and links to the least key of a bucket.
+    """Key of the set and its buckets, a row for each different set of a batch.
 
-    Copies and members of one bucket meet in their batch first: only the least key of a batch goes
-    on for a bucket, the others name it. So a bucket sends at most one row from each batch.
+    Members of one bucket meet in their batch first: only the least key of a batch goes
+    on for a bucket, the others share one more bucket with it alone. So a bucket sends at most one row from each batch.
     """
     rule = Threshold(percent)
     for frame in frames:
-        ids, sizes, keys, first = frame["id"].tolist(), [], [], {}
-        names, owners = [], []
-        for i, items in enumerate(shingle_sets(frame["text"].tolist(), k)):
+        keys, names, owners, seen = [], [], [], set()
+        for items in shingle_sets(frame["text"].tolist(), k):
             key = _key(items)
-            sizes.append(len(items))
-            keys.append(key)
-            if len(items) and key not in first:
-                first[key] = i
+            if len(items) and key not in seen:
+                seen.add(key)
                 names.append(rule.buckets(items, common).view(np.int64))
-                owners.append(np.full(len(names[-1]), i))
-        buckets, links = [[] for _ in ids], [[] for _ in ids]
+                owners.append(np.full(len(names[-1]), len(keys)))
+                keys.append(key)
+        buckets = [[] for _ in keys]
         if names:
             all_names, all_owners = np.concatenate(names), np.concatenate(owners)
             all_keys = np.array(keys, dtype=np.int64)[all_owners]
             order = np.lexsort((all_keys, all_names))
-            n, o, c = all_names[order], all_owners[order], all_keys[order]
+            n, o = all_names[order], all_owners[order]
             head = np.concatenate(([True], n[1:] != n[:-1]))
-            least = c[np.flatnonzero(head)[np.cumsum(head) - 1]]
-            for i, names_of in pd.Series(n[head]).groupby(o[head]):
+            least = o[np.flatnonzero(head)[np.cumsum(head) - 1]]
+            pairs = np.unique(np.stack((o[~head], least[~head])), axis=1)
+            pairs = pairs[:, pairs[0] != pairs[1]]
+            both = np.array(keys, dtype=np.int64)[pairs].view(np.uint64)
+            own = _mix(both[0] ^ _mix(both[1])).view(np.int64)
+            n, o = np.concatenate((n[head], own, own)), np.concatenate((o[head], *pairs))
+            for i, names_of in pd.Series(n).groupby(o):
                 buckets[i] = names_of.to_numpy()
-            other = ~head & (c != least)
-            for i, to in pd.Series(least[other]).groupby(o[other]):
-                links[i] = to.unique()
-        out = pd.DataFrame({"id": pd.array([None if pd.isna(x) else int(x) for x in ids], dtype="Int64"), "key": keys, "n": sizes})
-        out["buckets"], out["links"] = buckets, links
-        yield out.astype({"key": "int64", "n": "int64"})
+        out = pd.DataFrame({"key": pd.Series(keys, dtype="int64")})
+        out["buckets"] = buckets
+        yield out
 
 
 def _members(frames: Iterator[pd.DataFrame], k: int, bits: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -235,7 +252,7 @@ class _Region:
     """The exact join of the sets of one region; ``root`` tells the components."""
 
     def __init__(self, sets: list[np.ndarray], rule: Threshold):
-        self.rule = rule
+        self.rule, self.sets = rule, sets
         self.sizes = np.array([len(s) for s in sets])
         flat, self.tokens = np.unique(np.concatenate(sets), return_inverse=True)
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)))
@@ -283,12 +300,63 @@ class _Region:
             parts = [members[nearest >= 1 - self.rule.radius - slack]]
             for row in far:
                 parts.append(members[(nearest < 1) & (row - nearest <= 2 * self.rule.radius + slack)])
-            if max(map(len, parts)) > 0.8 * len(members):
-                continue  # these pivots are done with all members; take others
+            if max(map(len, parts)) > MOST * len(members) or sum(map(len, parts)) > CROWD * len(members):
+                # Pivots do not part these; each is compared with those it shares a bucket with.
+                self.crowd(members)
+                return
             for part in parts:
                 self.join(part)
             return
 
+    def crowd(self, members: np.ndarray) -> None:
+        """Every member in turn is a pivot for the members of its buckets that are not linked with it yet."""
+        if not len(members):
+            return
+        values, counts = np.unique(np.concatenate([self.sets[m] for m in members]).view(np.uint64), return_counts=True)
+        common = values[counts > max(OFTEN, len(members) // CROWDED)]
+        names = [np.unique(self.rule.buckets(self.sets[m].view(np.uint64), common)) for m in members]
+        which = np.unique(np.concatenate(names), return_inverse=True)[1]
+        owners = np.repeat(np.arange(len(members)), [len(n) for n in names])
+        shared = np.bincount(which)[which] > 1
+        which, owners = which[shared], owners[shared]
+        weight = np.bincount(which)
+        # Those with most neighbours come first, as they link most.
+        order = np.argsort(-np.bincount(owners, weights=weight[which], minlength=len(members)), kind="stable")
+        turn = np.empty(len(members), dtype=np.int64)
+        turn[order] = np.arange(len(members))
+        every = max(64, len(members) // 50)
+        for begin in range(0, len(members), every):
+            # Members that have had their turn leave, and buckets in which all are linked or one is left.
+            root = self.root[members]
+            waiting = turn[owners] >= begin
+            which, owners = which[waiting], owners[waiting]
+            if not len(which):
+                return
+            deal = np.argsort(which, kind="stable")
+            which, owners = which[deal], owners[deal]
+            starts = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1])))
+            sizes = np.diff(np.append(starts, len(which)))
+            mixed = np.minimum.reduceat(root[owners], starts) != np.maximum.reduceat(root[owners], starts)
+            keep = np.repeat(mixed, sizes)
+            which, owners = which[keep], owners[keep]
+            starts, sizes = np.cumsum(sizes[mixed]) - sizes[mixed], sizes[mixed]
+            bucket = np.repeat(np.arange(len(starts)), sizes)
+            by_owner = np.argsort(owners, kind="stable")
+            edges = np.searchsorted(owners[by_owner], np.arange(len(members) + 1))
+            for m in order[begin : begin + every]:
+                of = bucket[by_owner[edges[m] : edges[m + 1]]]
+                if not len(of):
+                    continue
+                first = np.cumsum(sizes[of]) - sizes[of]
+                near = np.zeros(len(members), dtype=bool)
+                near[owners[np.repeat(starts[of] - first, sizes[of]) + np.arange(sizes[of].sum())]] = True
+                near &= turn > turn[m]
+                ask, pivot = members[near], members[m]
+                small, large = np.minimum(self.sizes[ask], self.sizes[pivot]), np.maximum(self.sizes[ask], self.sizes[pivot])
+                ask = ask[(self.root[ask] != self.root[pivot]) & (100 * small >= self.rule.percent * large)]
+                if len(ask):
+                    self.against(pivot, ask)
+
 
 def _join_regions(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Key and least key of its component, for the regions of one bin."""
@@ -386,7 +454,7 @@ def near_components(
     ``leave_out_common`` counts frequent shingles first, so that quoted passages do not make large
     regions; the result is the same without, and nine in ten does well without.
 
-    Texts are read two or three times and never shuffled: what moves is one number for each class and batch,
+    Texts are read three times and never shuffled: what moves is one number for each class and batch,
     and the sets of documents that share a bucket with another.
     """
     source = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -396,17 +464,19 @@ def near_components(
 
 def _components(source: DataFrame, shingle: int, percent: int, id: str, region_bytes: int, bin_bytes: int, leave_out_common: bool) -> DataFrame:
     common = np.zeros(0, dtype=np.uint64)
+    rows = source.mapInPandas(lambda f: _rows(f, shingle, leave_out_common), "id long, key long, n long, h array<long>, c array<long>")
+    rows = materialize(rows, "near-rows")
     if leave_out_common:
-        often = source.mapInPandas(lambda f: _frequent(f, shingle), "h long, n long")
-        often = often.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(MAX_COMMON)
+        often = rows.select(F.explode(F.arrays_zip("h", "c")).alias("x")).select("x.*")
+        often = often.groupBy("h").agg(F.sum("c").alias("n")).orderBy(F.desc("n"), "h").limit(MAX_COMMON)
         common = np.sort(often.select("h").toPandas()["h"].to_numpy(dtype=np.int64).view(np.uint64))
-    rows = source.mapInPandas(lambda f: _sketch(f, shingle, percent, common), "id long, key long, n long, buckets array<long>, links array<long>")
-    rows = materialize(rows, "near-rows")
-    bucket = rows.select("key", F.explode("buckets").alias("bucket"))
+    # Buckets are dealt as they are made; a written table of them would be as large as the shuffle.
+    bucket = source.mapInPandas(lambda f: _sketch(f, shingle, percent, common), "key long, buckets array<long>").select("key", F.explode("buckets").alias("bucket"))
     least = F.min("key").over(Window.partitionBy("bucket"))
     pairs = bucket.select("key", least.alias("to")).where("key != to")
-    local = rows.select("key", F.explode("links").alias("to"))
-    edges = materialize(pairs.unionByName(local).distinct(), "near-edges")
+    edges = materialize(pairs.distinct(), "near-edges")
+    # The largest shuffle here; what follows needs room of its own.
+    release(source.sparkSession)
     region = materialize(components(edges).select(F.col("key"), F.col("to").alias("region")), "near-regions")
 
     at = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))

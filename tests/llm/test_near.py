@@ -77,6 +77,32 @@ def test_region_join_is_exact():
     assert region.root.tolist() == root
 
 
+def test_a_crowded_region_costs_less_than_all_pairs(monkeypatch):
+    """Sets that pivots do not part: all share some of one passage, in groups of near copies."""
+    rng = np.random.default_rng(8)
+    passage, sets = rng.integers(0, 1 << 63, 120, dtype=np.uint64), []
+    for _ in range(500):
+        own = np.concatenate((passage[: rng.integers(0, 121)], rng.integers(0, 1 << 63, 60, dtype=np.uint64)))
+        sets += [np.unique(np.concatenate((own[e:], rng.integers(0, 1 << 63, e, dtype=np.uint64)))).view(np.int64) for e in (0, 2)]
+    asked, shared = [], near._Region.shared
+    monkeypatch.setattr(near._Region, "shared", lambda self, pivot, others: asked.append(len(others)) or shared(self, pivot, others))
+    region = near._Region(sets, near.Threshold(80))
+    region.join(np.arange(len(sets)))
+    assert sum(asked) < len(sets) ** 2 / 10
+    plain = near._Region(sets, near.Threshold(80))
+    for p in range(len(sets) - 1):
+        plain.against(p, np.arange(p + 1, len(sets)))
+    assert region.root.tolist() == plain.root.tolist()
+
+
+def test_no_more_names_than_linked_sets_can_differ_in():
+    rng, rule, none = np.random.default_rng(6), near.Threshold(80), np.zeros(0, dtype=np.uint64)
+    for n in (100, 300, 580):
+        items = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        # Linked sets of n and m differ in (n + m) / 9 at most: m up to 1.25 n, and to n as the larger one of two.
+        assert len(rule.buckets(items, none)) <= (2.25 + 2) * n / 9 + 2
+
+
 def test_linked_sets_share_a_bucket():
     rng = np.random.default_rng(5)
     for percent in (80, 90):
