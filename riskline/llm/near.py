@@ -20,7 +20,7 @@ from math import exp
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskline.llm.links import components
@@ -37,6 +37,8 @@ OFTEN = 3
 MAX_COMMON = 500_000
 # Documents a Python worker holds at once.
 BATCH = 4_000
+# Bucket names are dealt in ranges of about so many; of a name, so many bytes go on in its range.
+RANGE, NAME_BYTES = 1 << 20, 5
 PIVOTS = 8
 SMALL = 24
 # A cut of a large region: the share its largest part may keep, and all parts together.
@@ -201,11 +203,19 @@ def _rows(frames: Iterator[pd.DataFrame], k: int, count: bool) -> Iterator[pd.Da
         yield out.astype({"key": "int64", "n": "int64"})
 
 
-def _sketch(frames: Iterator[pd.DataFrame], k: int, percent: int, common: np.ndarray) -> Iterator[pd.DataFrame]:
-    """Key of the set and its buckets, a row for each different set of a batch.
+def _nodes(batch: int, places: np.ndarray) -> np.ndarray:
+    """Numbers of the sets at ``places`` of a batch."""
+    return _mix(np.array([batch], dtype=np.int64).view(np.uint64) ^ _mix(places.astype(np.uint64) + _U(1))).view(np.int64)
+
+
+def _sketch(frames: Iterator[pd.DataFrame], k: int, percent: int, common: np.ndarray, ranges: int) -> Iterator[pd.DataFrame]:
+    """The bucket names of the different sets of a batch, a row for each range of names, and a row of the sets' keys.
 
     Members of one bucket meet in their batch first: only the least key of a batch goes
-    on for a bucket, the others share one more bucket with it alone. So a bucket sends at most one row from each batch.
+    on for a bucket, the others share one more bucket with it alone. So a bucket sends at most one name from each batch.
+    A name moves as its low bytes and its owner's place in the batch, written as the step from the name before;
+    the row of keys tells whom a place means. Names that differ in their high part only
+    make a bucket larger, never smaller. Batches are told by what they hold, so a task that runs again gives the same.
     """
     rule = Threshold(percent)
     for frame in frames:
@@ -217,34 +227,74 @@ def _sketch(frames: Iterator[pd.DataFrame], k: int, percent: int, common: np.nda
                 names.append(rule.buckets(items, common).view(np.int64))
                 owners.append(np.full(len(names[-1]), len(keys)))
                 keys.append(key)
-        buckets = [[] for _ in keys]
-        if names:
-            all_names, all_owners = np.concatenate(names), np.concatenate(owners)
-            all_keys = np.array(keys, dtype=np.int64)[all_owners]
-            order = np.lexsort((all_keys, all_names))
-            n, o = all_names[order], all_owners[order]
-            head = np.concatenate(([True], n[1:] != n[:-1]))
-            least = o[np.flatnonzero(head)[np.cumsum(head) - 1]]
-            pairs = np.unique(np.stack((o[~head], least[~head])), axis=1)
-            pairs = pairs[:, pairs[0] != pairs[1]]
-            both = np.array(keys, dtype=np.int64)[pairs].view(np.uint64)
-            own = _mix(both[0] ^ _mix(both[1])).view(np.int64)
-            n, o = np.concatenate((n[head], own, own)), np.concatenate((o[head], *pairs))
-            for i, names_of in pd.Series(n).groupby(o):
-                buckets[i] = names_of.to_numpy()
-        out = pd.DataFrame({"key": pd.Series(keys, dtype="int64")})
-        out["buckets"] = buckets
-        yield out
+        if not names:
+            continue
+        ids = np.array(keys, dtype=np.int64)
+        all_names, all_owners = np.concatenate(names), np.concatenate(owners)
+        order = np.lexsort((ids[all_owners], all_names))
+        n, o = all_names[order], all_owners[order]
+        head = np.concatenate(([True], n[1:] != n[:-1]))
+        least = o[np.flatnonzero(head)[np.cumsum(head) - 1]]
+        pairs = np.unique(np.stack((o[~head], least[~head])), axis=1)
+        pairs = pairs[:, pairs[0] != pairs[1]]
+        both = ids[pairs].view(np.uint64)
+        own = _mix(both[0] ^ _mix(both[1])).view(np.int64)
+        n, o = np.concatenate((n[head], own, own)).view(np.uint64), np.concatenate((o[head], *pairs))
+        part = ((n >> _U(8 * NAME_BYTES)) % _U(ranges)).astype(np.int64)
+        order = np.lexsort((o, part))
+        low = n[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :NAME_BYTES]
+        part, o = part[order], o[order]
+        batch = _key(ids)
+        rows = [(-1 - batch % ranges, batch, ids.tobytes(), b"")]
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)]))
+        for a, b in zip(edges[:-1], edges[1:]):
+            rows.append((int(part[a]), batch, np.diff(o[a:b], prepend=0).astype("<u2").tobytes(), low[a:b].tobytes()))
+        yield pd.DataFrame(rows, columns=["part", "batch", "owners", "names"])
+
+
+def _meet(frame: pd.DataFrame) -> pd.DataFrame:
+    """For a range of names, pairs of sets with a bucket in common; for a row of keys, number and key of each set."""
+    if frame["part"].iloc[0] < 0:
+        nodes, to = [], []
+        for batch, owners in zip(frame["batch"], frame["owners"]):
+            to.append(np.frombuffer(owners, dtype=np.int64))
+            nodes.append(_nodes(batch, np.arange(len(to[-1]))))
+        return pd.DataFrame({"node": np.concatenate(nodes), "to": np.concatenate(to), "named": True})
+    nodes = np.concatenate([_nodes(batch, np.cumsum(np.frombuffer(o, dtype="<u2").astype(np.int64))) for batch, o in zip(frame["batch"], frame["owners"])])
+    low = np.zeros((len(nodes), 8), dtype=np.uint8)
+    low[:, :NAME_BYTES] = np.frombuffer(b"".join(frame["names"]), dtype=np.uint8).reshape(-1, NAME_BYTES)
+    names = low.view("<u8")[:, 0]
+    order = np.argsort(names, kind="stable")
+    names, nodes = names[order], nodes[order]
+    starts = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
+    least = np.repeat(np.minimum.reduceat(nodes, starts), np.diff(np.append(starts, len(names))))
+    pairs = pd.DataFrame({"node": nodes, "to": least, "named": False})[nodes != least]
+    return pairs.drop_duplicates()
 
 
 def _members(frames: Iterator[pd.DataFrame], k: int, bits: np.ndarray) -> Iterator[pd.DataFrame]:
-    """Key and set of the rows that the bit filter lets through."""
+    """Key, size and set of the rows that the bit filter lets through; in place of the set its text, where that is shorter."""
     for frame in frames:
         at = frame["at"].to_numpy()
-        texts = frame["text"].to_numpy()[(bits[at >> 6] >> (at & 63)) & 1 == 1]
-        sets = [s for s in shingle_sets(texts.tolist(), k)]
-        out = pd.DataFrame({"key": pd.Series([_key(s) for s in sets], dtype="int64")})
-        out["items"] = [s.view(np.int64) for s in sets]
+        texts = frame["text"].to_numpy()[(bits[at >> 6] >> (at & 63)) & 1 == 1].tolist()
+        sets = list(shingle_sets(texts, k))
+        short = [len(t.encode("utf-8", "surrogatepass")) < 8 * len(s) for t, s in zip(texts, sets)]
+        out = pd.DataFrame({"key": pd.Series([_key(s) for s in sets], dtype="int64"), "n": pd.Series([len(s) for s in sets], dtype="int64")})
+        out["text"] = pd.Series([t if x else None for t, x in zip(texts, short)], dtype=object)
+        out["items"] = pd.Series([None if x else s.view(np.int64) for s, x in zip(sets, short)], dtype=object)
+        yield out
+
+
+def _sets(frame: pd.DataFrame, k: int) -> list[np.ndarray]:
+    """The sets of rows that have them or their texts."""
+    made = shingle_sets([t for t in frame["text"] if isinstance(t, str)], k)
+    return [next(made).view(np.int64) if isinstance(t, str) else np.asarray(x, dtype=np.int64) for t, x in zip(frame["text"], frame["items"])]
+
+
+def _with_sets(frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        out = frame[["region", "key"]].copy()
+        out["items"] = pd.Series(_sets(frame, k), index=out.index, dtype=object)
         yield out
 
 
@@ -358,16 +408,16 @@ class _Region:
                     self.against(pivot, ask)
 
 
-def _join_regions(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+def _join_regions(frame: pd.DataFrame, shingle: int, percent: int) -> pd.DataFrame:
     """Key and least key of its component, for the regions of one bin."""
     rule, out = Threshold(percent), []
     # A key stands in several regions where one was cut.
     frame = frame.drop_duplicates(["region", "key"])
-    for _, rows in frame.groupby("region", sort=False):
-        keys = rows["key"].to_numpy()
-        if len(rows) == 1:
-            continue
-        region = _Region([np.asarray(x) for x in rows["items"]], rule)
+    frame = frame[frame.duplicated("region", keep=False)]
+    all_keys, sets = frame["key"].to_numpy(), _sets(frame, shingle)
+    for rows in frame.groupby("region", sort=False).indices.values():
+        keys = all_keys[rows]
+        region = _Region([sets[i] for i in rows], rule)
         region.join(np.arange(len(rows)))
         least = pd.Series(keys).groupby(region.root).transform("min").to_numpy()
         out.append(pd.DataFrame({"key": keys, "to": least})[keys != least])
@@ -454,8 +504,8 @@ def near_components(
     ``leave_out_common`` counts frequent shingles first, so that quoted passages do not make large
     regions; the result is the same without, and nine in ten does well without.
 
-    Texts are read three times and never shuffled: what moves is one number for each class and batch,
-    and the sets of documents that share a bucket with another.
+    Texts are read three times: what moves is five bytes and a step for each class and batch, and the texts, or
+    sets where these are smaller, of documents that share a bucket with another.
     """
     source = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     with batches(docs.sparkSession, BATCH):
@@ -470,13 +520,18 @@ def _components(source: DataFrame, shingle: int, percent: int, id: str, region_b
         often = rows.select(F.explode(F.arrays_zip("h", "c")).alias("x")).select("x.*")
         often = often.groupBy("h").agg(F.sum("c").alias("n")).orderBy(F.desc("n"), "h").limit(MAX_COMMON)
         common = np.sort(often.select("h").toPandas()["h"].to_numpy(dtype=np.int64).view(np.uint64))
+    size = rows.agg(F.sum("n").alias("shingles"), F.count("*").alias("rows")).first()
+    # A set leaves fewer names than half its shingles, or a few.
+    ranges = ((size.shingles or 0) // 2 + 4 * size.rows) // RANGE + 1
     # Buckets are dealt as they are made; a written table of them would be as large as the shuffle.
-    bucket = source.mapInPandas(lambda f: _sketch(f, shingle, percent, common), "key long, buckets array<long>").select("key", F.explode("buckets").alias("bucket"))
-    least = F.min("key").over(Window.partitionBy("bucket"))
-    pairs = bucket.select("key", least.alias("to")).where("key != to")
-    edges = materialize(pairs.distinct(), "near-edges")
+    names = source.mapInPandas(lambda f: _sketch(f, shingle, percent, common, ranges), "part long, batch long, owners binary, names binary")
+    meets = materialize(names.groupBy("part").applyInPandas(_meet, "node long, to long, named boolean"), "near-meets")
     # The largest shuffle here; what follows needs room of its own.
     release(source.sparkSession)
+    keys = meets.where("named").select("node", F.col("to").alias("key")).distinct()
+    pairs = meets.where("NOT named").select("node", "to").distinct().join(keys, "node").select("key", "to")
+    pairs = pairs.join(keys.select(F.col("node").alias("to"), F.col("key").alias("least")), "to").select("key", F.col("least").alias("to"))
+    edges = materialize(pairs.where("key != to").distinct(), "near-edges")
     region = materialize(components(edges).select(F.col("key"), F.col("to").alias("region")), "near-regions")
 
     at = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
@@ -487,12 +542,18 @@ def _components(source: DataFrame, shingle: int, percent: int, id: str, region_b
     bits = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
     for r in words.collect():
         bits[r.word] = r.bits
-    sets = source.withColumn("at", at).mapInPandas(lambda f: _members(f, shingle, bits), "key long, items array<long>")
-    members = materialize(sets.join(region, "key").select("region", "key", "items"), "near-members")
-    members, links = _split_hot(members, Threshold(percent), region_bytes)
-    total = members.agg(F.sum(F.size("items") * 8)).first()[0] or 0
+    sets = source.withColumn("at", at).mapInPandas(lambda f: _members(f, shingle, bits), "key long, n long, text string, items array<long>")
+    members = materialize(sets.join(region, "key").select("region", "key", "n", "text", "items"), "near-members")
+    heavy = members.groupBy("region").agg((F.sum("n") * 8).alias("bytes")).where(F.col("bytes") > region_bytes).select("region")
+    heavy = materialize(heavy, "near-heavy")
+    whole = members.join(heavy, "region", "left_semi").select("region", "key", "text", "items")
+    whole = materialize(whole.mapInPandas(lambda f: _with_sets(f, shingle), "region long, key long, items array<long>"), "near-whole")
+    cut, links = _split_hot(whole, Threshold(percent), region_bytes)
+    cut = cut.select("region", "key", F.size("items").cast("long").alias("n"), F.lit(None).cast("string").alias("text"), "items")
+    members = members.join(heavy, "region", "left_anti").select("region", "key", "n", "text", "items").unionByName(cut)
+    total = members.agg(F.sum("n") * 8).first()[0] or 0
     bins = F.pmod(F.xxhash64("region"), F.lit(total // bin_bytes + 1))
-    joined = members.withColumn("bin", bins).groupBy("bin").applyInPandas(lambda f: _join_regions(f, percent), "key long, to long")
+    joined = members.withColumn("bin", bins).groupBy("bin").applyInPandas(lambda f: _join_regions(f, shingle, percent), "key long, to long")
     joined = materialize(joined, "near-joined")
     if links is not None:
         joined = materialize(components(joined.unionByName(links)), "near-final")

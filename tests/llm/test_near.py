@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +118,70 @@ def test_linked_sets_share_a_bucket():
                         assert np.intersect1d(rule.buckets(a, common), rule.buckets(b, common)).size
 
 
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_names_move_in_six_bytes_and_meet_as_whole_ones(ranges):
+    """Sets with a bucket in common, in one batch or in two, are connected; what moves is less than half of key and name."""
+    rng, rule, none = random.Random(12), near.Threshold(80), np.zeros(0, dtype=np.uint64)
+    base = [corpus.prose(rng, rng.randint(1, 200)) for _ in range(120)]
+    texts = base + base[:5] + [corpus.near_copy(rng, t, e) for t in base[:60] for e in (1, 2)] + [""]
+    rng.shuffle(texts)
+    frames = [pd.DataFrame({"text": texts[:150]}), pd.DataFrame({"text": texts[150:]}), pd.DataFrame({"text": [""]}), pd.DataFrame({"text": texts[:150]})]
+    sent = pd.concat(list(near._sketch(iter(frames), 5, 80, none, ranges)))
+    names = sent[sent["part"] >= 0]
+    moved = names["owners"].map(len).sum() + names["names"].map(len).sum()
+    assert set(names["part"]) == set(range(ranges)) and moved < 8 * names["names"].map(len).sum() / near.NAME_BYTES
+    met = pd.concat([near._meet(part) for _, part in sent.groupby("part")])
+    key = dict(met.loc[met["named"], ["node", "to"]].itertuples(index=False))
+    sets = {near._key(s): s for s in near.shingle_sets(texts, 5) if len(s)}
+    assert set(key.values()) == set(sets)
+
+    def groups(links):
+        root = {k: k for k in sets}
+        for a, b in links:
+            x, y = sorted((root[a], root[b]))
+            root = {k: x if r == y else r for k, r in root.items()}
+        return root
+
+    first, want = {}, []
+    for k, items in sets.items():
+        want += [(k, first.setdefault(n, k)) for n in rule.buckets(items, none).tolist()]
+    got = [(key[a], key[b]) for a, b in met.loc[~met["named"], ["node", "to"]].itertuples(index=False)]
+    assert groups(got) == groups(want)
+
+
+def test_what_is_smaller_moves_text_or_set():
+    rng = random.Random(13)
+    texts = [corpus.prose(rng, 100), "a b c " * 900, "", "one", "😀 " * 40, corpus.prose(rng, 3)]
+    frame = pd.DataFrame({"text": texts, "at": range(len(texts))})
+    bits = np.full(1 << (near.FILTER_BITS - 6), -1, dtype=np.int64)
+    (out,) = near._members(iter([frame]), 3, bits)
+    found = list(near.shingle_sets(texts, 3))
+    assert out["n"].tolist() == [len(s) for s in found]
+    for text, items, s in zip(out["text"], out["items"], found):
+        assert (text is None) != (items is None)
+        assert len(text.encode() if text is not None else b"") <= 8 * len(s)
+    assert [s.view(np.uint64).tolist() for s in near._sets(out, 3)] == [s.tolist() for s in found]
+
+
+@pytest.mark.parametrize("limit", [4_000, 32 << 20])
+def test_components_with_names_in_many_ranges(spark, tmp_path, monkeypatch, limit):
+    """Texts and sets side by side, with null ids, repeated rows and null texts."""
+    monkeypatch.setattr(near, "RANGE", 300)
+    rng = random.Random(14)
+    base = [corpus.prose(rng, 60) for _ in range(12)]
+    texts = [corpus.near_copy(rng, t, e) for t in base for e in (0, 0, 1, 2)] + ["x y z " * 300, "x y z " * 310, None, "", "one"]
+    found = [(i, t, "s") for i, t in enumerate(texts)]
+    found += [found[0], (None, texts[4], "s")]
+    docs = corpus.written(corpus.frame(spark, found), tmp_path)
+    got = near.near_components(docs, 3, 80, region_bytes=limit).collect()
+    groups = corpus.jaccard_groups([t for _, t, _ in found], 3, 80)
+    least = {}
+    for (id, t, _), g in zip(found, groups):
+        least[g] = min(least.get(g, 1 << 40), 1 << 40 if id is None else id)
+    want = [(id, len(corpus.shingles(t, 3)), least[g]) for (id, t, _), g in zip(found, groups)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_the_least_id_stays(spark, tmp_path):
     """Whatever the files are called, so a second run keeps the same rows."""
     rng = random.Random(6)
